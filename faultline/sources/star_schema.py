@@ -117,11 +117,11 @@ def prediction_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """Outcomes = orders; registration order differs from time order."""
-    orders = table(spark, folder, "orders")
+    """Three quarters of the orders as outcomes; registration order differs from time order."""
+    orders = table(spark, folder, "orders").where("o_orderkey % 4 <> 0")
     return orders.select(
         F.col("o_custkey").cast("string").alias("asset_id"),
-        (F.col("o_orderdate") + F.expr("INTERVAL 6 HOURS")).cast("timestamp").alias("occurred_at"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 30 HOURS")).cast("timestamp").alias("occurred_at"),
         (F.col("o_orderkey") % 3 != 0).cast("int").alias("failed"),
-        F.col("o_orderkey").alias("registered_seq"),
+        F.pmod(F.col("o_orderkey") * 7919, F.lit(1_000_003)).alias("registered_seq"),
     )

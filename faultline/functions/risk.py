@@ -8,6 +8,7 @@ from ..constants import (
     ACTION_BY_RISK, HIGH_RISK, HIGH_RISK_FROM, INTERVAL_HALF_WIDTH, LOW_RISK,
     MEDIUM_RISK, MEDIUM_RISK_FROM,
 )
+from .text import fixed
 
 
 def risk_class(p: Column, high: float = HIGH_RISK_FROM, medium: float = MEDIUM_RISK_FROM) -> Column:
@@ -20,7 +21,7 @@ def interval_bounds(p: Column, half: float = INTERVAL_HALF_WIDTH) -> tuple[Colum
 
 def interval_text(p: Column, half: float = INTERVAL_HALF_WIDTH) -> Column:
     low, high = interval_bounds(p, half)
-    return F.when(p.isNotNull(), F.format_string("%.2f - %.2f", low, high))
+    return F.when(p.isNotNull(), F.concat(fixed(low, 2), F.lit(" - "), fixed(high, 2)))
 
 
 def action_for(risk: Column) -> Column:

@@ -77,3 +77,21 @@ def to_source_names(df: DataFrame) -> DataFrame:
 def trimmed(name: str) -> Column:
     """Strip white space of any kind from both ends."""
     return F.regexp_replace(F.col(name).cast("string"), r"^\s+|\s+$", "")
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded from the exact binary value (ties to even).
+
+    The product with the power of ten is taken with its rounding error (split
+    multiplication), so 0.075 gives 0.07 and 0.125 gives 0.12.
+    """
+    scale = float(10**digits)
+    split = x * F.lit(134217729.0)
+    high = split - (split - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    rest = (product - whole - 0.5) + error
+    up = (rest > 0) | ((rest == 0) & (whole % 2 != 0))
+    rounded = F.when(F.abs(product) < 2.0**52, F.when(up, whole + 1).otherwise(whole)).otherwise(product)
+    return F.format_string(f"%.{digits}f", rounded / scale)

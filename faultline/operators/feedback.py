@@ -17,7 +17,7 @@ BASELINE_DAYS, CURRENT_DAYS, MAX_DROP = 90, 30, 0.05
 DRIFT_MIN_ROWS, DRIFT_MIN_WINDOW = 20, 5
 
 
-def match_outcomes(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
+def match_outcomes(predictions: DataFrame, outcomes: DataFrame, with_seq: bool = False) -> DataFrame:
     """Predictions with ``outcome, occurred_at`` of the first registered matching outcome.
 
     An outcome matches if it is of the same asset and ``0 <= floor_days(event - prediction)
@@ -81,6 +81,7 @@ def match_outcomes(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
         *predictions.columns,
         F.col("best.outcome").alias("outcome"),
         F.col("best.when").alias("occurred_at"),
+        *([F.col("best.seq").alias("registered_seq")] if with_seq else []),
     )
 
 

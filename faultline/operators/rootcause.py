@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.days import DAY_US, floor_days, micros
+from ..functions.text import fixed
 from ..sources.storage import materialized
 from .features import KEYS
 from .ordered import HOT_ROWS, state_before
@@ -188,10 +189,6 @@ def similar_failures(current: DataFrame, past: DataFrame) -> DataFrame:
     return now.join(lists, [*KEYS, "_set"], "left").select(*current.columns, similar.alias("similar"))
 
 
-def _decimal_text(x: Column) -> Column:
-    return F.format_string("%.1f", x)
-
-
 def _words(feature: Column) -> Column:
     return F.regexp_replace(feature, "_", " ")
 
@@ -209,7 +206,7 @@ def _cause(a: Column) -> Column:
     trend = F.when(a["trend"] == K.STEADY, "").otherwise(F.concat(F.lit(" (tendência "), a["trend"], F.lit(")")))
     text = F.concat(
         F.initcap(_words(a["feature"])), F.lit(": "), F.lower(a["impact"]), F.lit(" de "),
-        _decimal_text(F.abs(a["deviation_pct"])), F.lit("% em relação ao baseline"), trend,
+        fixed(F.abs(a["deviation_pct"]), 1), F.lit("% em relação ao baseline"), trend,
     )
     return F.struct(
         a["feature"].alias("cause_feature"),
@@ -245,7 +242,7 @@ def _advice(c: Column, longest_key: bool) -> Column:
         action = action.when(F.contains(F.lower(c["cause_feature"]), F.lit(key)), text)
     return action.otherwise(F.concat(
         F.lit("Analisar comportamento de "), _words(c["cause_feature"]), F.lit(" - Desvio de "),
-        _decimal_text(c["deviation_pct"]), F.lit("%"),
+        fixed(c["deviation_pct"], 1), F.lit("%"),
     ))
 
 

@@ -17,18 +17,19 @@ def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_mapped(spark: SparkSession, path: str, table: dict, sep: str = ",") -> DataFrame | None:
-    """CSV file with ``table['skip']`` leading lines, renamed by ``table['columns']``.
+    """CSV with ``table['skip']`` leading lines, renamed by ``table['columns']``.
 
-    None if an expected column is absent. Line numbers are only needed in the first
-    block of the file, so the rest of the scan keeps its parallelism; only the leading
-    lines and the header come to the driver.
+    ``path`` is a file, or a folder whose first file starts with the leading lines. None if
+    an expected column is absent. Only the leading lines and the header come to the driver;
+    the rest of the scan keeps its parallelism.
     """
     lines = spark.read.text(path).select(
         "value",
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"),
     )
-    head = lines.where("start = 0").orderBy("at").limit(table["skip"] + 1).collect()
+    head = lines.where("start = 0").orderBy("file", "at").limit(table["skip"] + 1).collect()
     if len(head) <= table["skip"]:
         return None
     header = head[-1]
@@ -36,9 +37,9 @@ def read_mapped(spark: SparkSession, path: str, table: dict, sep: str = ",") ->
     wanted = {header_name(k): v for k, v in table["columns"].items()}
     if any(n not in names for n in wanted):
         return None
-    body = lines.where((F.col("start") > 0) | (F.col("at") > F.lit(header["at"])))
+    leading = (F.col("file") == header["file"]) & (F.col("start") == 0) & (F.col("at") <= header["at"])
     schema = ", ".join(f"`{n or f'c{i}'}` string" for i, n in enumerate(names))
-    parsed = body.where(F.length(F.trim("value")) > 0).select(
+    parsed = lines.where(~leading & (F.length(F.trim("value")) > 0)).select(
         F.from_csv("value", schema, {"sep": sep}).alias("r")
     )
     return renamed(parsed.select("r.*"), wanted)

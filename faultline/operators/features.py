@@ -74,7 +74,7 @@ def base_series(log: DataFrame, before: int, after: int = 0, hot_rows: int = HOT
         blocks = blocks.join(hot, KEYS, "left")
     w = block_window(KEYS).orderBy(*ORDER)
     blocks = blocks.select("*", floor_days(F.col("ts"), F.lag("ts").over(w)).alias("tbf"))
-    place, first = F.row_number().over(w), F.min("ts").over(block_window(KEYS))
+    place, first = F.row_number().over(w), F.first("ts").over(w)
     if hot is not None:
         place = F.coalesce("_rank", place)
         first = F.coalesce("_hot_first", first)

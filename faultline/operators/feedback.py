@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.days import DAY_US, micros
 from ..functions.risk import is_flagged
 from .metrics import classification_metrics, ratio
-from .ordered import UNBOUNDED, state_before
+from .ordered import HOT_ROWS, state_before
 
 # Windows and limits of the drift check and of the rolling metrics.
 ROLLING_DAYS, ROLLING_MIN = 30, 5
 BASELINE_DAYS, CURRENT_DAYS, MAX_DROP = 90, 30, 0.05
 DRIFT_MIN_ROWS, DRIFT_MIN_WINDOW = 20, 5
+MINUTE_US, HOUR_US = 60_000_000, 3_600_000_000
 
 
-def match_outcomes(predictions: DataFrame, outcomes: DataFrame, with_seq: bool = False) -> DataFrame:
+def match_outcomes(
+    predictions: DataFrame, outcomes: DataFrame, with_seq: bool = False, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Predictions with ``outcome, occurred_at`` of the first registered matching outcome.
 
     An outcome matches if it is of the same asset and ``0 <= floor_days(event - prediction)
@@ -27,8 +30,9 @@ def match_outcomes(predictions: DataFrame, outcomes: DataFrame, with_seq: bool =
 
     The range [prediction, prediction + horizon + 1 days) is cut at day borders: the rest of
     its first day and the start of its last day are read from running minima inside that
-    day, the days between from one minimum per asset and day. No prediction is paired with
-    single outcomes, so a busy asset costs no more per row than a quiet one.
+    day (cut further by minute where one asset has very many rows a day), the days between
+    from one minimum per asset and day. No prediction is paired with single outcomes, so a
+    busy asset costs no more per row than a quiet one.
     """
     key = ["asset_id", "cell"]
     at = micros("occurred_at")
@@ -61,12 +65,12 @@ def match_outcomes(predictions: DataFrame, outcomes: DataFrame, with_seq: bool =
             "asset_id", F.lit(None).cast("string").alias("side"), "cell", "pos", "best",
         )
     )
-    from_here = Window.partitionBy(*key).orderBy(F.desc("pos")).rangeBetween(UNBOUNDED, 0)
-    until_here = Window.partitionBy(*key).orderBy("pos").rangeBetween(UNBOUNDED, -1)
-    edge = F.when(F.col("side") == "from", F.min("best").over(from_here)).otherwise(
-        F.min("best").over(until_here)
+    state = state_before(
+        points, key, "pos", [], first="best", least="best",
+        cell=F.floor(F.col("pos") / F.lit(MINUTE_US)).cast("long"), hot_rows=hot_rows,
     )
-    edges = points.select("prediction_id", edge.alias("best")).where(
+    edge = F.when(F.col("side") == "from", F.col("best_from")).otherwise(F.col("best_before"))
+    edges = state.select("prediction_id", edge.alias("best")).where(
         F.col("prediction_id").isNotNull() & F.col("best").isNotNull()
     )
     per_day = known.groupBy(*key).agg(F.min("best").alias("best"))
@@ -109,7 +113,7 @@ def feedback_metrics(history: DataFrame, horizon: int | None = None, by: Sequenc
 def metrics_over_time(history: DataFrame, horizon: int | None = None, days: int = ROLLING_DAYS) -> DataFrame:
     """For each evaluated prediction the quality over the ``days`` up to it, same instant included.
 
-    Counts come from running totals at the prediction and ``days`` before it, cut by day, on
+    Counts come from running totals at the prediction and ``days`` before it, cut by hour, on
     rows already counted per instant. Rows with fewer than five samples are left out.
     """
     rows = evaluated(history, horizon)
@@ -126,7 +130,7 @@ def metrics_over_time(history: DataFrame, horizon: int | None = None, days: int
     starts = counts.select("g", (F.col("pos") - shift - 1).alias("pos"), F.col("pos").alias("at"), F.lit(-1).alias("sign"), *blank)
     state = state_before(
         ends.unionByName(starts), ["g"], "pos", sums,
-        cell=F.floor(F.col("pos") / F.lit(DAY_US)).cast("long"), hot_rows=0, inclusive=True,
+        cell=F.floor(F.col("pos") / F.lit(HOUR_US)).cast("long"), hot_rows=0, inclusive=True,
     )
     window = state.groupBy("at").agg(*[F.sum(F.col("sign") * F.col(f"{c}_before")).alias(c) for c in sums])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

@@ -115,6 +115,7 @@ def state_before(
     sums: Sequence[str],
     last: str | None = None,
     first: str | None = None,
+    least: str | None = None,
     cell: Column | None = None,
     hot_rows: int = HOT_ROWS,
     inclusive: bool = False,
@@ -123,9 +124,10 @@ def state_before(
 
     Adds ``<sum>_before`` for each column of ``sums`` over rows with a smaller
     ``pos`` (or equal, if ``inclusive``), ``<last>_before`` = largest value of the
-    struct ``last`` over the same rows and ``<first>_from`` = smallest value of the
-    struct ``first`` over rows at or after ``pos``. Null measures are ignored, so a
-    row that only asks (a probe) carries nulls. ``hot_rows=0`` cuts every key by
+    struct ``last`` over the same rows, ``<least>_before`` = smallest value of ``least``
+    over them, and ``<first>_from`` = smallest value of the struct ``first`` over rows at
+    or after ``pos``. Null measures are ignored, so a row that only asks (a probe) carries
+    nulls. ``hot_rows=0`` cuts every key by
     ``cell``, the choice for few and large keys.
     """
     if hot_rows == 0:
@@ -146,18 +148,21 @@ def state_before(
     back = Window.partitionBy(*part).orderBy(F.col(pos).desc()).rangeBetween(UNBOUNDED, 0)
     inside = [F.sum(name).over(ahead).alias(f"_i_{name}") for name in sums]
     inside += [F.max(last).over(ahead).alias("_i_last")] if last else []
+    inside += [F.min(least).over(ahead).alias("_i_least")] if least else []
     inside += [F.min(first).over(back).alias("_i_first")] if first else []
     out = cells.select("*", *inside)
 
     if carried is not None:
         aggs = [F.sum(name).alias(name) for name in sums]
         aggs += [F.max(last).alias("_last")] if last else []
+        aggs += [F.min(least).alias("_least")] if least else []
         aggs += [F.min(first).alias("_first")] if first else []
         compact = carried.groupBy(*part).agg(*aggs)
         earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(UNBOUNDED, -1)
         later = Window.partitionBy(*keys).orderBy(F.col("_cell").desc()).rowsBetween(UNBOUNDED, -1)
         carry = [F.sum(name).over(earlier).alias(f"_c_{name}") for name in sums]
         carry += [F.max("_last").over(earlier).alias("_c_last")] if last else []
+        carry += [F.min("_least").over(earlier).alias("_c_least")] if least else []
         carry += [F.min("_first").over(later).alias("_c_first")] if first else []
         out = out.join(compact.select(*part, *carry), part, "left")
 
@@ -167,12 +172,13 @@ def state_before(
             value = value + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
         return value.cast(running_type(df.schema[name].dataType)).alias(f"{name}_before")
 
-    def pick(kind: str) -> Column:
-        return F.col(f"_i_{kind}") if carried is None else F.coalesce(f"_i_{kind}", f"_c_{kind}")
+    def pick(kind: str, fn=F.coalesce) -> Column:
+        return F.col(f"_i_{kind}") if carried is None else fn(f"_i_{kind}", f"_c_{kind}")
 
     tail = [total(name) for name in sums]
     tail += [pick("last").alias(f"{last}_before")] if last else []
-    tail += [pick("first").alias(f"{first}_from")] if first else []
+    tail += [pick("least", F.least).alias(f"{least}_before")] if least else []
+    tail += [pick("first", F.least).alias(f"{first}_from")] if first else []
     return out.select(*df.columns, *tail)
 
 

@@ -5,17 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-BUCKETS = 4096
+from pyspark.sql import DataFrame, Window, functions as F
 
+from .ordered import HOT_ROWS, hot_keys
 
-def _bucket(lo: float, hi: float) -> Column:
-    """Equal-width bucket; monotone in ``x``, so bucket order is value order."""
-    if not hi > lo:
-        return F.lit(0)
-    share = (F.col("x") - F.lit(lo)) / F.lit(hi - lo)
-    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+BUCKETS = 4096
 
 
 def _find(counts: list[tuple], ranks: Sequence[int]) -> dict[int, tuple[tuple, int]]:
@@ -29,19 +23,16 @@ def _find(counts: list[tuple], ranks: Sequence[int]) -> dict[int, tuple[tuple, i
     return out
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float]
-) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of whole numeric columns (eager, like ``approxQuantile``).
+def quantiles_of(long: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
+    """Linear-interpolation quantiles of ``x`` per ``name`` (eager, like ``approxQuantile``).
 
     Radix descent: the ranks wanted are looked up in counts per bucket over the full
     range, then per bucket inside the bucket that holds each rank, and so on until the
     bucket holds one value. Every pass counts before it shuffles; the driver sees at most
-    ``BUCKETS`` counts per column and open bucket, and no step sorts the column.
+    ``BUCKETS`` counts per open bucket, and no step sorts the values.
     """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns
-    ])).alias("p")).select("p.name", "p.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    spark = long.sparkSession
+    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
     span = {
         r["name"]: r
         for r in long.groupBy("name").agg(
@@ -55,51 +46,71 @@ def exact_quantiles(
         open_[(name, r["lo"], r["hi"])] = [(k, k) for k in ranks]
     while open_:
         todo, open_ = open_, {}
-        pick = None
-        for i, (name, lo, hi) in enumerate(todo):
-            hit = (F.col("name") == name) & F.col("x").between(lo, hi)
-            entry = F.struct(F.lit(i).alias("part"), _bucket(lo, hi).alias("b"))
-            pick = F.when(hit, entry) if pick is None else pick.when(hit, entry)
-        counted = long.select(pick.alias("e"), "x").where(F.col("e").isNotNull()).groupBy("e.part", "e.b")
-        rows = counted.agg(
+        buckets = max(64, BUCKETS // len(todo))
+        # one row per name and wanted rank
+        parts = F.broadcast(spark.createDataFrame(
+            [(i, *part) for i, part in enumerate(todo)], "part int, name string, lo double, hi double"
+        ))
+        # monotone in x, so bucket order is value order
+        share = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
+        inside = long.join(parts, "name").where(F.col("x").between(F.col("lo"), F.col("hi")))
+        rows = inside.groupBy("part", bucket.alias("b")).agg(
             F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
         ).collect()
+        by_part: dict[int, list[tuple]] = {}
+        for r in rows:
+            by_part.setdefault(r["part"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
         for i, ((name, _, _), ranks) in enumerate(todo.items()):
-            counts = [(r["b"], r["n"], r["lo"], r["hi"]) for r in rows if r["part"] == i]
-            found = _find(counts, [inside for _, inside in ranks])
-            for rank, inside in ranks:
-                (_, _, lo, hi), rest = found[inside]
+            found = _find(by_part[i], [rest for _, rest in ranks])
+            for rank, within in ranks:
+                (_, _, lo, hi), rest = found[within]
                 if lo == hi:
                     value[(name, rank)] = lo
                 else:
                     open_.setdefault((name, lo, hi), []).append((rank, rest))
     out = {}
-    for name in columns:
-        if name not in span:
-            out[name] = [None] * len(probs)
-            continue
+    for name, r in span.items():
         picks = []
         for p in probs:
-            at = p * (span[name]["n"] - 1)
+            at = p * (r["n"] - 1)
             x0, x1 = value[(name, math.floor(at) + 1)], value[(name, math.ceil(at) + 1)]
             picks.append(x0 + (x1 - x0) * (at - math.floor(at)))
         out[name] = picks
     return out
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per key from value counts, so repeated values shrink before the shuffle."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.select(
-        "*",
-        F.sum("_n").over(w).alias("_upto"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
-    )
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float]
+) -> dict[str, list[float | None]]:
+    """:func:`quantiles_of` whole numeric columns; a column without values gives None."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns
+    ])).alias("p")).select("p.name", "p.x")
+    found = quantiles_of(long, probs)
+    return {c: found.get(c, [None] * len(probs)) for c in columns}
+
+
+def grouped_median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact median per key from value counts, so repeated values shrink before the shuffle.
+
+    A key with more than ``hot_rows`` different values takes :func:`quantiles_of` instead,
+    which does not bring them together.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(counts, keys, hot_rows)
+    if hot is not None:
+        counts = counts.join(hot, list(keys), "left_anti").select(*keys, value, "_n")
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.select("*", F.sum("_n").over(w).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
     low = F.floor((F.col("_all") - 1) / 2) + 1
     high = F.floor(F.col("_all") / 2) + 1
     start = F.col("_upto") - F.col("_n")
-    return (
+    medians = (
         cum.groupBy(*keys)
         .agg(
             F.max(F.when((low > start) & (low <= F.col("_upto")), F.col(value))).alias("_lo"),
@@ -107,3 +118,10 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "m
         )
         .select(*keys, ((F.col("_lo") + F.col("_hi")) / 2.0).alias(out))
     )
+    if hot is None:
+        return medians
+    name = F.to_json(F.struct(*keys)).alias("name")
+    found = quantiles_of(known.join(hot, list(keys), "left_semi").select(name, F.col(value).cast("double").alias("x")), [0.5])
+    few = df.sparkSession.createDataFrame([(k, v[0]) for k, v in found.items()], f"name string, `{out}` double")
+    busy = hot.select(*keys, name).join(few, "name").select(*keys, out)
+    return medians.unionByName(busy)

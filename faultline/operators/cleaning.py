@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.days import day_cell
-from .ordered import HOT_ROWS, UNBOUNDED, hot_keys, ranked
+from .ordered import HOT_ROWS, UNBOUNDED, block_window, ordered_blocks, ranked, split_cells
 from .quantiles import exact_quantiles, grouped_median
 
 
@@ -52,34 +51,25 @@ def forward_fill(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Last known value of the same key; ``order`` starts with a timestamp.
+    """Last known value of the same key in the given order.
 
-    Hot keys are filled inside day cells first, then from the last known value of
-    the earlier cells.
+    Hot keys are filled inside blocks first, then from the last known value of the earlier
+    blocks (at most rows / hot_rows of them).
     """
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, 0)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    cell = F.when(F.col("_hot"), day_cell(order[0])).otherwise(F.lit(0))
-    cells = df.join(flag, list(keys), "left").select(*df.columns, cell.alias("_cell"))
-    part = [*keys, "_cell"]
-    at = F.struct(*order)
-    compact = (
-        df.join(hot, list(keys), "left_semi")
-        .withColumn("_cell", day_cell(order[0]))
-        .groupBy(*part)
-        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
+    blocks, hot = ordered_blocks(df, keys, order, 0, hot_rows=hot_rows)
+    w = block_window(keys).orderBy(*order).rowsBetween(UNBOUNDED, 0)
+    filled = blocks.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    if not hot:
+        return filled.select(*df.columns)
+    part, at = [*keys, "_block"], F.struct(*order)
+    known = blocks.where("_hot").groupBy(*part).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(UNBOUNDED, -1)
-    carry = compact.select(
-        *part, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in columns]
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(UNBOUNDED, -1)
+    carry = known.select(
+        *part, F.lit(True).alias("_hot"), *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in columns]
     )
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(UNBOUNDED, 0)
-    filled = {c: F.last(c, ignorenulls=True).over(w) for c in columns}
-    out = cells.withColumns(filled).join(carry, part, "left")
-    return out.select(*[
+    return filled.join(carry, [*part, "_hot"], "left").select(*[
         F.coalesce(c, f"_c_{c}").alias(c) if c in columns else F.col(c) for c in df.columns
     ])
 
@@ -146,13 +136,9 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 1000) -
 def label_encode(df: DataFrame, column: str, order: str, out: str | None = None) -> DataFrame:
     """Codes 0, 1, ... by first appearance in the numeric column ``order``; null is -1."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_at"))
-    span = firsts.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
-    lo, width = span["lo"] or 0, max((span["hi"] or 0) - (span["lo"] or 0), 1)
-    cell = F.floor((F.col("_at") - F.lit(lo)) / F.lit(width) * 4096).cast("long")
-    firsts = firsts.select("*", F.lit(0).alias("_one"), cell.alias("_cell"))
-    codes = ranked(firsts, ["_one"], "_cell", ["_at", column], "_code").select(
-        column, (F.col("_code") - 1).alias("_code")
-    )
+    # the categories count as one key, cut into cells along their first appearance
+    split, cells = split_cells(firsts.withColumn("_one", F.lit(0)), ["_one"], ["_at"], HOT_ROWS)
+    codes = ranked(split, ["_one"], cells, ["_at", column], "_code").select(column, (F.col("_code") - 1).alias("_code"))
     name = out or column
     rest = [c for c in df.columns if c != name]
     return df.join(codes, column, "left").select(*rest, F.coalesce("_code", F.lit(-1)).alias(name))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import EPS, NOT_FEATURES, ROLLING_WINDOWS
-from ..functions.days import floor_days
-from .ordered import HOT_ROWS, block_window, core_rows, hot_keys, ordered_blocks
+from ..functions.days import DAY_US, floor_days, micros
+from .ordered import HOT_ROWS, block_window, core_rows, ordered_blocks
 from .quantiles import grouped_median
 
 KEYS = ["asset_id"]
@@ -65,22 +65,16 @@ def interaction_columns(windows: Sequence[int]) -> dict[str, Column]:
 def base_series(log: DataFrame, before: int, after: int = 0, hot_rows: int = HOT_ROWS):
     """Log in blocks with TBF, plus the expressions for failure count and asset age.
 
-    Returns ``(blocks, extra, hot)``; ``hot`` is None when no asset is hot.
+    Returns ``(blocks, extra, hot)``; ``hot`` tells whether an asset was cut.
     """
     require(log, [*KEYS, *ORDER])
-    hot = hot_keys(log, KEYS, hot_rows, F.min("ts").alias("_hot_first"))
-    blocks = ordered_blocks(log, KEYS, ORDER, before, after, hot_rows, hot)
-    if hot is not None:
-        blocks = blocks.join(hot, KEYS, "left")
+    blocks, hot = ordered_blocks(log, KEYS, ORDER, before, after, hot_rows)
     w = block_window(KEYS).orderBy(*ORDER)
     blocks = blocks.select("*", floor_days(F.col("ts"), F.lag("ts").over(w)).alias("tbf"))
-    place, first = F.row_number().over(w), F.first("ts").over(w)
-    if hot is not None:
-        place = F.coalesce("_rank", place)
-        first = F.coalesce("_hot_first", first)
+    start = F.coalesce("_start", micros(F.first("ts").over(w)))
     extra = {
-        "cumulative_failures": place.cast("long"),
-        "asset_age_days": floor_days(F.col("ts"), first),
+        "cumulative_failures": F.coalesce("_rank", F.row_number().over(w)).cast("long"),
+        "asset_age_days": F.floor((micros("ts") - start) / F.lit(DAY_US)).cast("long"),
     }
     return blocks, extra, hot
 
@@ -88,7 +82,7 @@ def base_series(log: DataFrame, before: int, after: int = 0, hot_rows: int = HOT
 def asset_series(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """TBF (null on the first failure), running failure count and asset age in days."""
     blocks, extra, _ = base_series(log, 1, hot_rows=hot_rows)
-    return core_rows(blocks.withColumns(extra)).drop("_hot_first")
+    return core_rows(blocks.withColumns(extra))
 
 
 def asset_features(
@@ -116,7 +110,7 @@ def asset_features(
     }
     middle = {"_median": F.median("tbf").over(block_window(KEYS))} if fill else {}
     df = blocks.withColumns({**extra, **rolling, **_trend_columns(w), **middle}).where("_core")
-    if fill and hot is not None:
+    if fill and hot:
         whole = grouped_median(blocks.where("_hot and _core"), KEYS, "tbf", "_hot_median")
         # one row per hot asset, whose number was checked when they were listed
         df = df.join(F.broadcast(whole), KEYS, "left").withColumn(
@@ -188,8 +182,7 @@ def feature_sequences(
     Unpadded: only rows with a full history, label of the last step. Padded: one
     sequence per row, the earliest step repeated on the left.
     """
-    hot = hot_keys(features, KEYS, hot_rows)
-    blocks = ordered_blocks(features, KEYS, ORDER, steps - 1, hot_rows=hot_rows, hot=hot)
+    blocks, _ = ordered_blocks(features, KEYS, ORDER, steps - 1, hot_rows=hot_rows)
     w = block_window(KEYS).orderBy(*ORDER).rowsBetween(-(steps - 1), 0)
     step = F.array(*[F.col(c).cast("double") for c in columns])
     seq = blocks.withColumn("_step", step).withColumn("sequence", F.collect_list("_step").over(w))

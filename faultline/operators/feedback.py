@@ -15,7 +15,6 @@ from .ordered import HOT_ROWS, state_before
 ROLLING_DAYS, ROLLING_MIN = 30, 5
 BASELINE_DAYS, CURRENT_DAYS, MAX_DROP = 90, 30, 0.05
 DRIFT_MIN_ROWS, DRIFT_MIN_WINDOW = 20, 5
-MINUTE_US, HOUR_US = 60_000_000, 3_600_000_000
 
 
 def match_outcomes(
@@ -30,58 +29,38 @@ def match_outcomes(
 
     The range [prediction, prediction + horizon + 1 days) is cut at day borders: the rest of
     its first day and the start of its last day are read from running minima inside that
-    day (cut further by minute where one asset has very many rows a day), the days between
+    day (cut further where one asset has very many in a day), the days between
     from one minimum per asset and day. No prediction is paired with single outcomes, so a
     busy asset costs no more per row than a quiet one.
     """
-    key = ["asset_id", "cell"]
-    at = micros("occurred_at")
+    key = ["asset_id", "day"]
+    day = F.floor(F.col("pos") / DAY_US).cast("long").alias("day")
     best = F.struct(
         F.col("registered_seq").alias("seq"), F.col("failed").alias("outcome"), F.col("occurred_at").alias("when")
     )
-    known = outcomes.select("asset_id", at.alias("pos"), best.alias("best")).withColumn(
-        "cell", F.floor(F.col("pos") / DAY_US).cast("long")
-    )
+    # one row per asset and instant
+    known = outcomes.groupBy("asset_id", micros("occurred_at").alias("pos")).agg(F.min(best).alias("best")).select("*", day)
     kind = known.schema["best"].dataType
-    start = micros("predicted_at")
-    asked = predictions.select(
-        "prediction_id", "asset_id", "horizon", start.alias("start"),
-        F.floor(start / DAY_US).cast("long").alias("first_day"),
-    )
+    span = ["asset_id", "start", "horizon"]
+    asked = predictions.select("asset_id", micros("predicted_at").alias("start"), "horizon").distinct()
+    length = (F.col("horizon") + 1) * F.lit(DAY_US)
     ends = F.explode(F.array(
-        F.struct(F.lit("from").alias("side"), F.col("first_day").alias("cell"), F.col("start").alias("pos")),
-        F.struct(
-            F.lit("until").alias("side"),
-            (F.col("first_day") + F.col("horizon") + 1).alias("cell"),
-            (F.col("start") + (F.col("horizon") + 1) * F.lit(DAY_US)).alias("pos"),
-        ),
+        F.struct(F.lit("from").alias("side"), F.col("start").alias("pos")),
+        F.struct(F.lit("until").alias("side"), (F.col("start") + length).alias("pos")),
     )).alias("e")
-    probes = asked.select("prediction_id", "asset_id", ends).select(
-        "prediction_id", "asset_id", "e.side", "e.cell", "e.pos", F.lit(None).cast(kind).alias("best")
-    )
-    points = probes.unionByName(
-        known.select(
-            F.lit(None).cast(asked.schema["prediction_id"].dataType).alias("prediction_id"),
-            "asset_id", F.lit(None).cast("string").alias("side"), "cell", "pos", "best",
-        )
-    )
-    state = state_before(
-        points, key, "pos", [], first="best", least="best",
-        cell=F.floor(F.col("pos") / F.lit(MINUTE_US)).cast("long"), hot_rows=hot_rows,
-    )
+    probes = asked.select(*span, ends).select(*span, "e.side", "e.pos", F.lit(None).cast(kind).alias("best")).select("*", day)
+    points = probes.unionByName(known, allowMissingColumns=True)
+    state = state_before(points, key, "pos", [], first="best", least="best", hot_rows=hot_rows)
     edge = F.when(F.col("side") == "from", F.col("best_from")).otherwise(F.col("best_before"))
-    edges = state.select("prediction_id", edge.alias("best")).where(
-        F.col("prediction_id").isNotNull() & F.col("best").isNotNull()
-    )
+    edges = state.where(F.col("side").isNotNull()).select(*span, edge.alias("best"))
     per_day = known.groupBy(*key).agg(F.min("best").alias("best"))
-    spans = asked.select("asset_id", "first_day", "horizon").distinct()
-    between = spans.where("horizon > 0").select(
-        "*", F.explode(F.sequence(F.col("first_day") + 1, F.col("first_day") + F.col("horizon"))).alias("cell")
-    )
+    first_day = F.floor(F.col("start") / DAY_US).cast("long").alias("first_day")
+    days = asked.where("horizon > 0").select("asset_id", first_day, "horizon").distinct()
+    between = days.select("*", F.explode(F.sequence(F.col("first_day") + 1, F.col("first_day") + F.col("horizon"))).alias("day"))
     whole = between.join(per_day, key).groupBy("asset_id", "first_day", "horizon").agg(F.min("best").alias("best"))
-    middle = asked.join(whole, ["asset_id", "first_day", "horizon"]).select("prediction_id", "best")
-    first = edges.unionByName(middle).groupBy("prediction_id").agg(F.min("best").alias("best"))
-    return predictions.join(first, "prediction_id", "left").select(
+    middle = asked.select("*", first_day).join(whole, ["asset_id", "first_day", "horizon"]).select(*span, "best")
+    found = edges.unionByName(middle).groupBy(*span).agg(F.min("best").alias("best")).where(F.col("best").isNotNull())
+    return predictions.withColumn("start", micros("predicted_at")).join(found, span, "left").select(
         *predictions.columns,
         F.col("best.outcome").alias("outcome"),
         F.col("best.when").alias("occurred_at"),
@@ -110,28 +89,27 @@ def feedback_metrics(history: DataFrame, horizon: int | None = None, by: Sequenc
     return classification_metrics(evaluated(history, horizon), by=by)
 
 
-def metrics_over_time(history: DataFrame, horizon: int | None = None, days: int = ROLLING_DAYS) -> DataFrame:
+def metrics_over_time(
+    history: DataFrame, horizon: int | None = None, days: int = ROLLING_DAYS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """For each evaluated prediction the quality over the ``days`` up to it, same instant included.
 
-    Counts come from running totals at the prediction and ``days`` before it, cut by hour, on
-    rows already counted per instant. Rows with fewer than five samples are left out.
+    Counts come from running totals at the prediction and ``days`` before it, on rows already
+    counted per instant and cut where there are very many instants. Rows with fewer than five samples are left out.
     """
     rows = evaluated(history, horizon)
     y, pred = F.col("y") == 1, F.col("pred") == 1
-    counts = rows.groupBy(F.lit(1).alias("g"), micros("predicted_at").alias("pos")).agg(
+    counts = rows.groupBy(micros("predicted_at").alias("pos")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(y & pred).alias("tp"),
         F.count_if(~y & pred).alias("fp"), F.count_if(y & ~pred).alias("fn"),
     )
     sums = ["n", "tp", "fp", "fn"]
     blank = [F.lit(None).cast("long").alias(c) for c in sums]
     # totals up to and including the instant, minus totals strictly before the window
-    ends = counts.select("g", "pos", F.col("pos").alias("at"), F.lit(1).alias("sign"), *sums)
+    ends = counts.select("pos", F.col("pos").alias("at"), F.lit(1).alias("sign"), *sums)
     shift = F.lit(days * DAY_US)
-    starts = counts.select("g", (F.col("pos") - shift - 1).alias("pos"), F.col("pos").alias("at"), F.lit(-1).alias("sign"), *blank)
-    state = state_before(
-        ends.unionByName(starts), ["g"], "pos", sums,
-        cell=F.floor(F.col("pos") / F.lit(HOUR_US)).cast("long"), hot_rows=0, inclusive=True,
-    )
+    starts = counts.select((F.col("pos") - shift - 1).alias("pos"), F.col("pos").alias("at"), F.lit(-1).alias("sign"), *blank)
+    state = state_before(ends.unionByName(starts), [], "pos", sums, hot_rows=hot_rows, inclusive=True)
     window = state.groupBy("at").agg(*[F.sum(F.col("sign") * F.col(f"{c}_before")).alias(c) for c in sums])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     quality = window.where(F.col("n") >= ROLLING_MIN).select(

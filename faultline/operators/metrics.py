@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ordered import HOT_ROWS, state_before
 
 # Unit costs of the cost metrics and the threshold grid (i / 20 for i = 1..19).
 COSTS = {"fp": 100.0, "fn": 1000.0, "tp": 50.0, "tn_revenue": 0.0}
 THRESHOLD_STEPS = 19
-SCORE_CELLS = 4096
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -51,60 +51,29 @@ def at_threshold(df: DataFrame, p: str = "p", threshold: float = 0.5, out: str =
     return df.withColumn(out, (F.col(p) >= threshold).cast("int"))
 
 
-def _score_table(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives per distinct score, with the totals of the higher scores."""
-    counts = df.groupBy(*by, F.col(p).alias("_p")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
-    )
-    # order by falling score; the cell is a monotone function of the position
-    counts = counts.withColumn("_cell", F.floor(-F.col("_p") * SCORE_CELLS).cast("long"))
-    part = Window.partitionBy(*by, "_cell").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy(*by, "_cell").agg(F.sum("pos").alias("_cp"), F.sum("neg").alias("_cn"))
-    above = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    # SCORE_CELLS rows per group for scores in [0, 1]
-    cells = cells.select(
-        *by, "_cell",
-        F.coalesce(F.sum("_cp").over(above), F.lit(0)).alias("_cp"),
-        F.coalesce(F.sum("_cn").over(above), F.lit(0)).alias("_cn"),
-        F.sum("_cp").over(whole).alias("n_pos"),
-        F.sum("_cn").over(whole).alias("n_neg"),
-    )
-    return (
-        counts.select(
-            "*",
-            F.coalesce(F.sum("pos").over(part), F.lit(0)).alias("_ip"),
-            F.coalesce(F.sum("neg").over(part), F.lit(0)).alias("_in"),
-        )
-        .join(cells, [*by, "_cell"])
-        .select(
-            *by, "_p", "pos", "neg", "n_pos", "n_neg",
-            (F.col("_ip") + F.col("_cp")).alias("pos_above"),
-            (F.col("_in") + F.col("_cn")).alias("neg_above"),
-        )
-    )
-
-
-def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``auc_roc`` (Mann-Whitney, ties half) and ``auc_pr`` (average precision, step sum).
 
-    Both null when a group has one class. Works on counts per distinct score, summed in
-    score cells, so no task needs all scores of a group.
+    Both null when a group has one class. Works on counts per distinct score with running
+    totals from the highest score down, cut into cells where a group has very many scores.
     """
-    table = _score_table(df, y, p, by)
-    pairs = F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)
-    upto = F.col("pos_above") + F.col("pos")
-    precision = upto / (upto + F.col("neg_above") + F.col("neg"))
+    counts = df.groupBy(*by, (-F.col(p)).alias("_pos")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    )
+    table = state_before(counts, list(by), "_pos", ["pos", "neg"], hot_rows=hot_rows, inclusive=True)
+    hits, seen = F.col("pos_before"), F.col("pos_before") + F.col("neg_before")
     out = table.groupBy(*by).agg(
-        F.max("n_pos").alias("n_pos"),
-        F.max("n_neg").alias("n_neg"),
-        F.sum(pairs).alias("_pairs"),
-        F.sum(F.col("pos") * precision).alias("_ap"),
+        F.sum("pos").alias("n_pos"),
+        F.sum("neg").alias("n_neg"),
+        F.sum(F.col("neg") * (hits - F.col("pos") / 2.0)).alias("_pairs"),
+        F.sum(F.col("pos") * F.try_divide(hits, seen)).alias("_ap"),
     )
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return out.select(
         *by, "n_pos", "n_neg",
-        F.when(both, F.try_divide(F.col("_pairs"), F.col("n_pos") * F.col("n_neg"))).alias("auc_roc"),
+        F.when(both, F.try_divide(F.col("_pairs"), F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc_roc"),
         F.when(both, F.try_divide(F.col("_ap"), F.col("n_pos"))).alias("auc_pr"),
     )
 

@@ -1,17 +1,17 @@
 """Ordered computations per key that stay balanced when one key is huge.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. The
-helpers below keep that plan for ordinary keys and cut the *hot* ones (more than
-``hot_rows`` rows) into pieces:
-
-* :func:`ordered_blocks` - equal-sized blocks by rank, each with the few
-  neighbouring rows that ``lag``/``lead``/``rowsBetween`` frames look at;
-* :func:`state_before` - running totals by position: totals inside a time cell
-  plus a carry from the compacted table of earlier cells.
-
-Hot keys are found first by a count per key over the key column alone, so the
-common case (none) plans as one shuffle and one sort. A table of N rows has at most
-N / hot_rows hot keys, which bounds the list that is broadcast.
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. The helpers
+below keep that plan for ordinary keys and cut the *hot* ones (more than ``hot_rows``
+rows) into cells along their order (:func:`split_cells`). On top of the cells:
+
+* :func:`ordered_blocks` - equal-sized blocks by rank, each with the few neighbouring
+  rows that ``lag``/``lead``/``rowsBetween`` frames look at;
+* :func:`state_before` - running totals by position: totals inside a cell plus a carry
+  from the compacted table of earlier cells.
+
+Hot groups are found first by a count per key over the key and order columns alone, so
+the common case (none) plans as one shuffle and one sort. A table of N rows has at most
+N / hot_rows hot groups, which bounds every list that is broadcast here.
 """
 
 from __future__ import annotations
@@ -20,82 +20,127 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.days import day_cell
+from ..functions.days import micros
 
 HOT_ROWS = 2_000_000
+BUCKETS = 4096
 UNBOUNDED = Window.unboundedPreceding
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, *extra: Column) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows as a local table, or None if there are none."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     found = counted.where(F.col("_n") > hot_rows).drop("_n")
     rows = found.collect()
     return F.broadcast(df.sparkSession.createDataFrame(rows, found.schema)) if rows else None
 
 
+def _numbers(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """The leading order columns that can be cut by value."""
+    out = []
+    for name in order:
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            out.append(micros(name))
+        elif isinstance(kind, T.NumericType):
+            out.append(F.col(name))
+        else:
+            break
+    return out
+
+
+def split_cells(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int
+) -> tuple[DataFrame, list[str]]:
+    """Cut hot keys into cells of at most ``hot_rows`` rows; ``(df, cell columns)``.
+
+    Each round takes the groups that are still too large and cuts each into equal-width
+    buckets of the first order column that varies inside it, so the cell columns sort like
+    the order. Without a hot key the table comes back unchanged and the list is empty, else
+    it also has ``_hot`` and ``_start``, the first order value of a hot key. Only rows that
+    agree in every numeric order column stay together.
+    """
+    numbers, cells = _numbers(df, order), []
+    while numbers:
+        part = [*keys, *cells]
+        spans = [s for i, n in enumerate(numbers) for s in (F.min(n).alias(f"_lo{i}"), F.max(n).alias(f"_hi{i}"))]
+        varies = F.lit(False)
+        for i in range(len(numbers)):
+            varies = varies | (F.col(f"_lo{i}") < F.col(f"_hi{i}"))
+        counted = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), *spans)
+        big = counted.where((F.col("_n") > hot_rows) & varies).drop("_n")
+        rows = big.collect()
+        if not rows:
+            break
+        bucket = F.when(F.lit(False), F.lit(0).cast("long"))
+        for i, n in enumerate(numbers):
+            lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            share = (n - lo).cast("double") / (hi - lo).cast("double")
+            bucket = bucket.when(lo < hi, F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("long"))
+        name = f"_c{len(cells)}"
+        added = [F.coalesce(bucket, F.lit(0).cast("long")).alias(name)]
+        if not cells:
+            added += [F.col("_lo0").isNotNull().alias("_hot"), F.col("_lo0").alias("_start")]
+        table = F.broadcast(df.sparkSession.createDataFrame(rows, big.schema))
+        df = df.join(table, part, "left").select(*df.columns, *added)
+        cells.append(name)
+    return df, cells
+
+
 def ranked(
-    df: DataFrame, keys: Sequence[str], cell: str, order: Sequence[Column | str], out: str
+    df: DataFrame, keys: Sequence[str], cells: Sequence[str], order: Sequence[Column | str], out: str
 ) -> DataFrame:
-    """1-based rank per key: position inside (key, cell) plus the rows of earlier cells.
+    """1-based rank per key: position inside (key, cells) plus the rows of earlier cells.
 
-    ``cell`` must be monotone in the order. No task sees more than one cell of a key.
+    The cell columns must sort like the order. No task sorts more than one cell of a key.
     """
-    sizes = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(UNBOUNDED, -1)
-    offsets = sizes.select(
-        *keys, cell, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*keys, cell).orderBy(*order)
+    part = [*keys, *cells]
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy(*cells).rowsBetween(UNBOUNDED, -1)
+    offsets = sizes.select(*part, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*part).orderBy(*order)
     placed = df.select("*", F.row_number().over(inside).alias("_pos"))
-    return placed.join(offsets, [*keys, cell]).select(
-        *df.columns, (F.col("_offset") + F.col("_pos")).alias(out)
-    )
+    return placed.join(offsets, part).select(*df.columns, (F.col("_offset") + F.col("_pos")).alias(out))
 
 
-def ordered_blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    before: int,
-    after: int = 0,
-    hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``_hot, _block, _core, _rank``; see :func:`block_window`.
+def blocks_around(rank: Column, size: int, before: int, after: int) -> tuple[Column, Column]:
+    """Own block of a rank, and all blocks that need the row (own and neighbours)."""
+    home = F.floor((rank - 1) / F.lit(size)).cast("long")
+    place = (rank - 1) % F.lit(size)
+    return home, F.array_compact(F.array(
+        home,
+        F.when(place >= size - before, home + 1),
+        F.when((place < after) & (home > 0), home - 1),
+    ))
+
 
-    Rows of ordinary keys get block 0. A hot key is ranked and cut every
-    ``hot_rows`` rows; the last ``before`` rows of a block are repeated at the
-    head of the next one and the first ``after`` rows at the tail of the previous
-    one, with ``_core`` false, to be dropped after the windows are computed.
-    ``hot`` is the table of :func:`hot_keys`.
+def ordered_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int = 0, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, bool]:
+    """Add ``_hot, _block, _core, _rank, _start``; see :func:`block_window`.
+
+    Rows of ordinary keys get block 0. A hot key is ranked and cut every ``hot_rows`` rows;
+    the last ``before`` rows of a block are repeated at the head of the next one and the
+    first ``after`` rows at the tail of the previous one, with ``_core`` false, to be dropped
+    after the windows are computed. The second value tells whether there is a hot key.
     """
     if before >= hot_rows or after >= hot_rows:
         raise ValueError("hot_rows must exceed the frame length")
-    plain = df if hot is None else df.join(hot, list(keys), "left_anti")
-    plain = plain.select(
+    split, cells = split_cells(df, keys, order, hot_rows)
+    plain = (split.where(~F.col("_hot")) if cells else df).select(
         *df.columns,
         F.lit(False).alias("_hot"),
         F.lit(0).cast("long").alias("_block"),
         F.lit(True).alias("_core"),
         F.lit(None).cast("long").alias("_rank"),
+        F.lit(None).cast("long").alias("_start"),
     )
-    if hot is None:
-        return plain
-    cut = df.join(hot, list(keys), "left_semi").withColumn("_cell", day_cell(order[0]))
-    cut = ranked(cut, keys, "_cell", order, "_rank")
-    size = F.lit(hot_rows)
-    home = F.floor((F.col("_rank") - 1) / size).cast("long")
-    place = (F.col("_rank") - 1) % size
-    blocks = F.array_compact(F.array(
-        home,
-        F.when(place >= size - before, home + 1),
-        F.when((place < after) & (home > 0), home - 1),
-    ))
-    cut = cut.select(
-        *df.columns, F.lit(True).alias("_hot"), F.explode(blocks).alias("_block"), "_rank"
-    ).withColumn("_core", F.col("_block") == home)
-    return plain.unionByName(cut)
+    if not cells:
+        return plain, False
+    cut = ranked(split.where("_hot"), keys, cells, order, "_rank")
+    home, every = blocks_around(F.col("_rank"), hot_rows, before, after)
+    cut = cut.select(*df.columns, "_hot", F.explode(every).alias("_block"), "_rank", F.col("_start").cast("long"))
+    return plain.unionByName(cut.withColumn("_core", F.col("_block") == home)), True
 
 
 def block_window(keys: Sequence[str]):
@@ -105,7 +150,7 @@ def block_window(keys: Sequence[str]):
 
 def core_rows(df: DataFrame) -> DataFrame:
     """Drop the repeated neighbour rows and the helper columns."""
-    return df.where("_core").drop("_hot", "_block", "_core", "_rank")
+    return df.where("_core").drop("_hot", "_block", "_core", "_rank", "_start")
 
 
 def state_before(
@@ -116,50 +161,39 @@ def state_before(
     last: str | None = None,
     first: str | None = None,
     least: str | None = None,
-    cell: Column | None = None,
     hot_rows: int = HOT_ROWS,
     inclusive: bool = False,
 ) -> DataFrame:
-    """Running state of each key at every row, by the integer column ``pos``.
-
-    Adds ``<sum>_before`` for each column of ``sums`` over rows with a smaller
-    ``pos`` (or equal, if ``inclusive``), ``<last>_before`` = largest value of the
-    struct ``last`` over the same rows, ``<least>_before`` = smallest value of ``least``
-    over them, and ``<first>_from`` = smallest value of the struct ``first`` over rows at
-    or after ``pos``. Null measures are ignored, so a row that only asks (a probe) carries
-    nulls. ``hot_rows=0`` cuts every key by
-    ``cell``, the choice for few and large keys.
+    """Running state of each key at every row, by the number ``pos``.
+
+    Adds ``<sum>_before`` for each column of ``sums`` over rows with a smaller ``pos`` (or
+    equal, if ``inclusive``; otherwise ``pos`` is an integer), ``<last>_before`` = largest
+    value of the struct ``last`` over the same rows, ``<least>_before`` = smallest value of
+    ``least`` over them, and ``<first>_from`` = smallest value of the struct ``first`` over
+    rows at or after ``pos``. Null measures are ignored, so a row that only asks (a probe)
+    carries nulls. Callers reduce their rows to one per key and position first.
     """
-    if hot_rows == 0:
-        cells = df.select("*", cell.alias("_cell"))
-        carried = cells
-    else:
-        hot = hot_keys(df, keys, hot_rows)
-        if hot is None:
-            cells, carried = df.select("*", F.lit(0).cast("long").alias("_cell")), None
-        else:
-            flag = hot.withColumn("_hot", F.lit(True))
-            cells = df.join(F.broadcast(flag), list(keys), "left").select(
-                *df.columns, F.when(F.col("_hot"), cell).otherwise(F.lit(0)).alias("_cell")
-            )
-            carried = df.join(hot, list(keys), "left_semi").select("*", cell.alias("_cell"))
-    part = [*keys, "_cell"]
+    columns = df.columns
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
+    cut, cells = split_cells(df, keys, [pos], hot_rows)
+    part = [*keys, *cells]
     ahead = Window.partitionBy(*part).orderBy(pos).rangeBetween(UNBOUNDED, 0 if inclusive else -1)
     back = Window.partitionBy(*part).orderBy(F.col(pos).desc()).rangeBetween(UNBOUNDED, 0)
     inside = [F.sum(name).over(ahead).alias(f"_i_{name}") for name in sums]
     inside += [F.max(last).over(ahead).alias("_i_last")] if last else []
     inside += [F.min(least).over(ahead).alias("_i_least")] if least else []
     inside += [F.min(first).over(back).alias("_i_first")] if first else []
-    out = cells.select("*", *inside)
+    out = cut.select("*", *inside)
 
-    if carried is not None:
+    if cells:
         aggs = [F.sum(name).alias(name) for name in sums]
         aggs += [F.max(last).alias("_last")] if last else []
         aggs += [F.min(least).alias("_least")] if least else []
         aggs += [F.min(first).alias("_first")] if first else []
-        compact = carried.groupBy(*part).agg(*aggs)
-        earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(UNBOUNDED, -1)
-        later = Window.partitionBy(*keys).orderBy(F.col("_cell").desc()).rowsBetween(UNBOUNDED, -1)
+        compact = cut.where("_hot").groupBy(*part).agg(*aggs)
+        earlier = Window.partitionBy(*keys).orderBy(*cells).rowsBetween(UNBOUNDED, -1)
+        later = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in cells]).rowsBetween(UNBOUNDED, -1)
         carry = [F.sum(name).over(earlier).alias(f"_c_{name}") for name in sums]
         carry += [F.max("_last").over(earlier).alias("_c_last")] if last else []
         carry += [F.min("_least").over(earlier).alias("_c_least")] if least else []
@@ -168,18 +202,18 @@ def state_before(
 
     def total(name: str) -> Column:
         value = F.coalesce(F.col(f"_i_{name}"), F.lit(0))
-        if carried is not None:
+        if cells:
             value = value + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
         return value.cast(running_type(df.schema[name].dataType)).alias(f"{name}_before")
 
     def pick(kind: str, fn=F.coalesce) -> Column:
-        return F.col(f"_i_{kind}") if carried is None else fn(f"_i_{kind}", f"_c_{kind}")
+        return fn(f"_i_{kind}", f"_c_{kind}") if cells else F.col(f"_i_{kind}")
 
     tail = [total(name) for name in sums]
     tail += [pick("last").alias(f"{last}_before")] if last else []
     tail += [pick("least", F.least).alias(f"{least}_before")] if least else []
     tail += [pick("first", F.least).alias(f"{first}_from")] if first else []
-    return out.select(*df.columns, *tail)
+    return out.select(*columns, *tail)
 
 
 def running_type(kind: T.DataType) -> T.DataType:

@@ -20,7 +20,7 @@ MIN_SIMILARITY = 0.3
 TOP_SIMILAR = 5
 TOP_CAUSES = 5
 TOP_ADVISED = 3
-EVENT = [*KEYS, "event_id"]
+FAILURE = [*KEYS, "ts"]  # failures of an asset at one instant share their analysis
 EXACT = "decimal(18,6)"  # measures are summed as decimals, so differences of totals are exact
 
 
@@ -37,12 +37,13 @@ def _spread(n: Column, s: Column, q: Column) -> Column:
 def window_statistics(
     history: DataFrame, features: Sequence[str], window_days: int = 7, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """For every failure at t: statistics of each feature in [t - w, t) and before t - w.
+    """For every failure instant t of an asset: statistics of each feature in [t - w, t) and before t - w.
 
-    Columns ``asset_id, ts, event_id, n_window, n_baseline, s`` with ``s`` an array of
-    ``feature, window_mean, window_sd, first, last, base_mean, base_sd``. Both ranges are
-    read off running totals at t and at t - w, so the cost is linear however many failures
-    a window holds, and a hot asset is cut by day.
+    Columns ``asset_id, ts, n_window, n_baseline, s`` with ``s`` an array of
+    ``feature, window_mean, window_sd, first, last, base_mean, base_sd``. The rows are first
+    reduced to one per asset and instant. Both ranges are read off running totals at t and at
+    t - w, so the cost is linear however many failures a window holds, and a hot asset is cut
+    into cells.
     """
     here = micros("ts")
     x = [F.col(c).cast(EXACT) for c in features]
@@ -50,29 +51,28 @@ def window_statistics(
     row = F.struct(here.alias("at"), F.col("event_id").alias("id"), *[
         F.col(c).cast("double").alias(n) for c, n in zip(features, names)
     ])
-    nothing = F.lit(None)
-    measures = [F.lit(1).cast("long").alias("n"), row.alias("row")]
-    measures += [v.alias(n) for v, n in zip(x, names)]
-    measures += [(v * v).cast("decimal(36,12)").alias(f"{n}q") for v, n in zip(x, names)]
-    events = history.select(*KEYS, "ts", "event_id", here.alias("pos"), F.lit(False).alias("probe"), *measures)
-    kinds = {f.name: f.dataType for f in events.schema.fields}
-    blanks = [nothing.cast(kinds[c]).alias(c) for c in events.columns[5:]]
-    probes = history.select(
-        *KEYS, "ts", "event_id", (here - window_days * DAY_US).alias("pos"), F.lit(True).alias("probe"), *blanks
+    instants = history.groupBy(*FAILURE).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(v).cast("decimal(28,6)").alias(n) for v, n in zip(x, names)],
+        *[F.sum(v * v).cast("decimal(36,12)").alias(f"{n}q") for v, n in zip(x, names)],
+        F.min(row).alias("head"),
+        F.max(row).alias("tail"),
     )
     sums = ["n", *names, *[f"{n}q" for n in names]]
-    state = state_before(
-        events.unionByName(probes), KEYS, "pos", sums, last="row", first="row",
-        cell=F.floor(F.col("pos") / F.lit(DAY_US)).cast("long"), hot_rows=hot_rows,
+    measures = [*sums, "head", "tail"]
+    kinds = {f.name: f.dataType for f in instants.schema.fields}
+    events = instants.select(*FAILURE, here.alias("pos"), F.lit(False).alias("probe"), *measures)
+    probes = instants.select(
+        *FAILURE, (here - window_days * DAY_US).alias("pos"), F.lit(True).alias("probe"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in measures],
     )
-    totals = [f"{c}_before" for c in sums]
-    is_probe = F.col("probe")
-    both = state.groupBy(*KEYS, "event_id").agg(
-        F.max(F.when(~is_probe, F.col("ts"))).alias("ts"),
-        *[F.max(F.when(~is_probe, F.col(c))).alias(f"a_{c}") for c in totals],
-        *[F.max(F.when(is_probe, F.col(c))).alias(f"b_{c}") for c in totals],
-        F.max(F.when(~is_probe, F.col("row_before"))).alias("last"),
-        F.max(F.when(is_probe, F.col("row_from"))).alias("first"),
+    state = state_before(events.unionByName(probes), KEYS, "pos", sums, last="tail", first="head", hot_rows=hot_rows)
+    totals, probe = [f"{c}_before" for c in sums], F.col("probe")
+    both = state.groupBy(*FAILURE).agg(
+        *[F.max(F.when(~probe, F.col(c))).alias(f"a_{c}") for c in totals],
+        *[F.max(F.when(probe, F.col(c))).alias(f"b_{c}") for c in totals],
+        F.max(F.when(~probe, F.col("tail_before"))).alias("last"),
+        F.max(F.when(probe, F.col("head_from"))).alias("first"),
     )
     n_all, n_base = F.col("a_n_before"), F.col("b_n_before")
     n = n_all - n_base
@@ -91,11 +91,16 @@ def window_statistics(
         )
 
     return both.select(
-        *KEYS, "ts", "event_id", n.alias("n_window"), n_base.alias("n_baseline"),
+        *FAILURE, n.alias("n_window"), n_base.alias("n_baseline"),
         F.array(*[one(i, c) for i, c in enumerate(features)]).alias("s"),
     )
 
 
+def per_failure(history: DataFrame, analysed: DataFrame) -> DataFrame:
+    """Rows per asset and instant put on the single failures of the log."""
+    return history.select(*FAILURE, "event_id").join(analysed, FAILURE)
+
+
 def severity(abs_z: Column) -> Column:
     top, high, medium, low = K.SEVERITY
     return F.when(abs_z >= 4, top).when(abs_z >= 3, high).when(abs_z >= 2, medium).otherwise(low)
@@ -135,13 +140,13 @@ def detect_anomalies(stats: DataFrame, limit: float = Z_LIMIT, min_baseline_rows
         a["feature"] > b["feature"], 1
     ).otherwise(0))
     return stats.select(
-        *KEYS, "ts", "event_id", "n_window", "n_baseline", by_size.alias("anomalies")
+        *FAILURE, "n_window", "n_baseline", by_size.alias("anomalies")
     )
 
 
 def anomaly_rows(anomalies: DataFrame) -> DataFrame:
-    """One row per failure and anomalous feature."""
-    return anomalies.select(*KEYS, "ts", "event_id", F.inline("anomalies"))
+    """One row per asset, instant and anomalous feature."""
+    return anomalies.select(*FAILURE, F.inline("anomalies"))
 
 
 def _signature(anomalies: str = "anomalies") -> Column:
@@ -159,9 +164,9 @@ def similar_failures(current: DataFrame, past: DataFrame) -> DataFrame:
     most 5 x features entries, so the rows of an asset are never paired with each other.
     """
     now = current.withColumn("_set", _signature())
-    before = past.select(*KEYS, "ts", _signature().alias("past_set")).where(F.size("past_set") > 0)
+    before = past.select(*FAILURE, _signature().alias("past_set")).where(F.size("past_set") > 0)
     order = Window.partitionBy(*KEYS, "past_set").orderBy("ts")
-    dates = before.distinct().select("*", F.row_number().over(order).alias("_n")).where(
+    dates = before.select("*", F.row_number().over(order).alias("_n")).where(
         F.col("_n") <= TOP_SIMILAR
     )
     dates = dates.groupBy(*KEYS, "past_set").agg(F.collect_list("ts").alias("dates"))
@@ -284,8 +289,8 @@ def cause_report(
     if recommendations:
         found = recommend(found)
     extra = ["recommendations"] if recommendations else []
-    return found.select(
-        *KEYS, "ts", "event_id",
+    return per_failure(history, found).select(
+        *FAILURE, "event_id",
         F.when(F.col("n_window") > 0, "ok").otherwise("no rows in window").alias("status"),
         F.lit(window_days).alias("window_days"),
         F.size("anomalies").alias("n_anomalies"),

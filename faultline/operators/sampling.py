@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import ranked
+from .ordered import blocks_around, ranked, split_cells
 
-NEIGHBOURS, ORDERS, BLOCK, CELLS = 5, 3, 100_000, 4096
+NEIGHBOURS, ORDERS, BLOCK = 5, 3, 100_000
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -34,16 +34,11 @@ def near_neighbours(
         direction = F.array(*[F.lit(rng.gauss(0.0, 1.0)) for _ in range(size)])
         along = F.aggregate(F.zip_with("_x", direction, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
         placed = points.select("_key", "_x", along.alias("_p"), F.lit(0).alias("_one"))
-        span = placed.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
-        width = (span["hi"] - span["lo"]) or 1.0
-        cell = F.floor((F.col("_p") - F.lit(span["lo"])) / F.lit(width) * CELLS).cast("long")
-        at = ranked(placed.withColumn("_cell", cell), ["_one"], "_cell", ["_p", "_key"], "_at")
-        home = F.floor((F.col("_at") - 1) / BLOCK)
-        spot = (F.col("_at") - 1) % BLOCK
-        blocks = F.array_compact(F.array(
-            home, F.when(spot >= BLOCK - k, home + 1), F.when((spot < k) & (home > 0), home - 1)
-        ))
-        rows = at.select("_key", "_x", "_at", home.alias("_home"), F.explode(blocks).alias("_block"))
+        # the rows count as one key, cut into cells along the direction
+        split, cells = split_cells(placed, ["_one"], ["_p"], BLOCK)
+        at = ranked(split, ["_one"], cells, ["_p", "_key"], "_at")
+        home, every = blocks_around(F.col("_at"), BLOCK, k, k)
+        rows = at.select("_key", "_x", "_at", home.alias("_home"), F.explode(every).alias("_block"))
         around = Window.partitionBy("_block").orderBy("_at").rowsBetween(-k, k)
         side = rows.select(
             "_key", "_x", "_home", "_block",
@@ -77,7 +72,7 @@ def smote(
     points = df.where(F.col(y) == F.lit(small)).select(F.col(key).alias("_key"), F.array(*values).alias("_x"))
     near = near_neighbours(points, k, seed=seed)
     cell = F.shiftright(F.xxhash64(F.lit(seed), F.col("_key")), 48)
-    turn = ranked(near.withColumns({"_one": F.lit(0), "_cell": cell}), ["_one"], "_cell", ["_key"], "_turn")
+    turn = ranked(near.withColumns({"_one": F.lit(0), "_cell": cell}), ["_one"], ["_cell"], ["_cell", "_key"], "_turn")
     copies = F.lit(missing // n_small) + (F.col("_turn") <= missing % n_small).cast("int")
     made = turn.where((copies > 0) & (F.size("near") > 0)).select(
         "_key", "_x", "near", F.explode(F.sequence(F.lit(1), copies)).alias("_i")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..constants import HORIZONS
 from ..functions.days import DAY_US, floor_days, micros
 from .features import KEYS, ORDER, require
-from .ordered import HOT_ROWS, block_window, core_rows, hot_keys, ordered_blocks, ranked
+from .ordered import HOT_ROWS, block_window, core_rows, ordered_blocks, ranked
 from .quantiles import exact_quantiles
 
 
@@ -21,8 +21,7 @@ def horizon_targets(
     The last failure of an asset is labelled 0 and marked ``is_censored``.
     """
     require(df, [*KEYS, *ORDER])
-    hot = hot_keys(df, KEYS, hot_rows)
-    blocks = ordered_blocks(df, KEYS, ORDER, before=0, after=1, hot_rows=hot_rows, hot=hot)
+    blocks, _ = ordered_blocks(df, KEYS, ORDER, before=0, after=1, hot_rows=hot_rows)
     w = block_window(KEYS).orderBy(*ORDER)
     out = blocks.withColumn("_next", F.lead("ts").over(w))
     gap = floor_days(F.col("_next"), F.col("ts"))
@@ -107,5 +106,5 @@ def undersample(df: DataFrame, y: str, key: str, seed: int = 42) -> DataFrame:
 
 def stratified_folds(df: DataFrame, y: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` in [0, folds): classes dealt evenly in hash order."""
-    out = ranked(_shuffled(df, key, seed), [y], "_cell", ["_h", key], "_at")
+    out = ranked(_shuffled(df, key, seed), [y], ["_cell"], ["_h", key], "_at")
     return out.withColumn("fold", ((F.col("_at") - 1) % folds).cast("int")).drop("_at", "_cell", "_h")

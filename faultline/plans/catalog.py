@@ -647,28 +647,29 @@ def cause_history(spark, d):
     return features.asset_series(log_b(spark, d)).fillna(0, subset=["tbf"]).select("asset_id", "ts", "event_id", *CAUSE_FEATURES)
 
 
-def window_stats(spark, d):
-    return rootcause.window_statistics(cause_history(spark, d), CAUSE_FEATURES)
-
-
-def anomalies(spark, d):
-    return rootcause.detect_anomalies(window_stats(spark, d))
+def anomalies(h):
+    return rootcause.detect_anomalies(rootcause.window_statistics(h, CAUSE_FEATURES))
 
 
 def found(spark, d):
-    now = storage.materialized(anomalies(spark, d))
-    return rootcause.similar_failures(now, now)
+    """Anomalies and similar failures of every single failure."""
+    h = cause_history(spark, d)
+    now = storage.materialized(anomalies(h))
+    return rootcause.per_failure(h, rootcause.similar_failures(now, now))
 
 
 @query
 def w12_window_statistics(spark, d):
-    rows = window_stats(spark, d).select("event_id", "n_window", "n_baseline", F.inline("s"))
+    h = cause_history(spark, d)
+    stats = rootcause.per_failure(h, rootcause.window_statistics(h, CAUSE_FEATURES))
+    rows = stats.select("event_id", "n_window", "n_baseline", F.inline("s"))
     return rounded(rows, "window_mean", "window_sd", "first", "last", "base_mean", "base_sd")
 
 
 @query
 def c1_c2_anomalies(spark, d):
-    rows = rootcause.anomaly_rows(anomalies(spark, d)).drop("asset_id", "ts")
+    h = cause_history(spark, d)
+    rows = rootcause.per_failure(h, rootcause.anomaly_rows(anomalies(h))).drop("asset_id", "ts")
     return rounded(rows, "z_score", "window_mean", "baseline_mean", "deviation_pct", "volatility")
 
 

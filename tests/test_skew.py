@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_log
-from faultline.operators import cleaning, features, feedback, quantiles, rootcause, scoring, targets
+from faultline.operators import cleaning, features, feedback, metrics, ordered, quantiles, rootcause, scoring, targets
 from faultline.plans import catalog
 
 
@@ -85,6 +85,27 @@ def test_outcomes_in_cells(spark, skewed):
         assert got[r["prediction_id"]] == want
 
 
+def test_one_instant_is_cut_by_event(spark):
+    """All failures of an asset at one instant: only the event number can cut them."""
+    log = make_log(spark, [("a", "2024-01-01T00:00:00", i) for i in range(200)] + [("b", "2024-01-02T00:00:00", 900)])
+    split, cells = ordered.split_cells(log, ["asset_id"], ["ts", "event_id"], 20)
+    assert cells and split.groupBy("asset_id", *cells).count().agg(F.max("count")).first()[0] <= 20
+    got = features.asset_series(log, hot_rows=20).orderBy("event_id").collect()
+    assert [r["cumulative_failures"] for r in got[:200]] == list(range(1, 201))
+
+
+def test_ranking_metrics_in_cells(spark):
+    df = spark.range(3000).select(
+        (F.col("id") % 3 == 0).cast("int").alias("y"), (F.pmod(F.col("id") * 7919, F.lit(1013)) / F.lit(1e6)).alias("p"),
+        (F.col("id") % 2).alias("g"),
+    )
+    for by in ([], ["g"]):
+        whole = metrics.ranking_metrics(df, by=by).collect()
+        cut = metrics.ranking_metrics(df, by=by, hot_rows=40).collect()
+        for a, b in zip(sorted(whole), sorted(cut)):
+            assert tuple(a) == pytest.approx(tuple(b), rel=1e-12)
+
+
 def test_medians(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 3 else f"k{i % 5}", rng.choice([rng.random(), 0.5])) for i in range(500)]

@@ -443,6 +443,40 @@ def _flat_sequence(df, *extra):
     return df.select("event_id", *extra, *steps)
 
 
+@query
+def t1_canonical_order(spark, d):
+    """Position of every failure in its asset, also among failures of one instant."""
+    rows = features.asset_series(table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("asset_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("event_id")
+    ))
+    return rows.select("event_id", "asset_id", F.col("cumulative_failures").alias("place"))
+
+
+# The same operators with a low limit for hot groups, so that assets and days are cut.
+@query
+def w9_feature_table_cut(spark, d):
+    df = features.asset_features(log_a(spark, d), hot_rows=14)
+    return df.select("event_id", *[r6(F.col(c).cast("double")).alias(c) for c in ["tbf", *UNFILLED]])
+
+
+@query
+def w10_horizon_targets_cut(spark, d):
+    return targets.horizon_targets(log_b(spark, d), hot_rows=10).select("event_id", "is_censored", *HORIZON_COLUMNS)
+
+
+@query
+def w14_padded_sequences_cut(spark, d):
+    rows = _series_for_sequences(spark, d)
+    return _flat_sequence(features.feature_sequences(rows, ["tbf", "cumulative_failures"], 5, padded=True, hot_rows=9))
+
+
+@query
+def p3_forward_fill_cut(spark, d):
+    order = ["l_shipdate", "l_orderkey", "l_linenumber"]
+    out = cleaning.forward_fill(gappy(spark, d), ["l_partkey"], order, ["q"], hot_rows=20)
+    return out.groupBy("l_orderkey", "l_linenumber").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- splits, balance, sampling
 def labelled(spark, d):
     return targets.horizon_targets(log_a(spark, d))
@@ -482,6 +516,11 @@ def t5_smote(spark, d):
     return sampling.smote(table_.join(both, "event_id"), ["tbf", "tbf_mean_3", "asset_age_days"], "y", "event_id")
 
 
+@query
+def t5_smote_counts(spark, d):
+    return t5_smote(spark, d).groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def t6_stratified_folds(spark, d):
     out = targets.stratified_folds(labelled(spark, d), "fails_within_30d", "event_id")
@@ -533,6 +572,12 @@ def a8_a9_ranking_metrics(spark, d):
     return rounded(metrics.ranking_metrics(scored(spark, d), by=["model", "split"]), "auc_roc", "auc_pr")
 
 
+@query
+def a8_a9_ranking_metrics_cut(spark, d):
+    out = metrics.ranking_metrics(scored(spark, d), by=["model", "split"], hot_rows=100)
+    return rounded(out, "auc_roc", "auc_pr")
+
+
 @query
 def a10_cost_metrics(spark, d):
     counts = metrics.classification_metrics(metrics.at_threshold(scored(spark, d)), by=["model"])
@@ -712,6 +757,16 @@ def c8_cause_report(spark, d):
     )
 
 
+@query
+def c8_cause_report_cut(spark, d):
+    out = rootcause.cause_report(cause_history(spark, d), CAUSE_FEATURES, hot_rows=25)
+    return out.select(
+        "event_id", "status", "window_days", "n_anomalies", "n_similar",
+        F.get("top_causes", F.lit(0))["cause_feature"].alias("top_cause"), F.size("recommendations").alias("n_recommendations"),
+        r6("confidence_score").alias("confidence_score"),
+    )
+
+
 @query
 def c8_cause_report_longer_window(spark, d):
     out = rootcause.cause_report(cause_history(spark, d), CAUSE_FEATURES, window_days=10)
@@ -728,6 +783,24 @@ def j1_match_outcomes(spark, d):
     return history(spark, d).select("prediction_id", "outcome", us("occurred_at"))
 
 
+@query
+def j1_match_outcomes_cut(spark, d):
+    """Outcomes matched per region instead of customer: many per asset and day, cut further."""
+    p = star_schema.prediction_history(spark, d).withColumn("asset_id", F.pmod(F.col("asset_id").cast("long"), F.lit(3)).cast("string"))
+    o = star_schema.outcomes(spark, d).withColumns({
+        "asset_id": F.pmod(F.col("asset_id").cast("long"), F.lit(3)).cast("string"),
+        "occurred_at": F.col("occurred_at") + F.make_dt_interval(mins=F.pmod(F.col("registered_seq"), F.lit(600)).cast("int")),
+    })
+    out = feedback.match_outcomes(p, o, hot_rows=3)
+    return out.select("prediction_id", "outcome", us("occurred_at"))
+
+
+@query
+def w11_metrics_over_time_cut(spark, d):
+    out = feedback.metrics_over_time(history(spark, d), 30, hot_rows=300).drop("predicted_at")
+    return rounded(out, "f1", "precision", "recall", "auc")
+
+
 @query
 def a15_feedback_summary(spark, d):
     return feedback.feedback_summary(history(spark, d))

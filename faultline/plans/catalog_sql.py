@@ -425,3 +425,21 @@ SELECT f.asset_id, f.region, f.equipment, CAST(p AS DOUBLE) AS probability, {RIS
     "j6_global_statistics": f"""WITH s AS (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, {r6('(l_quantity - m) / sd')} AS z, {r6('l_quantity - q1')} AS over_q1, {r6('q3 - l_quantity')} AS under_q3 FROM lineitem, s""",
 }
+
+for _name in (
+    "w9_feature_table", "w14_padded_sequences", "p3_forward_fill", "a8_a9_ranking_metrics", "c8_cause_report", "w11_metrics_over_time",
+):
+    SQL[f"{_name}_cut"] = SQL[_name]
+SQL["w10_horizon_targets_cut"] = SQL["w10_horizon_targets_same_day"]
+SQL["t1_canonical_order"] = """SELECT o_orderkey AS event_id, o_orderpriority AS asset_id,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders"""
+SQL["t5_smote_counts"] = f"""WITH {targets_sql(LOG_A, 'log_a')}, c AS (SELECT fails_within_30d AS y, count(*) AS n FROM labelled GROUP BY 1)
+SELECT y, false AS synthetic, n FROM c UNION ALL SELECT y, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)"""
+SQL["j1_match_outcomes_cut"] = """WITH pred AS (SELECT o_orderkey * 100 + h AS prediction_id, o_custkey % 3 AS asset_id, o_orderdate AS predicted_at, h AS horizon
+  FROM orders, (VALUES (15), (30)) t(h)),
+outc AS (SELECT o_custkey % 3 AS asset_id, o_orderdate + INTERVAL 30 HOURS + ((o_orderkey * 7919) % 1000003 % 600) * INTERVAL 1 MINUTE AS occurred_at,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS failed, (o_orderkey * 7919) % 1000003 AS seq FROM orders WHERE o_orderkey % 4 <> 0),
+spans AS (SELECT asset_id, predicted_at, horizon, arg_min(failed, seq) AS outcome, arg_min(occurred_at, seq) AS occurred_at FROM
+  (SELECT DISTINCT asset_id, predicted_at, horizon FROM pred) p JOIN outc USING (asset_id)
+  WHERE outc.occurred_at >= p.predicted_at AND outc.occurred_at < p.predicted_at + (p.horizon + 1) * INTERVAL 1 DAY GROUP BY ALL)
+SELECT prediction_id, outcome, epoch_us(occurred_at) AS occurred_at_us FROM pred LEFT JOIN spans USING (asset_id, predicted_at, horizon)"""

@@ -14,9 +14,11 @@ HISTORY_SCHEMA = (
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``; a local one only in local mode without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

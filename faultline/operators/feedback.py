@@ -52,14 +52,21 @@ def match_outcomes(
     points = probes.unionByName(known, allowMissingColumns=True)
     state = state_before(points, key, "pos", [], first="best", least="best", hot_rows=hot_rows)
     edge = F.when(F.col("side") == "from", F.col("best_from")).otherwise(F.col("best_before"))
-    edges = state.where(F.col("side").isNotNull()).select(*span, edge.alias("best"))
     per_day = known.groupBy(*key).agg(F.min("best").alias("best"))
     first_day = F.floor(F.col("start") / DAY_US).cast("long").alias("first_day")
-    days = asked.where("horizon > 0").select("asset_id", first_day, "horizon").distinct()
+    days = asked.where("horizon > 0").select("asset_id", "horizon", first_day).distinct()
     between = days.select("*", F.explode(F.sequence(F.col("first_day") + 1, F.col("first_day") + F.col("horizon"))).alias("day"))
-    whole = between.join(per_day, key).groupBy("asset_id", "first_day", "horizon").agg(F.min("best").alias("best"))
-    middle = asked.select("*", first_day).join(whole, ["asset_id", "first_day", "horizon"]).select(*span, "best")
-    found = edges.unionByName(middle).groupBy(*span).agg(F.min("best").alias("best")).where(F.col("best").isNotNull())
+    # one row per asset, day and horizon; it belongs to the row of the "from" side
+    whole = between.join(per_day, key).groupBy("asset_id", F.col("first_day").alias("day"), "horizon").agg(
+        F.min("best").alias("whole"), F.lit("from").alias("side")
+    )
+    edges = state.where(F.col("side").isNotNull()).select(*span, "side", "day", edge.alias("best"))
+    found = (
+        edges.join(whole, ["asset_id", "day", "horizon", "side"], "left")
+        .groupBy(*span)
+        .agg(F.min(F.least("best", "whole")).alias("best"))
+        .where(F.col("best").isNotNull())
+    )
     return predictions.withColumn("start", micros("predicted_at")).join(found, span, "left").select(
         *predictions.columns,
         F.col("best.outcome").alias("outcome"),
@@ -104,12 +111,14 @@ def metrics_over_time(
         F.count_if(~y & pred).alias("fp"), F.count_if(y & ~pred).alias("fn"),
     )
     sums = ["n", "tp", "fp", "fn"]
-    blank = [F.lit(None).cast("long").alias(c) for c in sums]
-    # totals up to and including the instant, minus totals strictly before the window
-    ends = counts.select("pos", F.col("pos").alias("at"), F.lit(1).alias("sign"), *sums)
-    shift = F.lit(days * DAY_US)
-    starts = counts.select((F.col("pos") - shift - 1).alias("pos"), F.col("pos").alias("at"), F.lit(-1).alias("sign"), *blank)
-    state = state_before(ends.unionByName(starts), [], "pos", sums, hot_rows=hot_rows, inclusive=True)
+    # every instant twice: totals up to it, minus totals before its window
+    end = F.struct(F.lit(1).alias("sign"), F.col("pos"), *sums)
+    start = F.struct(
+        F.lit(-1).alias("sign"), (F.col("pos") - days * DAY_US - 1).alias("pos"),
+        *[F.lit(None).cast("long").alias(c) for c in sums],
+    )
+    points = counts.select(F.col("pos").alias("at"), F.explode(F.array(end, start)).alias("e")).select("at", "e.*")
+    state = state_before(points, [], "pos", sums, hot_rows=hot_rows, inclusive=True)
     window = state.groupBy("at").agg(*[F.sum(F.col("sign") * F.col(f"{c}_before")).alias(c) for c in sums])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     quality = window.where(F.col("n") >= ROLLING_MIN).select(

@@ -61,12 +61,14 @@ def window_statistics(
     sums = ["n", *names, *[f"{n}q" for n in names]]
     measures = [*sums, "head", "tail"]
     kinds = {f.name: f.dataType for f in instants.schema.fields}
-    events = instants.select(*FAILURE, here.alias("pos"), F.lit(False).alias("probe"), *measures)
-    probes = instants.select(
-        *FAILURE, (here - window_days * DAY_US).alias("pos"), F.lit(True).alias("probe"),
+    # every instant twice: with its measures at t, and as a question at t - w
+    event = F.struct(F.lit(False).alias("probe"), here.alias("pos"), *measures)
+    ask = F.struct(
+        F.lit(True).alias("probe"), (here - window_days * DAY_US).alias("pos"),
         *[F.lit(None).cast(kinds[c]).alias(c) for c in measures],
     )
-    state = state_before(events.unionByName(probes), KEYS, "pos", sums, last="tail", first="head", hot_rows=hot_rows)
+    points = instants.select(*FAILURE, F.explode(F.array(event, ask)).alias("e")).select(*FAILURE, "e.*")
+    state = state_before(points, KEYS, "pos", sums, last="tail", first="head", hot_rows=hot_rows)
     totals, probe = [f"{c}_before" for c in sums], F.col("probe")
     both = state.groupBy(*FAILURE).agg(
         *[F.max(F.when(~probe, F.col(c))).alias(f"a_{c}") for c in totals],

@@ -87,21 +87,19 @@ def _shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 def undersample(df: DataFrame, y: str, key: str, seed: int = 42) -> DataFrame:
     """Random rows of every class down to the size of the smallest class.
 
-    The choice is by hash order, so it repeats; whole cells are taken from counts
-    alone and only the cell at the border is ranked.
+    The choice is by hash order, so it repeats. Counts per cell tell which cells can hold
+    kept rows; only the rows of those cells are shuffled and ranked inside their cell.
     """
     cells = _shuffled(df, key, seed)
     counts = cells.groupBy(y, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(y).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(y, "_cell", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     least = counts.groupBy(y).agg(F.sum("_n").alias("_all")).agg(F.min("_all").alias("_least"))
-    limits = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(F.broadcast(least))
     # at most classes x 65,536 rows
-    marked = cells.join(F.broadcast(limits.where("_before < _least")), [y, "_cell"])
-    whole = marked.where("_before + _n <= _least")
-    border = marked.where("_before + _n > _least").withColumn(
-        "_at", F.row_number().over(Window.partitionBy(y, "_cell").orderBy("_h", key))
-    ).where("_before + _at <= _least").drop("_at")
-    return whole.unionByName(border).select(*df.columns)
+    limits = F.broadcast(sums.join(F.broadcast(least)).where("_before < _least"))
+    place = F.row_number().over(Window.partitionBy(y, "_cell").orderBy("_h", key))
+    kept = cells.join(limits, [y, "_cell"]).withColumn("_at", place).where("_before + _at <= _least")
+    return kept.select(*df.columns)
 
 
 def stratified_folds(df: DataFrame, y: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:

@@ -797,7 +797,7 @@ def j1_match_outcomes_cut(spark, d):
 
 @query
 def w11_metrics_over_time_cut(spark, d):
-    out = feedback.metrics_over_time(history(spark, d), 30, hot_rows=300).drop("predicted_at")
+    out = feedback.metrics_over_time(storage.materialized(history(spark, d)), 30, hot_rows=300).drop("predicted_at")
     return rounded(out, "f1", "precision", "recall", "auc")
 
 
@@ -813,13 +813,13 @@ def a16_feedback_metrics(spark, d):
 
 @query
 def w11_metrics_over_time(spark, d):
-    out = feedback.metrics_over_time(history(spark, d), 30).drop("predicted_at")
+    out = feedback.metrics_over_time(storage.materialized(history(spark, d)), 30).drop("predicted_at")
     return rounded(out, "f1", "precision", "recall", "auc")
 
 
 @query
 def a17_drift(spark, d):
-    return rounded(feedback.detect_drift(history(spark, d)), "f1_baseline", "f1_current", "f1_drop")
+    return rounded(feedback.detect_drift(storage.materialized(history(spark, d))), "f1_baseline", "f1_current", "f1_drop")
 
 
 # ---------------------------------------------------------------- scoring and attribution

@@ -31,7 +31,7 @@ class Settings:
     purge_days: int = 0
     calibration: str = "sigmoid"
     stack: bool = True
-    search: bool = False
+    search: dict | None = None
     models: dict = field(default_factory=candidates)
 
     def feature_names(self) -> list[str]:

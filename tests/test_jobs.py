@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import constants as K
-from faultline.operators import scoring, training
+from faultline.operators import attribution, scoring, training
+from faultline.operators.features import asset_features
 from faultline.operators.feedback import match_outcomes
-from faultline.plans import maintenance
+from faultline.operators.targets import horizon_targets
+from faultline.plans import command, maintenance
 from faultline.sources import delimited, model_store, star_schema, storage
 from faultline.sources.failure_log import failure_log, read_failure_log
 from faultline.sources.work_orders import work_orders
@@ -95,6 +97,53 @@ def test_train_save_load_score(spark, small, tmp_path):
     scores.unpersist()
 
 
+def test_grid_search_as_candidate(spark):
+    df = spark.range(400).select(
+        F.col("id").alias("event_id"), (F.col("id") % 10).cast("double").alias("x"),
+        (F.col("id") % 10 > 6).cast("double").alias("y"),
+        F.when(F.col("id") < 240, "train").when(F.col("id") < 320, "val").otherwise("test").alias("split"),
+    ).withColumn("fails_within_7d", F.col("y").cast("int"))
+    grid = {"trees": [3], "depths": [1, 3], "min_rows": [1], "folds": 2}
+    out = training.train_horizons(df.drop("y"), ["x"], [7, 99], {}, search=grid)
+    assert list(out) == [7] and out[7]["model_name"] == "GridSearch"
+    assert out[7]["metrics_test"]["f1"] == 1.0
+
+
+def test_bucketed_log_needs_no_shuffle(spark, small, tmp_path):
+    log = star_schema.order_log(spark, small)
+    stored = storage.save_bucketed(log, "bucketed_log", 4, str(tmp_path / "log"))
+    df = horizon_targets(asset_features(stored))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    want = horizon_targets(asset_features(log)).select("event_id", "tbf", "fails_within_30d")
+    got = df.select("event_id", "tbf", "fails_within_30d")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    spark.sql("DROP TABLE bucketed_log")
+
+
+def test_sampled_attribution_adds_up(spark):
+    """Contributions of a row sum to its score minus the mean score of the background."""
+    rows = spark.range(6).select(F.col("id").alias("event_id"), (F.col("id") * 1.5).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    score = lambda df, out: df.withColumn(out, F.col("a") * F.col("b") + F.col("a"))
+    out = attribution.sampled_attribution(rows, ["a", "b"], score, rows, permutations=6)
+    total = out.select("event_id", F.aggregate("phi", F.lit(0.0), lambda s, e: s + e["phi"]).alias("s"))
+    base = score(rows, "f").agg(F.avg("f")).first()[0]
+    want = {r["event_id"]: r["f"] - base for r in score(rows, "f").collect()}
+    assert {r["event_id"]: r["s"] for r in total.collect()} == pytest.approx(want)
+
+
+def test_command_line(spark, small, tmp_path):
+    path = str(tmp_path / "log")
+    star_schema.raw_order_log(spark, small).write.parquet(path)
+    command.main([
+        "explain", "--log", path, "--format", "parquet", "--output", str(tmp_path / "report"),
+        "--features", "tbf", "cumulative_failures", "--window-days", "400",
+    ], spark)
+    report = spark.read.parquet(str(tmp_path / "report"))
+    assert report.count() == star_schema.order_log(spark, small).count()
+    assert report.where("n_anomalies > 0").count() > 0
+
+
 @pytest.fixture(scope="module")
 def replay(spark, small, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("replay"))

@@ -28,7 +28,7 @@ def _spread(n: Column, s: Column, q: Column) -> Column:
     """Sample standard deviation from count, sum and sum of squares (exact decimals)."""
     d = "double"
     narrow = s.try_cast("decimal(18,6)")
-    exact = n.cast("decimal(10,0)") * q.try_cast("decimal(26,12)") - narrow * narrow
+    exact = n.try_cast("decimal(10,0)") * q.try_cast("decimal(26,12)") - narrow * narrow
     loose = n.cast(d) * q.cast(d) - s.cast(d) * s.cast(d)
     top = F.greatest(F.coalesce(exact.cast(d), loose), F.lit(0.0))
     return F.when(n > 1, F.sqrt(top / (n.cast(d) * (n.cast(d) - 1.0))))
@@ -41,7 +41,8 @@ def window_statistics(
 
     Columns ``asset_id, ts, n_window, n_baseline, s`` with ``s`` an array of
     ``feature, window_mean, window_sd, first, last, base_mean, base_sd``. The rows are first
-    reduced to one per asset and instant. Both ranges are read off running totals at t and at
+    reduced to one per asset and instant. Values are taken with six decimals and must lie
+    within 1e12. Both ranges are read off running totals at t and at
     t - w, so the cost is linear however many failures a window holds, and a hot asset is cut
     into cells.
     """

@@ -13,6 +13,7 @@ from ..operators import sampling, scoring, survival, targets, training, validati
 from ..operators.stacking import base_probabilities, with_probability
 from ..sources import delimited, model_store, star_schema, storage, work_orders as orders_source
 from ..sources.failure_log import failure_log
+from ..streaming import feedback as stream
 from . import maintenance
 
 table = star_schema.table
@@ -811,6 +812,36 @@ def a16_feedback_metrics(spark, d):
     return rounded(feedback.feedback_metrics(history(spark, d), 30), *RATES)
 
 
+def _replayed(spark, df, path) -> DataFrame:
+    """The rows of a table as a stream of files."""
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query
+def st1_outcome_feed(spark, d):
+    """Outcomes arriving as a stream, matched per micro-batch against the stored history."""
+    base = scratch(spark, "feed")
+    star_schema.prediction_history(spark, d).write.parquet(f"{base}/history")
+    arriving = _replayed(spark, star_schema.outcomes(spark, d), f"{base}/outcomes")
+    stream.run_feed(spark, arriving, f"{base}/history", f"{base}/matches", f"{base}/state", 30).awaitTermination()
+    out = stream.read_feed(spark, f"{base}/history", f"{base}/matches")
+    return out.select("prediction_id", "outcome", us("occurred_at"))
+
+
+@query
+def st1_stream_join(spark, d):
+    """Both sides as streams; the predictions that found an outcome."""
+    base = scratch(spark, "join")
+    predictions = _replayed(spark, star_schema.prediction_history(spark, d), f"{base}/history")
+    arriving = _replayed(spark, star_schema.outcomes(spark, d), f"{base}/outcomes")
+    joined = stream.matched_stream(predictions, arriving, 30)
+    sink = joined.writeStream.format("parquet").option("path", f"{base}/matches").option("checkpointLocation", f"{base}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    out = stream.first_registered(spark.read.schema(joined.schema).parquet(f"{base}/matches"))
+    return out.where(F.col("outcome").isNotNull()).select("prediction_id", "outcome", us("occurred_at"))
+
+
 @query
 def w11_metrics_over_time(spark, d):
     out = feedback.metrics_over_time(storage.materialized(history(spark, d)), 30).drop("predicted_at")

@@ -443,3 +443,5 @@ spans AS (SELECT asset_id, predicted_at, horizon, arg_min(failed, seq) AS outcom
   (SELECT DISTINCT asset_id, predicted_at, horizon FROM pred) p JOIN outc USING (asset_id)
   WHERE outc.occurred_at >= p.predicted_at AND outc.occurred_at < p.predicted_at + (p.horizon + 1) * INTERVAL 1 DAY GROUP BY ALL)
 SELECT prediction_id, outcome, epoch_us(occurred_at) AS occurred_at_us FROM pred LEFT JOIN spans USING (asset_id, predicted_at, horizon)"""
+SQL["st1_outcome_feed"] = SQL["j1_match_outcomes"]
+SQL["st1_stream_join"] = SQL["j1_match_outcomes"] + " WHERE outcome IS NOT NULL"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.days import DAY_US, micros
 from ..functions.risk import is_flagged
@@ -30,7 +30,7 @@ def match_outcomes(
     The range [prediction, prediction + horizon + 1 days) is cut at day borders: the rest of
     its first day and the start of its last day are read from running minima inside that
     day (cut further where one asset has very many in a day), the days between
-    from one minimum per asset and day. No prediction is paired with single outcomes, so a
+    from one minimum per asset and day, over a frame of at most ``horizon`` days. No prediction is paired with single outcomes, so a
     busy asset costs no more per row than a quiet one.
     """
     key = ["asset_id", "day"]
@@ -53,18 +53,25 @@ def match_outcomes(
     state = state_before(points, key, "pos", [], first="best", least="best", hot_rows=hot_rows)
     edge = F.when(F.col("side") == "from", F.col("best_from")).otherwise(F.col("best_before"))
     per_day = known.groupBy(*key).agg(F.min("best").alias("best"))
-    first_day = F.floor(F.col("start") / DAY_US).cast("long").alias("first_day")
-    days = asked.where("horizon > 0").select("asset_id", "horizon", first_day).distinct()
-    between = days.select("*", F.explode(F.sequence(F.col("first_day") + 1, F.col("first_day") + F.col("horizon"))).alias("day"))
-    # one row per asset, day and horizon; it belongs to the row of the "from" side
-    whole = between.join(per_day, key).groupBy("asset_id", F.col("first_day").alias("day"), "horizon").agg(
-        F.min("best").alias("whole"), F.lit("from").alias("side")
+    # whole days: at most one row per asset and day on either side of the union
+    horizons = [r["horizon"] for r in asked.select("horizon").distinct().collect() if r["horizon"] > 0]
+    days = asked.select("asset_id", F.floor(F.col("start") / DAY_US).cast("long").alias("day")).distinct()
+    calendar = per_day.select("*", F.lit(False).alias("asks")).unionByName(
+        days.select("*", F.lit(None).cast(kind).alias("best"), F.lit(True).alias("asks"))
     )
+    by_day = Window.partitionBy("asset_id").orderBy("day")
+    ahead = [F.min("best").over(by_day.rangeBetween(1, h)).alias(f"_{h}") for h in horizons]
+    whole = calendar.select("asset_id", "day", "asks", *ahead).where("asks").select(
+        "asset_id", "day", F.lit("from").alias("side"), *[f"_{h}" for h in horizons]
+    )
+    between = F.when(F.lit(False), F.lit(None).cast(kind))
+    for h in horizons:
+        between = between.when(F.col("horizon") == h, F.col(f"_{h}"))
     edges = state.where(F.col("side").isNotNull()).select(*span, "side", "day", edge.alias("best"))
     found = (
-        edges.join(whole, ["asset_id", "day", "horizon", "side"], "left")
+        edges.join(whole, ["asset_id", "day", "side"], "left")
         .groupBy(*span)
-        .agg(F.min(F.least("best", "whole")).alias("best"))
+        .agg(F.min(F.least("best", between)).alias("best"))
         .where(F.col("best").isNotNull())
     )
     return predictions.withColumn("start", micros("predicted_at")).join(found, span, "left").select(

@@ -26,8 +26,15 @@ def duration_counts(
 def kaplan_meier(
     df: DataFrame, time: str = "tbf", event: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """``t, deaths, censored, at_risk, survival`` per distinct duration."""
+    """``t, deaths, censored, at_risk, survival`` per distinct duration; the curve starts at t = 0."""
     counts = duration_counts(df, time, event, by)
+    zero = F.lit(0).cast("long")
+    first = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(
+        *by, zero.alias("t"), zero.alias("deaths"), zero.alias("censored")
+    )
+    counts = counts.unionByName(first).groupBy(*by, "t").agg(
+        F.sum("deaths").alias("deaths"), F.sum("censored").alias("censored")
+    )
     later = Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     upto = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     risk = counts.withColumn("at_risk", F.sum(F.col("deaths") + F.col("censored")).over(later))

@@ -129,8 +129,9 @@ GAPS = f"{LOG_A}, {series('log_a')}, gaps AS (SELECT *, CASE WHEN event_id % 4 <
 def km(event: str, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     lead = f"{by}, " if by else ""
-    return f"""c AS (SELECT {lead}tbf AS t, CAST(count(*) FILTER ({event} = 1) AS BIGINT) AS deaths, CAST(count(*) FILTER ({event} = 0) AS BIGINT) AS censored
-  FROM gaps GROUP BY {lead}tbf),
+    return f"""c AS (SELECT {lead}t, CAST(sum(d) AS BIGINT) AS deaths, CAST(sum(s) AS BIGINT) AS censored FROM (
+  SELECT {lead}tbf AS t, CASE WHEN {event} = 1 THEN 1 ELSE 0 END AS d, CASE WHEN {event} = 0 THEN 1 ELSE 0 END AS s FROM gaps
+  UNION ALL SELECT DISTINCT {lead}0, 0, 0 FROM gaps) GROUP BY ALL),
 k AS (SELECT *, CAST(sum(deaths + censored) OVER ({part} ORDER BY t DESC) AS BIGINT) AS at_risk FROM c),
 km AS (SELECT {lead}t, deaths, censored, at_risk, CASE WHEN max(CASE WHEN deaths = at_risk THEN 1 ELSE 0 END) OVER ({part} ORDER BY t) = 1 THEN 0.0
   ELSE exp(sum(CASE WHEN deaths < at_risk THEN ln(1 - deaths / CAST(at_risk AS DOUBLE)) END) OVER ({part} ORDER BY t)) END AS survival FROM k)"""

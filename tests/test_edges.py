@@ -166,8 +166,10 @@ def test_gamma(spark):
 def test_kaplan_meier_hand_values(spark):
     df = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 1)], "tbf int, event int")
     got = [(r["t"], r["at_risk"], r["survival"]) for r in survival.kaplan_meier(df, event="event").orderBy("t").collect()]
-    assert [g[:2] for g in got] == [(1, 4), (2, 3), (3, 1)]
-    assert [g[2] for g in got] == pytest.approx([0.75, 0.5, 0.0])
+    assert [g[:2] for g in got] == [(0, 4), (1, 4), (2, 3), (3, 1)]
+    assert [g[2] for g in got] == pytest.approx([1.0, 0.75, 0.5, 0.0])
+    near = survival.survival_at(spark.createDataFrame([(0.2,), (9.0,)], "t double"), survival.kaplan_meier(df, event="event"))
+    assert [r["survival"] for r in near.orderBy("t").collect()] == pytest.approx([1.0, 0.0])
 
 
 def test_constant_column_scales_by_one(spark):

@@ -28,13 +28,13 @@ def kaplan_meier(
 ) -> DataFrame:
     """``t, deaths, censored, at_risk, survival`` per distinct duration; the curve starts at t = 0."""
     counts = duration_counts(df, time, event, by)
+    # the shortest duration of a group also brings the point t = 0, unless it is 0 itself
     zero = F.lit(0).cast("long")
-    first = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(
-        *by, zero.alias("t"), zero.alias("deaths"), zero.alias("censored")
-    )
-    counts = counts.unionByName(first).groupBy(*by, "t").agg(
-        F.sum("deaths").alias("deaths"), F.sum("censored").alias("censored")
-    )
+    own = F.struct("t", "deaths", "censored")
+    start = F.struct(zero.alias("t"), zero.alias("deaths"), zero.alias("censored"))
+    lowest = F.min("t").over(Window.partitionBy(*by)).alias("_lowest")
+    points = F.array_compact(F.array(own, F.when((F.col("t") == F.col("_lowest")) & (F.col("t") > 0), start)))
+    counts = counts.select("*", lowest).select(*by, F.explode(points).alias("p")).select(*by, "p.*")
     later = Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     upto = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     risk = counts.withColumn("at_risk", F.sum(F.col("deaths") + F.col("censored")).over(later))

@@ -214,6 +214,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     return found.select("doc_id", "n_words", covered.alias("n_hit"), items.alias("items"), (covered > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` without a hit; every block of the benchmark filters what the earlier ones left."""
+    at = docs.columns.index("text")
+
+    def without(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, values, offsets in textkit.slices(batch.column(at)):
+                    hashes, first = textkit.words(values, offsets, textkit.ALPHANUMERIC)
+                    keep[row + np.searchsorted(first, shared.value.hits(hashes, first)[0], "right") - 1] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for block in blocks(benchmark, window, gram):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a passage of a benchmark item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

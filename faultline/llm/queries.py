@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, language, setjoin
+from faultline.llm import bytebpe, decontaminate, language, secrets, setjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_winnowing": decontaminate.op5_winnowing,
+    "op7_entropy_secrets": secrets.op7_entropy_secrets,
     "op8_language_id": language.op8_language_id,
+    "op9_byte_bpe": bytebpe.op9_byte_bpe,
     "op10_partenum": setjoin.op10_partenum,
 }
 SQL: dict[str, str] = {}

@@ -94,9 +94,9 @@ def secret_spans(text: Column) -> tuple[Column, Column]:
     return base, F.filter(suspects, lambda s: largest_entropy(s["string"]) >= limit(s["string"]))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with base_spans and spans: arrays of (start, kind, end), code points, end exclusive."""
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce(column, F.lit(""))
     base, suspects = secret_spans(text)
     bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     out = docs.withColumn("base_spans", base).withColumn("spans", suspects)

@@ -9,8 +9,8 @@ k + 1 + spare partitions, partitions that are empty in both sets can be left out
 ``spare`` of them; a set with more also emits the signatures of the next of several divisions, so the
 guarantee holds without the empty partitions on which unrelated sets would meet.
 
-Equal sets are one node. Nodes that share a signature are compared with the best connected node among them
-(the pivot), not with each other. Nodes that the links found so far leave outside the component of their
+Equal sets are one node. The best connected node of a signature is its pivot. Nodes are compared with the best of
+their pivots, then with other pivots whose component differs, not with each other. Nodes that the links found so far leave outside the component of their
 pivot are then compared with all nodes of that pivot in blocks of bounded size, so no link between different
 components is lost, no pair of rows is made, and no group has to fit into a task. Links inside a component
 that is already connected need no test. All tests are on the sets themselves.
@@ -113,10 +113,10 @@ def set_key(elements: np.ndarray) -> int:
     return int(textkit.mix(np.array([total + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
-def with_set_key(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def with_set_key(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
     """``docs`` with n_shingles and set_key (null for an empty set)."""
     kept = [c for c in docs.columns if c not in ("n_shingles", "set_key")]
-    at = kept.index("text")
+    at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,6 +239,20 @@ def _block_links(percent: int):
     return run
 
 
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (pivot, node) pairs, as (a, b), whose sets are similar; sizes are compared before the sets are read."""
+    both = F.size(F.array_intersect("elements", "pivot_elements"))
+    pivot_sets = sets.select(F.col("node").alias("pivot"), F.col("elements").alias("pivot_elements"), F.col("n").alias("pivot_n"))
+    return (
+        pairs.where("node <> pivot")
+        .join(sets.select("node", "n"), "node").join(pivot_sets.select("pivot", "pivot_n"), "pivot")
+        .where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).select("pivot", "node")
+        .join(sets, "node").join(pivot_sets, "pivot")
+        .where(100 * both >= percent * (F.col("n") + F.col("pivot_n") - both))
+        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    )
+
+
 def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Components (node, root) of the set keys that are linked; nodes without a link are absent.
 
@@ -249,7 +263,7 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
         sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long")
     )
     sizes = met.groupBy("sig").agg(F.count("*").alias("n"))
-    degree = met.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("degree"))
+    degree = materialized(met.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("degree")))
     pivots = met.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
     groups = materialized(met.join(pivots, "sig").select("pivot", "node").distinct())
     wanted = keyed.join(groups.select(F.col("node").alias("set_key")).distinct(), "set_key", "left_semi")
@@ -258,17 +272,18 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
         docs.join(wanted, "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>")
         .withColumn("n", F.size("elements"))
     )
-    both = F.size(F.array_intersect("elements", "pivot_elements"))
-    pivot_sets = sets.select(F.col("node").alias("pivot"), F.col("elements").alias("pivot_elements"), F.col("n").alias("pivot_n"))
-    stars = materialized(
-        groups.where("node <> pivot")
-        .join(sets.select("node", "n"), "node").join(pivot_sets.select("pivot", "pivot_n"), "pivot")
-        .where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).select("pivot", "node")
-        .join(sets, "node").join(pivot_sets, "pivot")
-        .where(100 * both >= percent * (F.col("n") + F.col("pivot_n") - both))
-        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    # Every node first meets only the best of its pivots; most groups are one component after that.
+    best = groups.join(degree.select(F.col("node").alias("pivot"), "degree"), "pivot").groupBy("node").agg(
+        F.max(F.struct("degree", "pivot"))["pivot"].alias("pivot")
     )
-    roots = materialized(components(stars))
+    first = materialized(linked(best, sets, percent))
+    roots = materialized(components(first))
+    apart = groups.join(roots, "node", "left").join(
+        roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left"
+    ).where(F.coalesce("root", "node") != F.coalesce("pivot_root", "pivot"))
+    apart = apart.select("node", "pivot").join(best, ["node", "pivot"], "left_anti")
+    second = linked(apart, sets, percent)
+    roots = materialized(components(materialized(first.unionByName(second))))
     own = groups.join(roots, "node", "left").select("pivot", "node", F.coalesce("root", "node").alias("root"))
     pivot_root = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     own = own.join(pivot_root, "pivot", "left").withColumn("outer", F.col("root") != F.coalesce("pivot_root", "pivot"))
@@ -313,6 +328,24 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component the row of the smallest id stays.
+
+    Rows without words stay. Of repeated rows with that id one stays.
+    """
+    found = grouped(docs).where("set_key is not null")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
+        F.min("set_key").alias("keep_key"), F.count("*").alias("keep_rows")
+    ).select(F.col("doc_id").alias("keep_id"), "keep_key", "keep_rows")
+    rows = with_set_key(textkit.shielded(docs), text="in_text")
+    joined = rows.join(keep, F.col("in_doc_id").eqNullSafe(F.col("keep_id")) & (F.col("set_key") == F.col("keep_key")), "left")
+    alone = joined.where(F.col("set_key").isNull() | (F.col("keep_rows") == 1))
+    repeated = joined.where("set_key is not null and keep_rows > 1").groupBy("keep_id", "keep_key").agg(
+        F.any_value(F.struct(*rows.columns)).alias("row")
+    ).select("row.*")
+    return textkit.restored(alone, docs.columns).unionByName(textkit.restored(repeated, docs.columns))
+
+
 def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under the shingle join."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

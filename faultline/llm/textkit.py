@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -114,3 +115,13 @@ def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """``docs`` with a prefix before every column name, so that no column clashes with an added one."""
+    return docs.toDF(*[f"in_{c}" for c in docs.columns])
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the shielded table under their own names."""
+    return rows.select(*[F.col(f"in_{c}").alias(c) for c in columns])

@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm import textkit
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 OTHER, LETTERS, NUMBERS, SPACES = range(4)
 
 
@@ -214,10 +214,10 @@ def _assemble(id_type: pa.DataType):
         flat = ids[np.repeat(bounds[:-1][inverse] - ends + sizes, sizes) + np.arange(ends[-1] if total else 0)]
         per_text = np.append(0, np.cumsum(head["counts"]))
         cut = np.append(0, ends)[per_text]
-        packed = flat.astype("<u4").view(np.uint8)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(head["doc_ids"], id_type), pa.array(np.diff(cut)), take_spans(packed, 4 * cut[:-1], 4 * cut[1:])], ["doc_id", "n_tokens", "ids"]
+        packed = pa.Array.from_buffers(
+            pa.binary(), len(cut) - 1, [None, pa.py_buffer((4 * cut).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))]
         )
+        return pa.RecordBatch.from_arrays([pa.array(head["doc_ids"], id_type), pa.array(np.diff(cut)), packed], ["doc_id", "n_tokens", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts = None, []

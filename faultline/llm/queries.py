@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bytebpe, decontaminate, language, secrets, setjoin
+from faultline.llm import bytebpe, decontaminate, language, maxscore, ppm, secrets, setjoin, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit": sharding.op2_best_fit,
+    "op3_maxscore": maxscore.op3_maxscore,
     "op5_winnowing": decontaminate.op5_winnowing,
+    "op6_ppm": ppm.op6_ppm,
     "op7_entropy_secrets": secrets.op7_entropy_secrets,
     "op8_language_id": language.op8_language_id,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
     "op10_partenum": setjoin.op10_partenum,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_maxscore": maxscore.OP3_SQL}

@@ -150,31 +150,6 @@ def _emit(shingle: int, percent: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by signature and node, whose signature has a second node; equal rows count once."""
-    held = np.zeros((0, 2), np.int64)
-    open_run = None
-    for batch in batches:
-        rows = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
-        rows = np.vstack([held, rows])
-        if not len(rows):
-            continue
-        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
-        same = np.append(False, rows[1:, 0] == rows[:-1, 0])
-        same[0] = len(held) and open_run == rows[0, 0]
-        keep = same | np.append(same[1:], False)
-        if len(rows) > 1:
-            yield _pair_batch(rows[:-1][keep[:-1]])
-        held = rows[-1:]
-        open_run = rows[-1, 0] if same[-1] else None
-    if open_run is not None:
-        yield _pair_batch(held)
-
-
-def _pair_batch(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["sig", "node"])
-
-
 def _whole_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -260,7 +235,9 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
     """
     sigs = docs.select("text").mapInArrow(_emit(shingle, percent), "sig long, node long")
     met = materialized(
-        sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long")
+        sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(
+            textkit.repeated_runs(["sig", "node"]), "sig long, node long"
+        )
     )
     sizes = met.groupBy("sig").agg(F.count("*").alias("n"))
     degree = materialized(met.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("degree")))

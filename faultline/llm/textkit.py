@@ -6,6 +6,8 @@ small whatever the size of a batch; one text is never split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -117,6 +119,33 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def repeated_runs(names: list[str]):
+    """Task over sorted whole-number rows: the rows whose first column is shared by a different row, each once."""
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, c].copy()) for c in range(len(names))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_run = np.zeros((0, len(names)), np.int64), None
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(len(names))], axis=1)
+            rows = np.vstack([held, rows])
+            if not len(rows):
+                continue
+            rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+            same = np.append(False, rows[1:, 0] == rows[:-1, 0])
+            same[0] = len(held) > 0 and open_run == rows[0, 0]
+            keep = same | np.append(same[1:], False)
+            if len(rows) > 1:
+                yield batch_of(rows[:-1][keep[:-1]])
+            held = rows[-1:]
+            open_run = rows[-1, 0] if same[-1] else None
+        if open_run is not None:
+            yield batch_of(held)
+
+    return run
+
+
 def shielded(docs: DataFrame) -> DataFrame:
     """``docs`` with a prefix before every column name, so that no column clashes with an added one."""
     return docs.toDF(*[f"in_{c}" for c in docs.columns])

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bytebpe, decontaminate, language, maxscore, ppm, repeats, secrets, setjoin, sharding
+from faultline.llm import bytebpe, decontaminate, language, maintext, maxscore, ppm, repeats, secrets, setjoin, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": repeats.op1_suffix_repeats,
     "op2_best_fit": sharding.op2_best_fit,
     "op3_maxscore": maxscore.op3_maxscore,
+    "op4_boosted_nodes": maintext.op4_boosted_nodes,
     "op5_winnowing": decontaminate.op5_winnowing,
     "op6_ppm": ppm.op6_ppm,
     "op7_entropy_secrets": secrets.op7_entropy_secrets,

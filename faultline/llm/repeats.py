@@ -11,13 +11,12 @@ interval is split by it in the same way. A (left, right) extension of at least 2
 with all its occurrences, and each occurrence is covered by every such repeat that it is part of.
 
 Texts that occur more than once are repeats as a whole and are known from a count per text; among the
-contexts of one anchor equal contexts are one entry with a count. An anchor with very many different contexts
-is not gathered: its contexts are spread over the 200-byte windows they hold, each window a group by its own
-hash, so no task holds more than a bounded number of contexts of one group.
+contexts of one anchor equal contexts are one entry, and their occurrences are handed on at once. An anchor of
+very many occurrences is split: strings that begin near it are grouped by the 116 bytes from it on, the others
+by the 85 bytes before it with its gram, so only contexts that share such a long part meet in a task.
 
 Cases: null and empty texts have nothing removed; texts under 200 bytes neither; repeated rows repeat each
-other. Texts are told apart by a 64-bit hash, windows of spread
-anchors by a 192-bit digest; all other comparisons are on bytes.
+other. Texts are told apart by a 64-bit hash; all other comparisons are on bytes.
 """
 
 from __future__ import annotations
@@ -35,8 +34,10 @@ from faultline.sources.storage import materialized
 
 LENGTH = 200
 GRAM = 32
-#: Contexts of one anchor that may meet in a task; anchors with more are spread over windows.
+#: Occurrences of one anchor that may meet in a task; anchors with more are split by longer parts.
 GROUP = 50_000
+#: Contexts that a task hands on at once.
+PORTION = 10_000
 
 
 def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
@@ -89,6 +90,7 @@ def _anchors_of(batch: pa.RecordBatch, length: int, gram: int) -> pa.RecordBatch
 def _context_rows(length: int, gram: int):
     """Contexts of the repeated anchors of each text: before and from the anchor on, cut at the ends of the text."""
     reach = length - gram
+    half = reach // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -99,6 +101,9 @@ def _context_rows(length: int, gram: int):
                 if key == last or wanted is None or not len(wanted):
                     continue
                 last = key
+                if len(out) >= PORTION:
+                    yield _context_batch(out)
+                    out = []
                 values = np.frombuffer(memoryview(text.as_buffer()), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
                 at, h = anchors(values, length, gram)
                 h = textkit.signed(h)
@@ -109,17 +114,30 @@ def _context_rows(length: int, gram: int):
                     if not s:
                         out.append((x, key, a, raw[max(0, a - reach):a][::-1], raw[a:a + length]))
                         continue
-                    for start in range(max(0, a - reach), min(a, len(raw) - length) + 1):
-                        window = hashlib.blake2b(raw[start:start + length], digest_size=24).digest()
-                        out.append((int.from_bytes(window[:8], "little", signed=True), key, -1 - start, b"", window))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()),
-                pa.array([o[3] for o in out], pa.binary()), pa.array([o[4] for o in out], pa.binary()),
-            ], ["anchor", "key", "at", "before", "after"])
+                    # Strings that begin up to half the reach before the anchor share a long right part, the others a
+                    # long left part; each part is a group of its own.
+                    if len(raw) - a >= length - half:
+                        core = b"R" + raw[a:a + length - half]
+                        out.append((part_hash(core), key, a, raw[max(0, a - half):a][::-1], raw[a:a + length]))
+                    if a > half:
+                        core = b"L" + raw[a - half - 1:a + gram]
+                        out.append((part_hash(core), key, a, raw[max(0, a - reach):a][::-1], raw[a:a + length - half - 1]))
+            yield _context_batch(out)
 
     return run
 
 
+def part_hash(core: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
+
+
+def _context_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["anchor", "key", "at", "before", "after"]
+    )
+
+
 def common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Common prefix length of neighbouring rows of a padded byte matrix."""
     different = rows[1:] != rows[:-1]
@@ -154,87 +172,94 @@ def matrix(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(c.ljust(width, b"\0") for c in column), np.uint8).reshape(len(column), width), sizes
 
 
-def maximal_repeats(before: list[bytes], after: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, np.ndarray]]:
-    """(left, right, members) of the repeats around one anchor, with all occurrences.
+def right_intervals(before: list[bytes], after: list[bytes], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(common length, members, their common left lengths) of the intervals around one anchor.
 
-    ``before`` is reversed. Each right interval is split by its left extensions: a left interval that is the
-    whole right interval has one extension for all (it is not split further); others hold those members alone.
+    Members are sorted by what stands before them (``before`` is reversed), so their left lengths are those of
+    neighbours.
     """
     reach = length - gram
     right, right_sizes = matrix(after, length)
     left, left_sizes = matrix(before, reach)
-    order = sorted(range(len(after)), key=after.__getitem__)
+    order = np.array(sorted(range(len(after)), key=after.__getitem__))
     rank = np.empty(len(before), np.int64)
     rank[sorted(range(len(before)), key=before.__getitem__)] = np.arange(len(before))
-    order = np.array(order)
-    out = []
     for size, first, last in intervals(common(right[order], right_sizes[order]), max(gram, length - reach)):
         members = order[first:last + 1]
         members = members[np.argsort(rank[members])]
-        shared = common(left[members], left_sizes[members])
-        out += [(l, size, members[a:b + 1]) for l, a, b in intervals(shared, max(0, length - size))]
-    return out
+        yield size, members, common(left[members], left_sizes[members])
+
+
+def maximal_repeats(before: list[bytes], after: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(left, right, members) of the repeats around one anchor, each with all its occurrences.
+
+    Each right interval is split by its left extensions: if they are the same for all members, that is one
+    repeat; otherwise every left interval is one.
+    """
+    for size, members, shared in right_intervals(before, after, length, gram):
+        for left, a, b in intervals(shared, max(0, length - size)):
+            yield left, size, members[a:b + 1]
+
+
+def covered(before: list[bytes], after: list[bytes], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For each context and each distance before the anchor: whether the string from there on is a repeat.
+
+    Of the repeats in one right interval that hold an occurrence, the one with the longest left extension
+    covers the others, and its length is the larger one of the two neighbours' common lengths.
+    """
+    out = np.zeros((len(before), length - gram + 2), np.int32)
+    for size, members, shared in right_intervals(before, after, length, gram):
+        longest = np.maximum(np.append(shared, 0), np.append(0, shared))
+        wide = longest >= length - size
+        out[members[wide], length - size] += 1
+        out[members[wide], longest[wide] + 1] -= 1
+    return np.cumsum(out, axis=1)[:, :-1] > 0
 
 
 def _repeat_ranges(length: int, gram: int):
     """(key, first window, last window) of every occurrence of a repeat."""
 
-    def ranges(keys: list, places: list, before: list, after: list) -> list[tuple[int, int, int]]:
-        distinct: dict[tuple[bytes, bytes], list[int]] = {}
-        seen = set()
-        for i, (key, at) in enumerate(zip(keys, places, strict=True)):
-            if (key, at) not in seen:
-                seen.add((key, at))
-                distinct.setdefault((before[i], after[i]), []).append(i)
-        out = []
-        contexts = list(distinct)
-        best: list[list[tuple[int, int]]] = [[] for _ in contexts]
-        for j, (b, a) in enumerate(contexts):
-            if len(distinct[contexts[j]]) > 1 and len(a) + len(b) >= length:
-                best[j].append((min(len(b), length - gram), min(len(a), length)))
-        if len(contexts) == 2:
+    def close(contexts: list, owners: list) -> list[tuple[int, int, int]]:
+        if len(contexts) < 2:
+            return []
+        if len(contexts) > 2:
+            marked = covered([c[0] for c in contexts], [c[1] for c in contexts], length, gram)
+        else:
+            marked = np.zeros((2, length - gram + 1), bool)
             left, right = (shared_length(contexts[0][c], contexts[1][c]) for c in (0, 1))
-            if right >= gram and left + right >= length:
-                best = [[*b, (left, right)] for b in best]
-        elif len(contexts) > 2:
-            for left, right, members in maximal_repeats([c[0] for c in contexts], [c[1] for c in contexts], length, gram):
-                for j in members.tolist():
-                    best[j].append((left, right))
-        for j, context in enumerate(contexts):
-            for left, right in set(best[j]):
-                # Windows from ``left`` before the anchor, as long as they end within ``right`` after it.
-                for i in distinct[context]:
-                    out.append((keys[i], places[i] - left, places[i] + right - length))
+            if right >= gram:
+                marked[:, length - right:left + 1] = True
+        out = []
+        for owner, row in zip(owners, marked, strict=True):
+            if owner:
+                edges = np.flatnonzero(np.diff(row.astype(np.int8), prepend=0, append=0)).tolist()
+                out += [(owner[0], owner[1] - far + 1, owner[1] - near) for near, far in zip(edges[::2], edges[1::2], strict=True)]
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, ([], [], [], [])
-        same, first = 0, None
-
-        def close() -> list[tuple[int, int, int]]:
-            return ranges(*held) if len(held[0]) > 1 else []
+    def whole(key: int, at: int, before: bytes, after: bytes) -> tuple[int, int, int]:
+        return key, at - len(before), at + len(after) - length
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A context that occurs again is a repeat as a whole; its occurrences are handed on at once and not held.
+        group, contexts, owners, last = None, [], [], None
         for batch in batches:
             made = []
             for anchor, key, at, before, after in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if at < 0:
-                    # A window of a spread anchor: equal digests are equal windows.
-                    if group != (anchor, after):
-                        made += close()
-                        group, held, same, first = (anchor, after), ([], [], [], []), 0, (key, at)
-                        continue
-                    if (key, at) != first:
-                        made += [(first[0], -1 - first[1], -1 - first[1])] if not same else []
-                        made.append((key, -1 - at, -1 - at))
-                        same += 1
-                    continue
-                if group != (anchor, None):
-                    made += close()
-                    group, held = (anchor, None), ([], [], [], [])
-                for column, value in zip(held, (key, at, before, after), strict=True):
-                    column.append(value)
-            yield _range_batch(made)
-        yield _range_batch(close())
+                if anchor != group:
+                    made += close(contexts, owners)
+                    group, contexts, owners, last = anchor, [], [], None
+                if contexts and contexts[-1] == (before, after):
+                    if (key, at) != last:
+                        if owners[-1]:
+                            made.append(whole(*owners[-1], before, after))
+                            owners[-1] = None
+                        made.append(whole(key, at, before, after))
+                else:
+                    contexts.append((before, after))
+                    owners.append((key, at))
+                last = (key, at)
+            yield _range_batch([m for m in made if m[1] <= m[2]])
+        yield _range_batch(close(contexts, owners))
 
     return run
 
@@ -288,7 +313,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     contexts = docs.join(wanted, "key", "left").select("key", "text", "wanted", "hot").mapInArrow(
         _context_rows(length, gram), "anchor long, key long, at long, before binary, after binary"
     )
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "after", "before").mapInArrow(
+    return contexts.repartition("anchor").sortWithinPartitions("anchor", "after", "before", "key", "at").mapInArrow(
         _repeat_ranges(length, gram), "key long, first long, last long"
     )
 

@@ -58,6 +58,26 @@ def test_stack_scan_gives_all_intervals():
         assert set(repeats.intervals(np.array(lcp), 2)) == want
 
 
+def test_repeats_come_with_all_occurrences():
+    """Groups against a plain search over (left, right) extensions; covered() is the union of the groups."""
+    import numpy as np
+
+    rng = random.Random(3)
+    length, gram = 12, 4
+    for _ in range(100):
+        n = rng.randrange(3, 9)
+        before = ["".join(rng.choice("ab") for _ in range(8)).encode()[:rng.choice([8, 8, 3])] for _ in range(n)]
+        after = [b"abab" + "".join(rng.choice("ab") for _ in range(8)).encode()[:rng.choice([8, 8, 2])] for _ in range(n)]
+        union = np.zeros((n, length - gram + 1), bool)
+        for left, right, members in repeats.maximal_repeats(before, after, length, gram):
+            assert left + right >= length and len(members) > 1
+            assert len({(before[i][:left], after[i][:right]) for i in members}) == 1
+            same = [i for i in range(n) if (before[i][:left], after[i][:right]) == (before[members[0]][:left], after[members[0]][:right])]
+            assert sorted(members.tolist()) == [i for i in same if len(before[i]) >= left and len(after[i]) >= right]
+            union[members, length - right:left + 1] = True
+        assert (union == repeats.covered(before, after, length, gram)).all()
+
+
 def test_empty_table(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

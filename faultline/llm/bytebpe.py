@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -138,11 +139,13 @@ def _cut(limit: int, words_only: bool, names: list[str]):
                 continue
             # The bytes of the positions are grouped by significance, which packs better.
             stream = inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([base + number]), pa.array([-1], pa.int32()), pa.array([len(known)], pa.int32()),
-                pa.array([pa.compress(stream, "zstd", asbytes=True)], pa.binary()), pa.array([len(inverse)], pa.int64()),
-                pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([counts.tolist()], pa.list_(pa.int64())),
-            ], names)
+            head = {
+                "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
+                "doc_ids": ids.to_pylist(), "counts": counts,
+            }
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([base + number]), pa.array([-1], pa.int32()), pa.array([pickle.dumps(head)], pa.binary())], names
+            )
 
     return run
 
@@ -231,7 +234,7 @@ def _assemble(id_type: pa.DataType):
                 if i < len(places):
                     if head:
                         yield sequences(head, parts)
-                    head, parts = {c: batch.column(c)[int(i)].as_py() for c in ("known", "stream", "tokens", "doc_ids", "counts")}, []
+                    head, parts = pickle.loads(batch.column("ids")[int(i)].as_py()), []
         if head:
             yield sequences(head, parts)
 
@@ -245,11 +248,8 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     words = docs.mapInArrow(_cut(chunk_bytes, True, ["chunk", "place", "word"]), "chunk long, place int, word binary")
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(shared), "chunk long, place int, ids binary")
-    head = {"known": "int", "stream": "binary", "tokens": "long", "doc_ids": f"array<{kind.simpleString()}>", "counts": "array<bigint>"}
-    heads = docs.mapInArrow(
-        _cut(chunk_bytes, False, ["chunk", "place", *head]), "chunk long, place int, " + ", ".join(f"{c} {t}" for c, t in head.items())
-    )
-    pieces = coded.unionByName(heads, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "place")
+    heads = docs.mapInArrow(_cut(chunk_bytes, False, ["chunk", "place", "ids"]), "chunk long, place int, ids binary")
+    pieces = coded.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk", "place")
     return pieces.mapInArrow(_assemble(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens long, ids binary")
 
 

@@ -20,6 +20,7 @@ Chunks are cut twice, so the input has to be a table or files.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,10 +166,7 @@ def _words(limit: int):
     return run
 
 
-HEAD = "known int, stream binary, tokens long, doc_ids array<{}>, held array<boolean>, counts array<bigint>, scores array<double>"
-
-
-def _heads(limit: int, shared, names: list[str]):
+def _heads(limit: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _chunked(batches, limit):
             hashes = np.concatenate([h for _, h, _ in held])
@@ -177,12 +175,14 @@ def _heads(limit: int, shared, names: list[str]):
             ids = pa.chunked_array([b.column(0) for b, _, _ in held])
             fold = pa.chunked_array([b.column(3) for b, _, _ in held])
             scores = np.concatenate([shared.value.score(*textkit.buffers(b.column(1))) for b, _, _ in held])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([number]), pa.array([-1], pa.int32()), pa.array([len(known)], pa.int32()),
-                pa.array([pa.compress(stream, "zstd", asbytes=True)], pa.binary()), pa.array([len(inverse)], pa.int64()),
-                pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([fold.to_pylist()], pa.list_(pa.bool_())),
-                pa.array([np.concatenate([n for _, _, n in held]).tolist()], pa.list_(pa.int64())), pa.array([scores.tolist()], pa.list_(pa.float64())),
-            ], names)
+            head = {
+                "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
+                "doc_ids": ids.to_pylist(), "held": fold.to_pylist(), "counts": np.concatenate([n for _, _, n in held]), "scores": scores,
+            }
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.array([-1], pa.int32()), pa.array([0]), pa.array([pickle.dumps(head)], pa.binary())],
+                ["chunk", "place", "c", "head"],
+            )
 
     return run
 
@@ -216,7 +216,7 @@ def _sums(id_type: pa.DataType):
                 if i < len(places):
                     if head:
                         yield scored(head, parts)
-                    head, parts = {c: batch.column(c)[int(i)].as_py() for c in ("known", "stream", "tokens", "doc_ids", "held", "counts", "scores")}, []
+                    head, parts = pickle.loads(batch.column("head")[int(i)].as_py()), []
         if head:
             yield scored(head, parts)
 
@@ -238,11 +238,8 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     ends = learning.count()
     row = counted.where("first and c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     distinct, total = row[0] + (ends > 0), row[1] + ends
-    head = HEAD.format(kind.simpleString())
-    heads = docs.mapInArrow(
-        _heads(chunk_bytes, trie, ["chunk", "place", *(c.split()[0] for c in head.split(", "))]), f"chunk long, place int, {head}"
-    )
-    pieces = counted.select("chunk", "place", "c").unionByName(heads, allowMissingColumns=True)
+    heads = docs.mapInArrow(_heads(chunk_bytes, trie), "chunk long, place int, c long, head binary")
+    pieces = counted.select("chunk", "place", "c", F.lit(None).cast("binary").alias("head")).unionByName(heads)
     pieces = pieces.repartition("chunk").sortWithinPartitions("chunk", "place")
     out = pieces.mapInArrow(
         _sums(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, words long, known_words long, logs double, score double"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,12 +24,14 @@ def header_name(text: str | None) -> str:
 
 
 def _accent_table() -> tuple[str, str]:
-    """All characters whose canonical decomposition starts with one ASCII letter."""
+    """All characters whose canonical decomposition holds one ASCII character (none holds more)."""
     pairs = []
-    for code in range(0xA0, 0x2000):
-        plain = _ascii(chr(code))
-        if len(plain) == 1:
-            pairs.append((chr(code), plain))
+    for code in range(0xA0, sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(code))
+        if parts and not parts.startswith("<"):
+            plain = _ascii(chr(code))
+            if len(plain) == 1:
+                pairs.append((chr(code), plain))
     return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .ordered import HOT_ROWS, UNBOUNDED, block_window, ordered_blocks, ranked, split_cells
+from .ordered import HOT_ROWS, UNBOUNDED, block_window, ordered_blocks, ranked, same_keys_join, split_cells
 from .quantiles import exact_quantiles, grouped_median
 
 
@@ -69,7 +69,7 @@ def forward_fill(
     carry = known.select(
         *part, F.lit(True).alias("_hot"), *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in columns]
     )
-    return filled.join(carry, [*part, "_hot"], "left").select(*[
+    return same_keys_join(filled, carry, [*part, "_hot"], "left").select(*[
         F.coalesce(c, f"_c_{c}").alias(c) if c in columns else F.col(c) for c in df.columns
     ])
 

@@ -16,6 +16,7 @@ N / hot_rows hot groups, which bounds every list that is broadcast here.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -49,6 +50,23 @@ def _numbers(df: DataFrame, order: Sequence[str]) -> list[Column]:
     return out
 
 
+def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys of the left side stay."""
+    other = right.select(*[F.col(c).alias(f"_same_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(other, same, how).drop(*[f"_same_{k}" for k in keys])
+
+
+def _kind(n: Column) -> Column:
+    """Null, -infinity, finite, infinity and NaN, numbered as they sort."""
+    d = n.cast("double")
+    return (
+        F.when(n.isNull(), 0).when(F.isnan(d), 4).when(d == math.inf, 3).when(d == -math.inf, 1).otherwise(2)
+    )
+
+
 def split_cells(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int
 ) -> tuple[DataFrame, list[str]]:
@@ -58,15 +76,24 @@ def split_cells(
     buckets of the first order column that varies inside it, so the cell columns sort like
     the order. Without a hot key the table comes back unchanged and the list is empty, else
     it also has ``_hot`` and ``_start``, the first order value of a hot key. Only rows that
-    agree in every numeric order column stay together.
+    agree in every numeric order column stay together. A null key is a key like others; null,
+    infinite and NaN order values get cells of their own, so every round divides its groups.
     """
     numbers, cells = _numbers(df, order), []
     while numbers:
         part = [*keys, *cells]
-        spans = [s for i, n in enumerate(numbers) for s in (F.min(n).alias(f"_lo{i}"), F.max(n).alias(f"_hi{i}"))]
+        spans = [
+            f(v).alias(f"{c}{i}") for i, n in enumerate(numbers) for v, low, high in (
+                (F.when(_kind(n) == 2, n), "_lo", "_hi"), (_kind(n), "_first", "_last"),
+            ) for f, c in ((F.min, low), (F.max, high))
+        ]
+        divides = [
+            (F.col(f"_first{i}") < F.col(f"_last{i}")) | F.coalesce(F.col(f"_lo{i}") < F.col(f"_hi{i}"), F.lit(False))
+            for i in range(len(numbers))
+        ]
         varies = F.lit(False)
-        for i in range(len(numbers)):
-            varies = varies | (F.col(f"_lo{i}") < F.col(f"_hi{i}"))
+        for d in divides:
+            varies = varies | d
         counted = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), *spans)
         big = counted.where((F.col("_n") > hot_rows) & varies).drop("_n")
         rows = big.collect()
@@ -75,14 +102,21 @@ def split_cells(
         bucket = F.when(F.lit(False), F.lit(0).cast("long"))
         for i, n in enumerate(numbers):
             lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-            share = (n - lo).cast("double") / (hi - lo).cast("double")
-            bucket = bucket.when(lo < hi, F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("long"))
+            width = (hi - lo).cast("double")
+            share = F.when(width == math.inf, (n / 2 - lo / 2) / (hi / 2 - lo / 2)).otherwise(
+                (n - lo).cast("double") / width
+            )
+            place = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("long")
+            ends = F.when(_kind(n) == 2, F.when(lo < hi, place).otherwise(0)).when(
+                _kind(n) < 2, _kind(n) - 2
+            ).otherwise(_kind(n) + BUCKETS - 3)
+            bucket = bucket.when(divides[i], ends.cast("long"))
         name = f"_c{len(cells)}"
         added = [F.coalesce(bucket, F.lit(0).cast("long")).alias(name)]
         if not cells:
-            added += [F.col("_lo0").isNotNull().alias("_hot"), F.col("_lo0").alias("_start")]
+            added += [F.col("_first0").isNotNull().alias("_hot"), F.col("_lo0").alias("_start")]
         table = F.broadcast(df.sparkSession.createDataFrame(rows, big.schema))
-        df = df.join(table, part, "left").select(*df.columns, *added)
+        df = same_keys_join(df, table, part, "left").select(*df.columns, *added)
         cells.append(name)
     return df, cells
 
@@ -100,7 +134,7 @@ def ranked(
     offsets = sizes.select(*part, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*part).orderBy(*order)
     placed = df.select("*", F.row_number().over(inside).alias("_pos"))
-    return placed.join(offsets, part).select(*df.columns, (F.col("_offset") + F.col("_pos")).alias(out))
+    return same_keys_join(placed, offsets, part).select(*df.columns, (F.col("_offset") + F.col("_pos")).alias(out))
 
 
 def blocks_around(rank: Column, size: int, before: int, after: int) -> tuple[Column, Column]:

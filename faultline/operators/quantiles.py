@@ -5,11 +5,26 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import HOT_ROWS, hot_keys
+from .ordered import HOT_ROWS, hot_keys, same_keys_join
 
 BUCKETS = 4096
+INFINITE = math.inf
+
+
+def share_between(x: Column, lo: Column, hi: Column) -> Column:
+    """Place of a finite ``x`` in [lo, hi] as a share of its width, also where the width is no finite double."""
+    halves = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+    return F.when(hi - lo == INFINITE, halves).otherwise((x - lo) / (hi - lo))
+
+
+def _between(x0: float, x1: float, share: float) -> float:
+    if x0 == x1 or share == 0:
+        return x0
+    if math.isinf(x1 - x0):
+        return x0 * (1 - share) + x1 * share
+    return x0 + (x1 - x0) * share
 
 
 def _find(counts: list[tuple], ranks: Sequence[int]) -> dict[int, tuple[tuple, int]]:
@@ -29,21 +44,28 @@ def quantiles_of(long: DataFrame, probs: Sequence[float]) -> dict[str, list[floa
     Radix descent: the ranks wanted are looked up in counts per bucket over the full
     range, then per bucket inside the bucket that holds each rank, and so on until the
     bucket holds one value. Every pass counts before it shuffles; the driver sees at most
-    ``BUCKETS`` counts per open bucket, and no step sorts the values.
+    ``BUCKETS`` counts per open bucket, and no step sorts the values. Infinite values are
+    the outermost ranks and are counted, not descended into.
     """
     spark = long.sparkSession
     long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
     span = {
         r["name"]: r
         for r in long.groupBy("name").agg(
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
+            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("x") == -INFINITE, 1)).alias("below"),
+            F.count(F.when(F.col("x") == INFINITE, 1)).alias("above"),
+            *[f(F.when(F.abs("x") < INFINITE, F.col("x"))).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))],
         ).collect()
     }
     open_: dict[tuple, list[tuple[int, int]]] = {}  # (name, lo, hi) -> [(rank, rank inside)]
     value: dict[tuple[str, int], float] = {}
     for name, r in span.items():
         ranks = {f(p * (r["n"] - 1)) + 1 for p in probs for f in (math.floor, math.ceil)}
-        open_[(name, r["lo"], r["hi"])] = [(k, k) for k in ranks]
+        value.update({(name, k): -math.inf for k in ranks if k <= r["below"]})
+        value.update({(name, k): math.inf for k in ranks if k > r["n"] - r["above"]})
+        finite = [(k, k - r["below"]) for k in ranks if (name, k) not in value]
+        if finite:
+            open_[(name, r["lo"], r["hi"])] = finite
     while open_:
         todo, open_ = open_, {}
         buckets = max(64, BUCKETS // len(todo))
@@ -52,7 +74,7 @@ def quantiles_of(long: DataFrame, probs: Sequence[float]) -> dict[str, list[floa
             [(i, *part) for i, part in enumerate(todo)], "part int, name string, lo double, hi double"
         ))
         # monotone in x, so bucket order is value order
-        share = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        share = F.when(F.col("hi") > F.col("lo"), share_between(F.col("x"), F.col("lo"), F.col("hi"))).otherwise(0.0)
         bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
         inside = long.join(parts, "name").where(F.col("x").between(F.col("lo"), F.col("hi")))
         rows = inside.groupBy("part", bucket.alias("b")).agg(
@@ -75,7 +97,7 @@ def quantiles_of(long: DataFrame, probs: Sequence[float]) -> dict[str, list[floa
         for p in probs:
             at = p * (r["n"] - 1)
             x0, x1 = value[(name, math.floor(at) + 1)], value[(name, math.ceil(at) + 1)]
-            picks.append(x0 + (x1 - x0) * (at - math.floor(at)))
+            picks.append(_between(x0, x1, at - math.floor(at)))
         out[name] = picks
     return out
 
@@ -103,7 +125,7 @@ def grouped_median(
     counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     hot = hot_keys(counts, keys, hot_rows)
     if hot is not None:
-        counts = counts.join(hot, list(keys), "left_anti").select(*keys, value, "_n")
+        counts = same_keys_join(counts, hot, keys, "left_anti").select(*keys, value, "_n")
     whole = Window.partitionBy(*keys)
     w = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select("*", F.sum("_n").over(w).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
@@ -121,7 +143,7 @@ def grouped_median(
     if hot is None:
         return medians
     name = F.to_json(F.struct(*keys)).alias("name")
-    found = quantiles_of(known.join(hot, list(keys), "left_semi").select(name, F.col(value).cast("double").alias("x")), [0.5])
+    found = quantiles_of(same_keys_join(known, hot, keys, "left_semi").select(name, F.col(value).cast("double").alias("x")), [0.5])
     few = df.sparkSession.createDataFrame([(k, v[0]) for k, v in found.items()], f"name string, `{out}` double")
     busy = hot.select(*keys, name).join(few, "name").select(*keys, out)
     return medians.unionByName(busy)

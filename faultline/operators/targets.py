@@ -74,8 +74,8 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (binary target: two weights)."""
-    return df.join(F.broadcast(class_weights(df, y).select(y, F.col("weight").alias(out))), y)
+    """Attach the balanced weight of each row's class (binary target: two weights); none without a label."""
+    return df.join(F.broadcast(class_weights(df, y).select(y, F.col("weight").alias(out))), y, "left")
 
 
 def _shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -88,9 +88,10 @@ def undersample(df: DataFrame, y: str, key: str, seed: int = 42) -> DataFrame:
     """Random rows of every class down to the size of the smallest class.
 
     The choice is by hash order, so it repeats. Counts per cell tell which cells can hold
-    kept rows; only the rows of those cells are shuffled and ranked inside their cell.
+    kept rows; only the rows of those cells are shuffled and ranked inside their cell. Rows
+    without a label belong to no class and are not drawn.
     """
-    cells = _shuffled(df, key, seed)
+    cells = _shuffled(df.where(F.col(y).isNotNull()), key, seed)
     counts = cells.groupBy(y, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(y).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.select(y, "_cell", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
@@ -103,6 +104,6 @@ def undersample(df: DataFrame, y: str, key: str, seed: int = 42) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, y: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold`` in [0, folds): classes dealt evenly in hash order."""
+    """Add ``fold`` in [0, folds): classes dealt evenly in hash order; rows without a label count as one class."""
     out = ranked(_shuffled(df, key, seed), [y], ["_cell"], ["_h", key], "_at")
     return out.withColumn("fold", ((F.col("_at") - 1) % folds).cast("int")).drop("_at", "_cell", "_h")

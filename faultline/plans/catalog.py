@@ -12,7 +12,7 @@ from ..operators import attribution, cleaning, features, feedback, metrics, quan
 from ..operators import sampling, scoring, survival, targets, training, validation
 from ..operators.stacking import base_probabilities, with_probability
 from ..sources import delimited, model_store, star_schema, storage, work_orders as orders_source
-from ..sources.failure_log import failure_log
+from ..sources.failure_log import failure_log, unread_dates
 from ..streaming import feedback as stream
 from . import maintenance
 
@@ -88,6 +88,17 @@ def io1_failure_log(spark, d):
     )
 
 
+@query
+def io1_date_formats(spark, d):
+    raw, name = star_schema.raw_order_log(spark, d), "Data e Hora de Início"
+    way = F.col("ID Evento") % 5
+    text = F.when(way == 0, "sem data")
+    for i, pattern in enumerate(("dd/MM/yyyy HH:mm", "d-M-yyyy", "yyyy-MM-dd HH:mm:ss", "d.M.yyyy H:mm:ss"), 1):
+        text = text.when(way == i, F.date_format(name, pattern))
+    raw = raw.withColumn(name, text)
+    return failure_log(raw).select("event_id", us(), "asset_id").join(unread_dates(raw).select("n_unread"))
+
+
 @query
 def io2_work_orders(spark, d):
     out = orders_source.work_orders(star_schema.raw_work_orders(spark, d))
@@ -204,6 +215,21 @@ def p3_fill_median(spark, d):
     return cleaning.fill_missing(gappy(spark, d), "median", ["q"]).drop("l_shipdate")
 
 
+@query
+def p3_fill_median_infinite(spark, d):
+    q = F.when(F.col("l_orderkey") % 7 == 0, float("inf")).when(F.col("l_orderkey") % 11 == 0, float("-inf")).otherwise(F.col("q"))
+    out = cleaning.fill_missing(gappy(spark, d).withColumn("q", q.cast("double")), "median", ["q"])
+    return out.where(F.abs("q") < float("inf")).drop("l_shipdate")
+
+
+@query
+def p3_forward_fill_null_key_cut(spark, d):
+    keyed = gappy(spark, d).withColumn("l_partkey", F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber"]
+    out = cleaning.forward_fill(keyed, ["l_partkey"], order, ["q"], hot_rows=500)
+    return out.groupBy("l_orderkey", "l_linenumber").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"))
+
+
 @query
 def p3_forward_fill(spark, d):
     out = cleaning.forward_fill(gappy(spark, d), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], ["q"])
@@ -529,6 +555,13 @@ def t6_stratified_folds(spark, d):
     return sizes
 
 
+@query
+def t6_folds_null_label(spark, d):
+    rows = labelled(spark, d).withColumn("y", F.when(F.col("event_id") % 5 != 0, F.col("fails_within_30d")))
+    out = targets.stratified_folds(targets.with_class_weight(rows, "y"), "y", "event_id")
+    return out.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"), F.count("weight").alias("n_weighted"))
+
+
 # ---------------------------------------------------------------- aggregations and metrics
 @query
 def a1_aggregate_by_asset(spark, d):

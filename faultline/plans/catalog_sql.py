@@ -229,6 +229,9 @@ SQL = {
 SELECT region, count(*) AS failures, {r6('avg(tbf)')} AS mean_tbf, {r6('avg(fails_within_30d)')} AS repeat_rate_30d FROM s GROUP BY region""",
     "io1_failure_log": f"""WITH {LOG_A} SELECT event_id, us AS ts_us, CASE WHEN event_id % 3 <> 0 THEN region END AS region, installation, module,
   equipment, asset_id, o_orderpriority AS maintenance_type FROM log_a JOIN orders ON o_orderkey = event_id WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""",
+    "io1_date_formats": f"""WITH {LOG_A}, r AS (SELECT *, event_id % 5 AS way FROM log_a)
+SELECT event_id, CASE way WHEN 2 THEN epoch_us(date_trunc('day', ts)) WHEN 1 THEN epoch_us(date_trunc('minute', ts)) ELSE epoch_us(date_trunc('second', ts)) END AS ts_us,
+  asset_id, (SELECT count(*) FROM r WHERE way = 0) AS n_unread FROM r WHERE way <> 0""",
     "io2_work_orders": """SELECT CAST(l_suppkey AS VARCHAR) || ' - ' || CAST(l_partkey AS VARCHAR) AS asset_id, epoch_us(l_shipdate) AS opened_at_us,
   l_returnflag AS maintenance_type, 'Manutenção preventiva programada' AS description FROM lineitem""",
     "io2_work_orders_by_position": """SELECT l_returnflag || ' - ' || CAST(l_suppkey AS VARCHAR) || ' - ' || CAST(l_partkey AS VARCHAR) AS asset_id,
@@ -250,6 +253,12 @@ SELECT region, count(*) AS failures, {r6('avg(tbf)')} AS mean_tbf, {r6('avg(fail
     "p3_fill_zero": fill_sql("coalesce(q, 0)"),
     "p3_fill_mean": fill_sql(r6("coalesce(q, (SELECT avg(q) FROM gappy))")),
     "p3_fill_median": fill_sql("coalesce(q, (SELECT quantile_cont(q, 0.5) FROM gappy))"),
+    "p3_fill_median_infinite": f"""WITH {GAPPY}, g AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 7 = 0 THEN CAST('inf' AS DOUBLE)
+  WHEN l_orderkey % 11 = 0 THEN CAST('-inf' AS DOUBLE) ELSE CAST(q AS DOUBLE) END AS q FROM gappy)
+SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, coalesce(q, (SELECT quantile_cont(q, 0.5) FROM g)) AS q FROM g) WHERE isfinite(q)""",
+    "p3_forward_fill_null_key_cut": f"""WITH {GAPPY}, f AS (SELECT l_orderkey, l_linenumber, last_value(q IGNORE NULLS) OVER (
+  PARTITION BY CASE WHEN l_partkey % 3 <> 0 THEN l_partkey END ORDER BY l_shipdate, l_orderkey, l_linenumber) AS q FROM gappy)
+SELECT l_orderkey, l_linenumber, sum(q) AS q, count(*) AS n FROM f GROUP BY ALL""",
     "p3_forward_fill": f"""WITH {GAPPY}, f AS (SELECT l_orderkey, l_linenumber, last_value(q IGNORE NULLS) OVER (PARTITION BY l_partkey
   ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM gappy)
 SELECT l_orderkey, l_linenumber, sum(q) AS q, count(*) AS n FROM f GROUP BY ALL""",
@@ -324,6 +333,9 @@ SELECT fails_within_30d, n_class, {r6('sum(n_class) OVER () / CAST(count(*) OVER
 SELECT fails_within_30d, (SELECT min(n) FROM c) AS n, (SELECT min(n) FROM c) AS n_distinct FROM c""",
     "t6_stratified_folds": f"""WITH {targets_sql(LOG_A, 'log_a')}, c AS (SELECT fails_within_30d, count(*) AS n_all FROM labelled GROUP BY 1)
 SELECT fails_within_30d, CAST(f AS INTEGER) AS fold, n_all // 5 + CASE WHEN f < n_all % 5 THEN 1 ELSE 0 END AS n FROM c, range(0, 5) t(f)""",
+    "t6_folds_null_label": f"""WITH {targets_sql(LOG_A, 'log_a')}, c AS (SELECT CASE WHEN event_id % 5 <> 0 THEN fails_within_30d END AS y, count(*) AS n_all FROM labelled GROUP BY 1)
+SELECT y, CAST(f AS INTEGER) AS fold, n_all // 5 + CASE WHEN f < n_all % 5 THEN 1 ELSE 0 END AS n,
+  CASE WHEN y IS NULL THEN 0 ELSE n_all // 5 + CASE WHEN f < n_all % 5 THEN 1 ELSE 0 END END AS n_weighted FROM c, range(0, 5) t(f)""",
     "a1_aggregate_by_asset": f"""WITH {LOG_A}, {series('log_a')} SELECT asset_id, {r6('avg(tbf)')} AS tbf_mean, {r6('stddev_samp(tbf)')} AS tbf_std, min(tbf) AS tbf_min,
   max(tbf) AS tbf_max, CAST(sum(tbf) AS BIGINT) AS tbf_sum, count(tbf) AS tbf_count, quantile_cont(tbf, 0.5) AS tbf_median,
   arg_min(tbf, cumulative_failures) FILTER (tbf IS NOT NULL) AS tbf_first, arg_max(tbf, cumulative_failures) FILTER (tbf IS NOT NULL) AS tbf_last,

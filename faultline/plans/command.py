@@ -26,6 +26,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
         job = jobs.add_parser(name)
         job.add_argument("--log", required=True, help="failure log")
         job.add_argument("--format", default="csv", help="csv, parquet, json or orc")
+        job.add_argument("--date-format", help="pattern of date text; ISO and common day-first forms are known")
         if name != "explain":
             job.add_argument("--models", required=True, help="model store")
         if name == "train":
@@ -44,7 +45,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = arguments(argv)
     spark = spark or SparkSession.builder.appName("faultline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    log = read_failure_log(spark, args.log, args.format)
+    log = read_failure_log(spark, args.log, args.format, args.date_format)
     if args.job == "train":
         version, results = maintenance.train(spark, log, args.models, maintenance.Settings(horizons=args.horizons))
         for h, r in results.items():

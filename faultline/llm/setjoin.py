@@ -245,9 +245,10 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
     groups = materialized(met.join(pivots, "sig").select("pivot", "node").distinct())
     wanted = keyed.join(groups.select(F.col("node").alias("set_key")).distinct(), "set_key", "left_semi")
     wanted = wanted.groupBy("set_key").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    # Copies of a text lie in many tasks, each of which returns its set: one row per node may stay.
     sets = materialized(
         docs.join(wanted, "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>")
-        .withColumn("n", F.size("elements"))
+        .dropDuplicates(["node"]).withColumn("n", F.size("elements"))
     )
     # Every node first meets only the best of its pivots; most groups are one component after that.
     best = groups.join(degree.select(F.col("node").alias("pivot"), "degree"), "pivot").groupBy("node").agg(

@@ -18,27 +18,44 @@ def _starred(edges: DataFrame, larger_only: bool) -> DataFrame:
     least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     out = sides.join(least, "a")
     if larger_only:
-        return out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        return out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     linked = out.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on nothing; counts per node are combined before the shuffle."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"))))
+    counts = edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return counts.where("up > 1 or up = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest node that can be reached.
 
     Minima are aggregated before they are shuffled and the joins are open to skew splitting, so a node of very
-    many edges is no hot task. Every round is written to the shared folder; it ends when a round changes
-    nothing, after a number of rounds logarithmic in the size of the components.
+    many edges is no hot task. Every round is written to the shared folder; it ends when all edges are stars
+    around the smallest node, after a number of rounds logarithmic in the size of the components.
     """
-    edges = materialized(edges.where("a <> b").select("a", "b").distinct())
-    before = None
+    edges = edges.where("a <> b").select("a", "b").distinct()
     for _ in range(MAX_ROUNDS):
         edges = materialized(_starred(_starred(edges, True), False))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if _is_settled(edges):
             break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after further links (a, b): only the roots that the links join are searched again."""
+    if links.isEmpty():
+        return roots
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias("top"))
+        links = links.join(own, side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
+    joined = materialized(components(links))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(joined.join(roots, "node", "left_anti"))

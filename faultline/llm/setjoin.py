@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import textkit
-from faultline.llm.components import components
+from faultline.llm.components import components, extended
 from faultline.sources.storage import materialized
 
 SHINGLE = 4
@@ -260,8 +260,8 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
         roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left"
     ).where(F.coalesce("root", "node") != F.coalesce("pivot_root", "pivot"))
     apart = apart.select("node", "pivot").join(best, ["node", "pivot"], "left_anti")
-    second = linked(apart, sets, percent)
-    roots = materialized(components(materialized(first.unionByName(second))))
+    second = materialized(linked(apart, sets, percent))
+    roots = materialized(extended(roots, second))
     own = groups.join(roots, "node", "left").select("pivot", "node", F.coalesce("root", "node").alias("root"))
     pivot_root = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     own = own.join(pivot_root, "pivot", "left").withColumn("outer", F.col("root") != F.coalesce("pivot_root", "pivot"))
@@ -285,10 +285,7 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
         .repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "role", "node")
         .mapInArrow(_block_links(percent), "a long, b long")
     )
-    rest = materialized(rest)
-    if rest.isEmpty():
-        return roots
-    return components(rest.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return extended(roots, materialized(rest))
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

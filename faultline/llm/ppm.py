@@ -1,20 +1,22 @@
 """Document scores by prediction by partial matching, beside an add-one unigram base.
 
-The model predicts each byte of the lowered text, and an end symbol, from a trie of the three bytes before it.
-Contexts use 64 byte classes (letters, white space, digits, punctuation, the bytes of other scripts), so the
-trie has at most 2**18 contexts of the longest order whatever the corpus; symbols are all 256 byte values. A
-symbol that a context has not seen is escaped to the next shorter context, with the escape estimate q / (n + q)
-(q distinct symbols in n), where symbols that were already excluded by longer contexts take no mass; below the
-empty context stands the uniform distribution. Counts come from all training rows; log probabilities of all
-contexts are computed once and broadcast (their size is bounded by the number of contexts).
-
-The base needs the training count of every word of every document. Neighbouring whole texts form chunks; a
-chunk sends each of its distinct words once, counts are summed by word next to all occurrences and return to
-the chunks, where positions turn them into sums per document.
+The model predicts each byte of the lowered text, and an end symbol, from the bytes before it. The longest
+contexts are the last five bytes themselves; their table grows with the corpus and stays distributed. Below them
+stands a trie of the last three to no bytes in 64 byte classes (letters, white space, digits, punctuation, the
+bytes of other scripts), which has at most 2**18 contexts and is broadcast. Symbols are all 256 byte values. A
+symbol that a context has not seen is escaped to the next shorter one, with the escape estimate q / (n + q)
+(q distinct symbols in n). Within the trie, symbols excluded by longer contexts are left out of the counts; from
+the five bytes down, what the trie gives to symbols already seen goes to the others in proportion. Below the
+empty context stands the uniform distribution. Counts come from all training rows.
+
+Neighbouring whole texts form chunks. A chunk sends each of its distinct words and each of its distinct pairs of
+context and symbol once, with its training count; counts are added up before and after the shuffle, a context
+(at most 256 symbols) becomes log probabilities, and these return to the chunks, where they are put to the
+positions again and summed by document.
 
 Cases: null and empty texts hold only the end; a null id counts as empty text for the fold; repeated rows are
-scored alike; without training rows every symbol is equally likely. Words are compared by 64-bit hashes.
-Chunks are cut twice, so the input has to be a table or files.
+scored alike; without training rows every symbol is equally likely. Words are compared by 64-bit hashes, contexts
+by their bytes. Chunks are cut twice, so the input has to be a table or files.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm import textkit
@@ -34,6 +36,8 @@ from faultline.sources.storage import materialized
 
 CHUNK_BYTES = 4 << 20
 ORDER = 3
+#: Bytes of the longest contexts.
+DEEP = 5
 CLASS_BITS = 6
 END = 0xFF
 BOUNDARY = 27
@@ -50,23 +54,37 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def codes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of every byte and end, as one number each, and the first of each text."""
+def _laid_out(values: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lowered texts, each after ``order`` and before one more boundary symbols, and the places to predict."""
     sizes = np.diff(offsets)
     texts = len(sizes)
-    gap = ORDER + 1
+    gap = order + 1
     padded = np.full(len(values) + gap * texts, END, np.uint8)
-    shift = gap * np.arange(texts) + ORDER
+    shift = gap * np.arange(texts) + order
     padded[np.arange(len(values)) + np.repeat(shift, sizes)] = textkit.LOWER[values]
     predicted = np.ones(len(padded), bool)
-    for j in range(1, ORDER + 1):
+    for j in range(1, order + 1):
         predicted[offsets[:-1] + shift - j] = False
-    at = np.flatnonzero(predicted)
+    return padded, np.flatnonzero(predicted)
+
+
+def codes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classed context and symbol of every byte and end, as one number each, and the first of each text."""
+    padded, at = _laid_out(values, offsets, ORDER)
     kinds = CLASSES[padded]
     context = np.zeros(len(at), np.uint32)
     for j in range(ORDER, 0, -1):
         context = context << np.uint32(CLASS_BITS) | kinds[at - j]
-    return context << np.uint32(8) | padded[at], offsets + np.arange(texts + 1)
+    return context << np.uint32(8) | padded[at], offsets + np.arange(len(offsets))
+
+
+def deep_codes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes of the longest context and the symbol of every byte and end, as one number each."""
+    padded, at = _laid_out(values, offsets, DEEP)
+    code = np.zeros(len(at), np.int64)
+    for j in range(DEEP, -1, -1):
+        code = code << 8 | padded[at - j]
+    return code
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +138,35 @@ class Trie:
         out += left * free / np.maximum(free.sum(axis=1, keepdims=True), 1)
         return np.log10(np.maximum(out, 1e-300))
 
-    def score(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text with its end."""
-        number, first = codes(values, offsets)
-        logs = self.logs[self.rows[number >> np.uint32(8)], number & np.uint32(0xFF)]
-        return np.add.reduceat(logs.astype(np.float64), first[:-1]) if len(first) > 1 else np.zeros(0)
+    def rows_of(self, code: np.ndarray) -> np.ndarray:
+        """Rows of the distributions that stand below the contexts of deep codes."""
+        context = np.zeros(len(code), np.int64)
+        for j in range(ORDER, 0, -1):
+            context = context << CLASS_BITS | CLASSES[code >> 8 * j & 0xFF]
+        return self.rows[context]
+
+    def deep_logs(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log10 probabilities for sorted deep codes with their training counts; all symbols of a context are here."""
+        if not len(code):
+            return np.zeros(0)
+        context, symbol, seen = code >> 8, code & 0xFF, n > 0
+        start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(code))))
+        total, kinds = np.add.reduceat(n, start)[group], np.add.reduceat(seen.astype(np.int64), start)[group]
+        row = self.rows_of(code)
+        out = self.logs[row, symbol].astype(np.float64)
+        escaped = ~seen & (kinds > 0)
+        # What the distribution below leaves for symbols that the context has not seen.
+        wanted, rest = np.unique(group[escaped]), np.ones(len(start))
+        for i in range(0, len(wanted), 2048):
+            part = wanted[i:i + 2048]
+            left = 10.0 ** self.logs[row[start[part]]].astype(np.float64)
+            inside = np.flatnonzero(np.isin(group, part) & seen)
+            left[np.searchsorted(part, group[inside]), symbol[inside]] = 0
+            rest[part] = left.sum(axis=1)
+        out[escaped] += np.log10(kinds[escaped] / (total[escaped] + kinds[escaped]) / rest[group[escaped]])
+        out[seen] = np.log10(n[seen] / (total[seen] + kinds[seen]))
+        return out
 
 
 def train(docs: DataFrame) -> Trie:
@@ -134,13 +176,12 @@ def train(docs: DataFrame) -> Trie:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], limit: int):
-    """Rows of about ``limit`` bytes together: columns, word hashes, words per text, and scores if there is a trie."""
+    """Chunk number and (rows, bytes, offsets) of its slices, about ``limit`` bytes together."""
     batches, base = numbered(batches)
     held, size, number = [], 0, base
     for batch in batches:
         for row, values, offsets in textkit.slices(batch.column(1)):
-            hashes, first = textkit.words(values, offsets, textkit.SPACED)
-            held.append((batch.slice(row, len(offsets) - 1), hashes, np.diff(first)))
+            held.append((batch.slice(row, len(offsets) - 1), values, offsets))
             size += len(values)
             if size >= limit:
                 yield number, held
@@ -149,39 +190,73 @@ def _chunked(batches: Iterator[pa.RecordBatch], limit: int):
         yield number, held
 
 
-def _words(limit: int):
+def _symbols(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Hashes of the words, words per text, deep codes and codes per text of the slices of a chunk."""
+    out = []
+    for values, offsets in parts:
+        hashes, first = textkit.words(values, offsets, textkit.SPACED)
+        out.append((hashes, np.diff(first), deep_codes(values, offsets), np.diff(offsets) + 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _pieces(limit: int):
+    """Distinct words and deep codes of every chunk with their counts in training rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _chunked(batches, limit):
-            hashes = np.concatenate([h for _, h, _ in held])
-            learn = np.concatenate([
-                np.repeat(~np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool), n) for b, _, n in held
-            ])
-            known, back = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(back, learn, minlength=len(known)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(known), number)), pa.array(np.arange(len(known), dtype=np.int32)),
-                pa.array(textkit.signed(known)), pa.array(counts),
-            ], ["chunk", "place", "word", "n"])
+            hashes, words, deep, sizes = _symbols([part[1:] for part in held])
+            learn = ~np.concatenate([np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool) for b, _, _ in held])
+            place = 0
+            for is_deep, every, counts in ((False, hashes.view(np.int64), words), (True, deep, sizes)):
+                known, back = np.unique(every, return_inverse=True)
+                n = np.bincount(back, np.repeat(learn, counts), minlength=len(known)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(known), number)), pa.array(np.arange(place, place + len(known), dtype=np.int32)),
+                    pa.array(np.full(len(known), is_deep)), pa.array(known), pa.array(n),
+                ], ["chunk", "place", "deep", "code", "n"])
+                place += len(known)
 
     return run
 
 
-def _heads(limit: int, shared):
+def _valued(shared):
+    """Counts of words, log probabilities of deep codes; rows are sorted, all symbols of a context come together."""
+
+    def made(deep: bool, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        value = shared.value.deep_logs(code, n) if deep else n.astype(np.float64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(code), deep)), pa.array(code), pa.array(n), pa.array(value)], ["deep", "code", "n", "value"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            deep = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), bool)
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)])
+            yield made(False, *rows[:, ~deep])
+            held = np.hstack([held, rows[:, deep]])
+            if held.shape[1]:
+                context = held[0] >> 8
+                cut = int(np.searchsorted(context, context[-1]))
+                yield made(True, *held[:, :cut])
+                held = held[:, cut:]
+        yield made(True, *held)
+
+    return run
+
+
+def _heads(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _chunked(batches, limit):
-            hashes = np.concatenate([h for _, h, _ in held])
-            known, inverse = np.unique(hashes, return_inverse=True)
-            stream = inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-            ids = pa.chunked_array([b.column(0) for b, _, _ in held])
-            fold = pa.chunked_array([b.column(3) for b, _, _ in held])
-            scores = np.concatenate([shared.value.score(*textkit.buffers(b.column(1))) for b, _, _ in held])
+            text = np.concatenate([v for _, v, _ in held])
             head = {
-                "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
-                "doc_ids": ids.to_pylist(), "held": fold.to_pylist(), "counts": np.concatenate([n for _, _, n in held]), "scores": scores,
+                "doc_ids": pa.chunked_array([b.column(0) for b, _, _ in held]).to_pylist(),
+                "held": pa.chunked_array([b.column(3) for b, _, _ in held]).to_pylist(),
+                "sizes": np.concatenate([np.diff(o) for _, _, o in held]), "bytes": len(text), "text": pa.compress(text, "zstd", asbytes=True),
             }
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([-1], pa.int32()), pa.array([0]), pa.array([pickle.dumps(head)], pa.binary())],
-                ["chunk", "place", "c", "head"],
+                [pa.array([number]), pa.array([-1], pa.int32()), pa.array([0.0]), pa.array([pickle.dumps(head)], pa.binary())],
+                ["chunk", "place", "value", "head"],
             )
 
     return run
@@ -189,29 +264,34 @@ def _heads(limit: int, shared):
 
 def _sums(id_type: pa.DataType):
     def scored(head: dict, parts: list[np.ndarray]) -> pa.RecordBatch:
-        counts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if len(counts) != head["known"]:
-            raise RuntimeError("the words of a chunk do not fit its positions: the input changed between two reads")
-        total = head["tokens"]
-        raw = pa.decompress(head["stream"], 4 * total, "zstd", asbytes=True)
-        inverse = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, total).T).view("<u4").ravel()
-        first = np.append(0, np.cumsum(head["counts"]))
-        logs = np.append(0.0, np.cumsum(np.log10(counts + 1.0)[inverse]))[first]
-        seen = np.append(0, np.cumsum((counts > 0)[inverse]))[first]
+        found = np.concatenate(parts) if parts else np.zeros(0)
+        raw = pa.decompress(head["text"], head["bytes"], "zstd")
+        offsets = np.append(0, np.cumsum(head["sizes"]))
+        column = pa.Array.from_buffers(pa.large_binary(), len(head["sizes"]), [None, pa.py_buffer(offsets), raw])
+        hashes, words, deep, sizes = _symbols([(v, o) for _, v, o in textkit.slices(column)])
+        known, back = np.unique(hashes.view(np.int64), return_inverse=True)
+        places, at = np.unique(deep, return_inverse=True)
+        if len(found) != len(known) + len(places):
+            raise RuntimeError("the symbols of a chunk do not fit its texts: the input changed between two reads")
+        counts, logs = found[:len(known)], found[len(known):]
+        ends = np.append(0, np.cumsum(words))
+        base = np.append(0.0, np.cumsum(np.log10(counts + 1.0)[back]))[ends]
+        seen = np.append(0, np.cumsum((counts > 0)[back]))[ends]
+        score = np.add.reduceat(logs[at], np.append(0, np.cumsum(sizes))[:-1])
         return pa.RecordBatch.from_arrays([
-            pa.array(head["doc_ids"], id_type), pa.array(head["held"], pa.bool_()), pa.array(np.diff(first)),
-            pa.array(np.diff(seen).astype(np.int64)), pa.array(np.diff(logs)), pa.array(head["scores"], pa.float64()),
+            pa.array(head["doc_ids"], id_type), pa.array(head["held"], pa.bool_()), pa.array(words.astype(np.int64)),
+            pa.array(np.diff(seen).astype(np.int64)), pa.array(np.diff(base)), pa.array(score),
         ], ["doc_id", "held_out", "words", "known_words", "logs", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts = None, []
         for batch in batches:
             places = batch.column("place").to_numpy(zero_copy_only=False)
-            counts = batch.column("c").fill_null(0).to_numpy(zero_copy_only=False)
+            values = batch.column("value").to_numpy(zero_copy_only=False)
             at = 0
             for i in [*np.flatnonzero(places < 0), len(places)]:
                 if i > at:
-                    parts.append(counts[at:i])
+                    parts.append(values[at:i].copy())
                 at = i + 1
                 if i < len(places):
                     if head:
@@ -229,19 +309,20 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     learning = docs.where("not held")
     trie = docs.sparkSession.sparkContext.broadcast(train(learning))
-    words = docs.mapInArrow(_words(chunk_bytes), "chunk long, place int, word long, n long")
-    by_word = Window.partitionBy("word")
-    counted = materialized(words.select(
-        "chunk", "place", F.sum("n").over(by_word).alias("c"),
-        (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"),
-    ))
+    pieces = materialized(docs.mapInArrow(_pieces(chunk_bytes), "chunk long, place int, deep boolean, code long, n long"))
+    totals = pieces.groupBy("deep", "code").agg(F.sum("n").alias("n"))
+    context = F.when(F.col("deep"), F.shiftright("code", 8)).otherwise(F.col("code"))
+    valued = materialized(
+        totals.repartition("deep", context).sortWithinPartitions("deep", "code")
+        .mapInArrow(_valued(trie), "deep boolean, code long, n long, value double")
+    )
     ends = learning.count()
-    row = counted.where("first and c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    row = valued.where("not deep and n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = row[0] + (ends > 0), row[1] + ends
-    heads = docs.mapInArrow(_heads(chunk_bytes, trie), "chunk long, place int, c long, head binary")
-    pieces = counted.select("chunk", "place", "c", F.lit(None).cast("binary").alias("head")).unionByName(heads)
-    pieces = pieces.repartition("chunk").sortWithinPartitions("chunk", "place")
-    out = pieces.mapInArrow(
+    heads = docs.mapInArrow(_heads(chunk_bytes), "chunk long, place int, value double, head binary")
+    back = pieces.join(valued.select("deep", "code", "value"), ["deep", "code"])
+    back = back.select("chunk", "place", "value", F.lit(None).cast("binary").alias("head")).unionByName(heads)
+    out = back.repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(
         _sums(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, words long, known_words long, logs double, score double"
     )
     below = math.log10(total + distinct + 1)

@@ -23,33 +23,44 @@ def is_held(doc_id):
 def plain_model(texts):
     """Log10 probability of a text, from dictionaries of counts, symbol by symbol."""
     counts = [defaultdict(Counter) for _ in range(4)]
+    deep = defaultdict(Counter)
 
     def steps(text):
         data = list(lowered(text).encode()) + [ppm.END]
         kinds = [ppm.BOUNDARY] * 3 + [int(ppm.CLASSES[b]) for b in data]
+        before = [ppm.END] * 5 + data
         for i, b in enumerate(data):
-            yield tuple(kinds[i:i + 3]), b
+            yield tuple(before[i:i + 5]), tuple(kinds[i:i + 3]), b
 
     for text in texts:
-        for context, b in steps(text):
+        for last, context, b in steps(text):
+            deep[last][b] += 1
             for k in range(4):
                 counts[k][context[3 - k:]][b] += 1
 
+    def classed(context, b):
+        gone, p = set(), 1.0
+        for k in (3, 2, 1, 0):
+            seen = {s: n for s, n in counts[k][context[3 - k:]].items() if s not in gone}
+            n, q = sum(seen.values()), len(seen)
+            if b in seen:
+                return p * seen[b] / (n + q)
+            if q:
+                p *= q / (n + q)
+                gone |= set(seen)
+        return p / (256 - len(gone))
+
     def score(text):
         total = 0.0
-        for context, b in steps(text):
-            gone, p = set(), 1.0
-            for k in (3, 2, 1, 0):
-                seen = {s: n for s, n in counts[k][context[3 - k:]].items() if s not in gone}
-                n, q = sum(seen.values()), len(seen)
-                if b in seen:
-                    p *= seen[b] / (n + q)
-                    break
-                if q:
-                    p *= q / (n + q)
-                    gone |= set(seen)
+        for last, context, b in steps(text):
+            seen = deep.get(last, {})
+            n, q = sum(seen.values()), len(seen)
+            if b in seen:
+                p = seen[b] / (n + q)
+            elif q:
+                p = q / (n + q) * classed(context, b) / sum(classed(context, s) for s in range(256) if s not in seen)
             else:
-                p /= 256 - len(gone)
+                p = classed(context, b)
             total += math.log10(p)
         return total
 

@@ -1,12 +1,12 @@
 """Document scores by prediction by partial matching, beside an add-one unigram base.
 
 The model predicts each byte of the lowered text, and an end symbol, from the bytes before it. The longest
-contexts are the last five bytes themselves; their table grows with the corpus and stays distributed. Below them
+contexts are the last four bytes themselves; their table grows with the corpus and stays distributed. Below them
 stands a trie of the last three to no bytes in 64 byte classes (letters, white space, digits, punctuation, the
 bytes of other scripts), which has at most 2**18 contexts and is broadcast. Symbols are all 256 byte values. A
 symbol that a context has not seen is escaped to the next shorter one, with the escape estimate q / (n + q)
 (q distinct symbols in n). Within the trie, symbols excluded by longer contexts are left out of the counts; from
-the five bytes down, what the trie gives to symbols already seen goes to the others in proportion. Below the
+the four bytes down, what the trie gives to symbols already seen goes to the others in proportion. Below the
 empty context stands the uniform distribution. Counts come from all training rows.
 
 Neighbouring whole texts form chunks. A chunk sends each of its distinct words and each of its distinct pairs of
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm import textkit
@@ -37,7 +37,9 @@ from faultline.sources.storage import materialized
 CHUNK_BYTES = 4 << 20
 ORDER = 3
 #: Bytes of the longest contexts.
-DEEP = 5
+DEEP = 4
+#: First place of the deep codes of a chunk, behind its words.
+DEEP_PLACE = 1 << 30
 CLASS_BITS = 6
 END = 0xFF
 BOUNDARY = 27
@@ -190,57 +192,49 @@ def _chunked(batches: Iterator[pa.RecordBatch], limit: int):
         yield number, held
 
 
-def _symbols(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Hashes of the words, words per text, deep codes and codes per text of the slices of a chunk."""
-    out = []
-    for values, offsets in parts:
-        hashes, first = textkit.words(values, offsets, textkit.SPACED)
-        out.append((hashes, np.diff(first), deep_codes(values, offsets), np.diff(offsets) + 1))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _words_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the slices of a chunk, and words per text."""
+    out = [textkit.words(values, offsets, textkit.SPACED) for values, offsets in parts]
+    return np.concatenate([h for h, _ in out]).view(np.int64), np.concatenate([np.diff(first) for _, first in out])
 
 
-def _pieces(limit: int):
-    """Distinct words and deep codes of every chunk with their counts in training rows."""
+def _deep_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Deep codes of the slices of a chunk, and codes per text."""
+    return np.concatenate([deep_codes(v, o) for v, o in parts]), np.concatenate([np.diff(o) + 1 for _, o in parts])
+
+
+def _pieces(limit: int, of, place: int):
+    """Distinct words or deep codes of every chunk with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _chunked(batches, limit):
-            hashes, words, deep, sizes = _symbols([part[1:] for part in held])
+            every, counts = of([part[1:] for part in held])
             learn = ~np.concatenate([np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool) for b, _, _ in held])
-            place = 0
-            for is_deep, every, counts in ((False, hashes.view(np.int64), words), (True, deep, sizes)):
-                known, back = np.unique(every, return_inverse=True)
-                n = np.bincount(back, np.repeat(learn, counts), minlength=len(known)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(known), number)), pa.array(np.arange(place, place + len(known), dtype=np.int32)),
-                    pa.array(np.full(len(known), is_deep)), pa.array(known), pa.array(n),
-                ], ["chunk", "place", "deep", "code", "n"])
-                place += len(known)
+            known, back = np.unique(every, return_inverse=True)
+            n = np.bincount(back, np.repeat(learn, counts), minlength=len(known)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(known), number)), pa.array(np.arange(place, place + len(known), dtype=np.int32)), pa.array(known), pa.array(n),
+            ], ["chunk", "place", "code", "n"])
 
     return run
 
 
 def _valued(shared):
-    """Counts of words, log probabilities of deep codes; rows are sorted, all symbols of a context come together."""
+    """Log probabilities of deep codes; rows are sorted, all symbols of a context come together."""
 
-    def made(deep: bool, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        value = shared.value.deep_logs(code, n) if deep else n.astype(np.float64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(code), deep)), pa.array(code), pa.array(n), pa.array(value)], ["deep", "code", "n", "value"]
-        )
+    def made(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(shared.value.deep_logs(*rows))], ["code", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 0), np.int64)
         for batch in batches:
-            deep = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), bool)
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)])
-            yield made(False, *rows[:, ~deep])
-            held = np.hstack([held, rows[:, deep]])
+            held = np.hstack([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)])])
             if held.shape[1]:
                 context = held[0] >> 8
                 cut = int(np.searchsorted(context, context[-1]))
-                yield made(True, *held[:, :cut])
+                yield made(held[:, :cut])
                 held = held[:, cut:]
-        yield made(True, *held)
+        yield made(held)
 
     return run
 
@@ -268,8 +262,9 @@ def _sums(id_type: pa.DataType):
         raw = pa.decompress(head["text"], head["bytes"], "zstd")
         offsets = np.append(0, np.cumsum(head["sizes"]))
         column = pa.Array.from_buffers(pa.large_binary(), len(head["sizes"]), [None, pa.py_buffer(offsets), raw])
-        hashes, words, deep, sizes = _symbols([(v, o) for _, v, o in textkit.slices(column)])
-        known, back = np.unique(hashes.view(np.int64), return_inverse=True)
+        slices = [(v, o) for _, v, o in textkit.slices(column)]
+        (hashes, words), (deep, sizes) = _words_of(slices), _deep_of(slices)
+        known, back = np.unique(hashes, return_inverse=True)
         places, at = np.unique(deep, return_inverse=True)
         if len(found) != len(known) + len(places):
             raise RuntimeError("the symbols of a chunk do not fit its texts: the input changed between two reads")
@@ -309,19 +304,25 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     learning = docs.where("not held")
     trie = docs.sparkSession.sparkContext.broadcast(train(learning))
-    pieces = materialized(docs.mapInArrow(_pieces(chunk_bytes), "chunk long, place int, deep boolean, code long, n long"))
-    totals = pieces.groupBy("deep", "code").agg(F.sum("n").alias("n"))
-    context = F.when(F.col("deep"), F.shiftright("code", 8)).otherwise(F.col("code"))
-    valued = materialized(
-        totals.repartition("deep", context).sortWithinPartitions("deep", "code")
-        .mapInArrow(_valued(trie), "deep boolean, code long, n long, value double")
+    cut = "chunk long, place int, code long, n long"
+    by_word = Window.partitionBy("code")
+    counted = materialized(docs.mapInArrow(_pieces(chunk_bytes, _words_of, 0), cut).select(
+        "chunk", "place", F.sum("n").over(by_word).alias("c"),
+        (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"),
+    ))
+    deep = materialized(docs.mapInArrow(_pieces(chunk_bytes, _deep_of, DEEP_PLACE), cut))
+    totals = deep.groupBy("code").agg(F.sum("n").alias("n"))
+    valued = totals.repartition(F.shiftright("code", 8)).sortWithinPartitions("code").mapInArrow(
+        _valued(trie), "code long, value double"
     )
     ends = learning.count()
-    row = valued.where("not deep and n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    row = counted.where("first and c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     distinct, total = row[0] + (ends > 0), row[1] + ends
     heads = docs.mapInArrow(_heads(chunk_bytes), "chunk long, place int, value double, head binary")
-    back = pieces.join(valued.select("deep", "code", "value"), ["deep", "code"])
-    back = back.select("chunk", "place", "value", F.lit(None).cast("binary").alias("head")).unionByName(heads)
+    back = deep.join(valued, "code").select("chunk", "place", "value").unionByName(
+        counted.select("chunk", "place", F.col("c").cast("double").alias("value"))
+    )
+    back = back.withColumn("head", F.lit(None).cast("binary")).unionByName(heads)
     out = back.repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(
         _sums(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, words long, known_words long, logs double, score double"
     )

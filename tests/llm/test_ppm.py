@@ -28,9 +28,9 @@ def plain_model(texts):
     def steps(text):
         data = list(lowered(text).encode()) + [ppm.END]
         kinds = [ppm.BOUNDARY] * 3 + [int(ppm.CLASSES[b]) for b in data]
-        before = [ppm.END] * 5 + data
+        before = [ppm.END] * 4 + data
         for i, b in enumerate(data):
-            yield tuple(before[i:i + 5]), tuple(kinds[i:i + 3]), b
+            yield tuple(before[i:i + 4]), tuple(kinds[i:i + 3]), b
 
     for text in texts:
         for last, context, b in steps(text):

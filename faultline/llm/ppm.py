@@ -26,6 +26,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -83,10 +84,20 @@ def codes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def deep_codes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The bytes of the longest context and the symbol of every byte and end, as one number each."""
     padded, at = _laid_out(values, offsets, DEEP)
-    code = np.zeros(len(at), np.int64)
-    for j in range(DEEP, -1, -1):
-        code = code << 8 | padded[at - j]
-    return code
+    size = max(0, len(padded) - DEEP)
+    code = np.zeros(size, np.int64)
+    for j in range(DEEP + 1):
+        code = code << 8 | padded[j:j + size]
+    return code[at - DEEP]
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of every value among them, by hashing instead of sorting all of them."""
+    found, known = pd.factorize(values)
+    order = np.argsort(known)
+    place = np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    return known[order], place[found]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +221,7 @@ def _pieces(limit: int, of, place: int):
         for number, held in _chunked(batches, limit):
             every, counts = of([part[1:] for part in held])
             learn = ~np.concatenate([np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool) for b, _, _ in held])
-            known, back = np.unique(every, return_inverse=True)
+            known, back = distinct(every)
             n = np.bincount(back, np.repeat(learn, counts), minlength=len(known)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(known), number)), pa.array(np.arange(place, place + len(known), dtype=np.int32)), pa.array(known), pa.array(n),
@@ -264,8 +275,8 @@ def _sums(id_type: pa.DataType):
         column = pa.Array.from_buffers(pa.large_binary(), len(head["sizes"]), [None, pa.py_buffer(offsets), raw])
         slices = [(v, o) for _, v, o in textkit.slices(column)]
         (hashes, words), (deep, sizes) = _words_of(slices), _deep_of(slices)
-        known, back = np.unique(hashes, return_inverse=True)
-        places, at = np.unique(deep, return_inverse=True)
+        known, back = distinct(hashes)
+        places, at = distinct(deep)
         if len(found) != len(known) + len(places):
             raise RuntimeError("the symbols of a chunk do not fit its texts: the input changed between two reads")
         counts, logs = found[:len(known)], found[len(known):]
@@ -317,7 +328,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     )
     ends = learning.count()
     row = counted.where("first and c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    distinct, total = row[0] + (ends > 0), row[1] + ends
+    kinds, total = row[0] + (ends > 0), row[1] + ends
     heads = docs.mapInArrow(_heads(chunk_bytes), "chunk long, place int, value double, head binary")
     back = deep.join(valued, "code").select("chunk", "place", "value").unionByName(
         counted.select("chunk", "place", F.col("c").cast("double").alias("value"))
@@ -326,7 +337,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     out = back.repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(
         _sums(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, words long, known_words long, logs double, score double"
     )
-    below = math.log10(total + distinct + 1)
+    below = math.log10(total + kinds + 1)
     return out.select(
         "doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), (F.col("known_words") + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

@@ -3,7 +3,10 @@
 A text becomes the damped counts of the hashed byte 1-, 2- and 3-grams of its letters (lower case), weighted by
 inverse document frequency and scaled to length one. Every language has a few centroids, found by spherical k-means over a
 bounded sample of labelled texts; the prediction is the language of the centroid with the largest cosine.
-A text whose cosine lies below what nearly all sample texts of that centroid reach is rejected.
+A text whose cosine lies below the cut of that language is rejected. The cut lies halfway between what nearly all
+sample texts of the language reach (each measured without its own share in the centroids) and what nearly no
+sample text of any other language does; where the two overlap, nearly all texts of the language stay. A cluster
+of hardly any texts, such as a single text in another language, is not a centroid.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows with a null language
 are never learned from; without any labelled text everything is ``und``. Repeated rows are predicted alike,
@@ -30,8 +33,9 @@ DIMENSIONS = 1 << 13
 SAMPLE = 8000
 SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 3
-#: A text is rejected below this share of the cosine that all but one in a hundred sample texts reach.
-REJECT_SHARE = 0.1
+#: Share of a language's sample that may lie below the upper end of its cut, of another's above the lower end, and
+#: that a cluster has to exceed, with two texts at least, to be a centroid.
+TAIL = 0.01
 LETTER = re.compile(r"[^\W\d_]")
 HASH = np.uint32(0x9E3779B1)
 SPACE = np.full(1, 0x20, np.uint8)
@@ -104,6 +108,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=-1, keepdims=True)), 1e-9)
 
 
+def _dense(vectors: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
+    dense = np.zeros((len(vectors), DIMENSIONS), np.float32)
+    for i, (at, counts) in enumerate(vectors):
+        dense[i, at] = counts * weights[at]
+    return _unit(dense)
+
+
 def _cluster(vectors: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means, started from vectors far from each other."""
     centres = _unit(vectors.mean(axis=0, keepdims=True))
@@ -119,6 +130,30 @@ def _cluster(vectors: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def _centroids(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of a language, and the best cosine of each of its vectors when it takes no part in them."""
+    centres = _cluster(vectors, CENTROIDS)
+    sizes = np.bincount((vectors @ centres.T).argmax(axis=1), minlength=len(centres))
+    enough = sizes >= max(2, TAIL * len(vectors))
+    centres = centres[enough] if enough.any() else centres
+    cosine = vectors @ centres.T
+    nearest = cosine.argmax(axis=1)
+    sums = np.vstack([vectors[nearest == j].sum(axis=0) for j in range(len(centres))])
+    own = (sums[nearest] * vectors).sum(axis=1)
+    rest = np.sqrt(np.maximum((sums * sums).sum(axis=1)[nearest] - 2 * own + 1, 1e-9))
+    cosine[np.arange(len(vectors)), nearest] = (own - 1) / rest
+    return centres, cosine.max(axis=1)
+
+
+def _cut(inside: np.ndarray, others: list[np.ndarray]) -> float:
+    """The cosine below which a text is rejected, from those of the language's own texts and of the other languages'."""
+    outside = max((float(np.quantile(o, 1 - TAIL)) for o in others), default=None)
+    if len(inside) < 2:
+        return outside or 0.0
+    reached = float(np.quantile(inside, TAIL))
+    return reached if outside is None else min(reached, (reached + outside) / 2)
+
+
 def fit(labelled: DataFrame) -> Model | None:
     """Fit on a bounded sample of ``text`` and ``lang``; the driver holds the sample as sparse counts only."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
@@ -133,18 +168,14 @@ def fit(labelled: DataFrame) -> Model | None:
         for at, _ in vectors:
             seen[at] += 1
     weights = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(0.05)
-    centroids, owner, floor = [], [], []
-    for number, vectors in enumerate(by_lang.values()):
-        dense = np.zeros((len(vectors), DIMENSIONS), np.float32)
-        for i, (at, counts) in enumerate(vectors):
-            dense[i, at] = counts * weights[at]
-        dense = _unit(dense)
-        centres = _cluster(dense, CENTROIDS)
-        cosine = (dense @ centres.T).max(axis=1)
-        centroids.append(centres)
-        owner += [number] * len(centres)
-        floor += [float(np.quantile(cosine, 0.01)) * REJECT_SHARE] * len(centres)
-    return Model(list(by_lang), weights, np.vstack(centroids).astype(np.float32), np.array(owner), np.array(floor))
+    found = [_centroids(_dense(vectors, weights)) for vectors in by_lang.values()]
+    owner = np.repeat(np.arange(len(found)), [len(centres) for centres, _ in found])
+    centroids = np.vstack([centres for centres, _ in found])
+    # Best cosine of every sample text to the centroids of every language.
+    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    best = [np.maximum.reduceat(_dense(vectors, weights) @ centroids.T, starts, axis=1) for vectors in by_lang.values()]
+    cuts = np.array([_cut(inside, [b[:, i] for j, b in enumerate(best) if j != i]) for i, (_, inside) in enumerate(found)])
+    return Model(list(by_lang), weights, centroids.astype(np.float32), owner, cuts[owner])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Corpus preparation in five stages; each stage works on all rows that its predecessor kept.
 
 language: texts without a letter, or far from every learned language, go. near_duplicates: one document of
-each group of similar documents stays. decontamination: documents that hold a passage of the benchmark go.
+each group of similar documents (five-word shingles, similarity 0.8 or more) stays. decontamination: documents that hold a passage of the benchmark go.
 secrets: secrets in the remaining texts are replaced by a mark. tokens: the last stage returns the number of
 byte-level BPE tokens of each document and digests of its ids and of the bytes decoded from them.
 
@@ -17,6 +17,9 @@ from faultline.sources.storage import materialized
 
 #: Model fitting and 64-bit shingle comparison have no SQL form; the stages are tested against plain versions.
 ORACLE_SQL = None
+#: Words of a shingle and least similarity of near duplicates; op10 has its own.
+SHINGLE = 5
+PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row of the smallest id of each component; texts without words are never duplicates."""
-    return setjoin.one_of_each(docs)
+    return setjoin.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,16 +303,16 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of every component the row of the smallest id stays.
 
     Rows without words stay. Of repeated rows with that id one stays.
     """
-    found = grouped(docs).where("set_key is not null")
+    found = grouped(docs, shingle, percent).where("set_key is not null")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
         F.min("set_key").alias("keep_key"), F.count("*").alias("keep_rows")
     ).select(F.col("doc_id").alias("keep_id"), "keep_key", "keep_rows")
-    rows = with_set_key(textkit.shielded(docs), text="in_text")
+    rows = with_set_key(textkit.shielded(docs), shingle, "in_text")
     joined = rows.join(keep, F.col("in_doc_id").eqNullSafe(F.col("keep_id")) & (F.col("set_key") == F.col("keep_key")), "left")
     alone = joined.where(F.col("set_key").isNull() | (F.col("keep_rows") == 1))
     repeated = joined.where("set_key is not null and keep_rows > 1").groupBy("keep_id", "keep_key").agg(

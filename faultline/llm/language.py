@@ -21,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.llm import textkit
 
 UNKNOWN = "und"
 #: Size of the hashed vectors.
 DIMENSIONS = 1 << 13
-#: Labelled texts learned from, over all languages, and at most per language; the sample is bounded, the
+#: Distinct labelled texts learned from, over all languages, and at most per language; the sample is bounded, the
 #: prediction covers every row.
 SAMPLE = 8000
 SAMPLE_PER_LANGUAGE = 500
@@ -37,6 +37,8 @@ CENTROIDS = 3
 #: that a cluster has to exceed, with two texts at least, to be a centroid.
 TAIL = 0.01
 LETTER = re.compile(r"[^\W\d_]")
+#: The same for Spark.
+HAS_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 HASH = np.uint32(0x9E3779B1)
 SPACE = np.full(1, 0x20, np.uint8)
 SPACES = np.arange(256, dtype=np.uint8)
@@ -71,36 +73,43 @@ def training_fold(spark: SparkSession) -> Column:
 
 
 def sample_rows(labelled: DataFrame) -> DataFrame:
-    """At most about SAMPLE_PER_LANGUAGE texts per language, drawn by a hash of the text."""
-    draw = F.xxhash64("text")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = counts.orderBy("lang").collect()
-    if not rows:
-        return labelled.limit(0)
-    each = max(2, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(rows)))
-    bounds = F.create_map(*[c for r in rows for c in (F.lit(r["lang"]), F.lit(_bound(each, r["n"])))])
-    return labelled.where(draw <= bounds[F.col("lang")])
-
+    """(lang, draw, at, counts): at most SAMPLE_PER_LANGUAGE distinct texts per language, those of the smallest hashes.
 
-def _bound(each: int, n: int) -> int:
-    share = min(1.0, each / n)
+    A text counts once however often it occurs; texts without a letter take no part.
+    """
+    labelled = labelled.where(F.col("text").rlike(HAS_LETTER)).withColumn("draw", F.xxhash64("text"))
+    counts = labelled.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    rows = counts.orderBy("lang").collect()
+    each = max(2, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, len(rows))))
+    # Somewhat more than wanted lie below the bound, so that the window sees few rows and finds enough.
+    more = each + 8 * int(each**0.5) + 20
+    bounds = F.create_map(*[c for r in rows for c in (F.lit(r["lang"]), F.lit(_bound(more, r["n"])))]) if rows else None
+    drawn = labelled.where(F.col("draw") <= bounds[F.col("lang")]) if rows else labelled.limit(0)
+    known = drawn.select("lang", "text", "draw").mapInArrow(_sparse, "lang string, draw long, at binary, counts binary").dropDuplicates(["lang", "draw"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return known.withColumn("place", place).where(F.col("place") <= each).drop("place")
+
+
+def _bound(wanted: int, n: int) -> int:
+    share = min(1.0, wanted / n)
     return 2**63 - 1 if share >= 1 else int(-(2**63) + share * 2**64)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Damped counts of the texts; copies within a task come once."""
+    seen = set()
     for batch in batches:
-        langs, vectors = [], []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            text = text.as_py()
-            if text is None or not LETTER.search(text):
+        rows = []
+        for lang, text, draw in zip(batch.column("lang").to_pylist(), batch.column("text"), batch.column("draw").to_pylist(), strict=True):
+            if (lang, draw) in seen:
                 continue
-            counts = gram_counts(text.lower().encode())
+            seen.add((lang, draw))
+            counts = gram_counts(text.as_py().lower().encode())
             at = np.flatnonzero(counts)
-            langs.append(lang)
-            vectors.append((at.astype(np.int32).tobytes(), counts[at].tobytes()))
+            rows.append((lang, draw, at.astype(np.int32).tobytes(), counts[at].tobytes()))
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array([v[0] for v in vectors], pa.binary()), pa.array([v[1] for v in vectors], pa.binary())],
-            ["lang", "at", "counts"],
+            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", "draw", "at", "counts"]
         )
 
 
@@ -157,7 +166,7 @@ def _cut(inside: np.ndarray, others: list[np.ndarray]) -> float:
 def fit(labelled: DataFrame) -> Model | None:
     """Fit on a bounded sample of ``text`` and ``lang``; the driver holds the sample as sparse counts only."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    rows = sample_rows(labelled).mapInArrow(_sparse, "lang string, at binary, counts binary").collect()
+    rows = sample_rows(labelled).collect()
     by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["counts"])):
         by_lang.setdefault(r["lang"], []).append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["counts"], np.float32)))

@@ -289,16 +289,19 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, set_key, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, set_key, n_shingles, root, component_id) of every row of ``docs`` (doc_id, text).
+
+    root names the component by one of its set keys, also where ids are null or used by several components.
+    """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     keyed = materialized(with_set_key(docs, shingle).select("doc_id", "text_hash", "n_shingles", "set_key"))
     roots = materialized(set_links(docs, keyed.where("set_key is not null"), shingle, percent))
     own = keyed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     own = own.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "root").select("set_key", "component_id")
+    named = own.join(least, "root").select("set_key", "root", "component_id")
     return keyed.join(named, "set_key", "left").select(
-        "doc_id", "set_key", "n_shingles",
+        "doc_id", "set_key", "n_shingles", "root",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
@@ -306,12 +309,13 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of every component the row of the smallest id stays.
 
-    Rows without words stay. Of repeated rows with that id one stays.
+    Rows without words stay. Null ids come last; of equal ids the smallest set key stays, of repeated rows with
+    both one. Components that share an id are told apart by their roots.
     """
     found = grouped(docs, shingle, percent).where("set_key is not null")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.min("set_key").alias("keep_key"), F.count("*").alias("keep_rows")
-    ).select(F.col("doc_id").alias("keep_id"), "keep_key", "keep_rows")
+    counted = found.groupBy("root", "doc_id", "set_key").agg(F.count("*").alias("n"))
+    keep = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_key", "n")).alias("row"))
+    keep = keep.select(F.col("row.doc_id").alias("keep_id"), F.col("row.set_key").alias("keep_key"), F.col("row.n").alias("keep_rows"))
     rows = with_set_key(textkit.shielded(docs), shingle, "in_text")
     joined = rows.join(keep, F.col("in_doc_id").eqNullSafe(F.col("keep_id")) & (F.col("set_key") == F.col("keep_key")), "left")
     alone = joined.where(F.col("set_key").isNull() | (F.col("keep_rows") == 1))

@@ -1,13 +1,13 @@
 """Document scores by prediction by partial matching, beside an add-one unigram base.
 
-The model predicts each byte of the lowered text, and an end symbol, from the bytes before it. The longest
-contexts are the last four bytes themselves; their table grows with the corpus and stays distributed. Below them
-stands a trie of the last three to no bytes in 64 byte classes (letters, white space, digits, punctuation, the
-bytes of other scripts), which has at most 2**18 contexts and is broadcast. Symbols are all 256 byte values. A
-symbol that a context has not seen is escaped to the next shorter one, with the escape estimate q / (n + q)
-(q distinct symbols in n). Within the trie, symbols excluded by longer contexts are left out of the counts; from
-the four bytes down, what the trie gives to symbols already seen goes to the others in proportion. Below the
-empty context stands the uniform distribution. Counts come from all training rows.
+The model predicts each byte of the lowered text, and an end symbol, from the bytes before it. Contexts are the
+last four to no bytes themselves. The tables of four and three bytes grow with the corpus and stay distributed:
+pairs of context and symbol are dealt by the last three bytes of the context, so a task has both tables of its
+contexts. The counts of two to no bytes (at most 65,793 contexts) are broadcast. Symbols are all 256 byte values.
+A symbol that a context has not seen is escaped to the next shorter one, with the escape estimate q / (n + q)
+(q distinct symbols in n). From three bytes down, symbols excluded by longer contexts are left out of the counts;
+from four bytes to three, what the shorter contexts give to symbols already seen goes to the others in
+proportion. Below the empty context stands the uniform distribution. Counts come from all training rows.
 
 Neighbouring whole texts form chunks. A chunk sends each of its distinct words and each of its distinct pairs of
 context and symbol once, with its training count; counts are added up before and after the shuffle, a context
@@ -36,21 +36,17 @@ from faultline.llm.bytebpe import numbered
 from faultline.sources.storage import materialized
 
 CHUNK_BYTES = 4 << 20
-ORDER = 3
-#: Bytes of the longest contexts.
+#: Bytes of the longest contexts whose counts are broadcast, and of the longest contexts.
+ORDER = 2
 DEEP = 4
 #: First place of the deep codes of a chunk, behind its words.
 DEEP_PLACE = 1 << 30
-CLASS_BITS = 6
+#: Contexts whose distributions over all symbols are held at once.
+DENSE = 1024
 END = 0xFF
-BOUNDARY = 27
-
-CLASSES = np.full(256, 30, np.uint32)
-CLASSES[0x61:0x7B] = np.arange(26)
-CLASSES[0x20], CLASSES[0x30:0x3A], CLASSES[0x2E] = 26, 28, 29
-CLASSES[[*range(0x09, 0x0E), END]] = BOUNDARY
-CLASSES[0x80:0xC0] = 32 + (np.arange(0x40) & 0x1F)
-CLASSES[0xC0:END] = 31
+#: A byte stands for itself in every context; before a text stand end symbols.
+CLASSES = np.arange(256, dtype=np.uint32)
+BOUNDARY = END
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -72,12 +68,12 @@ def _laid_out(values: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.n
 
 
 def codes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classed context and symbol of every byte and end, as one number each, and the first of each text."""
+    """Short context and symbol of every byte and end, as one number each, and the first of each text."""
     padded, at = _laid_out(values, offsets, ORDER)
     kinds = CLASSES[padded]
     context = np.zeros(len(at), np.uint32)
     for j in range(ORDER, 0, -1):
-        context = context << np.uint32(CLASS_BITS) | kinds[at - j]
+        context = context << np.uint32(8) | kinds[at - j]
     return context << np.uint32(8) | padded[at], offsets + np.arange(len(offsets))
 
 
@@ -111,37 +107,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """Log10 probabilities of all symbols in every context seen, by exclusion down to shorter contexts."""
+    """Counts of the short contexts, and log10 probabilities by exclusion down to shorter contexts."""
 
     def __init__(self, known: np.ndarray, counts: np.ndarray) -> None:
         symbols, contexts = known & 0xFF, known >> 8
-        tables, places = [], []
+        self.tables, self.places = [], []
         for order in range(ORDER + 1):
-            short = contexts & ((1 << CLASS_BITS * order) - 1)
-            seen, back = np.unique(short, return_inverse=True)
-            table = np.bincount(back * 256 + symbols, counts, minlength=256 * len(seen)).reshape(len(seen), 256)
-            place = np.full(1 << CLASS_BITS * order, -1, np.int32)
+            seen, back = np.unique(contexts & ((1 << 8 * order) - 1), return_inverse=True)
+            self.tables.append(np.bincount(back * 256 + symbols, counts, minlength=256 * len(seen)).reshape(len(seen), 256))
+            place = np.full(1 << 8 * order, -1, np.int32)
             place[seen] = np.arange(len(seen))
-            tables.append(table)
-            places.append(place)
-        # Rows of the longest contexts seen, then one row for each context that is one shorter.
-        longest = np.flatnonzero(places[ORDER] >= 0)
-        shorter = np.arange(1 << CLASS_BITS * (ORDER - 1))
-        self.rows = np.full(1 << CLASS_BITS * ORDER, 0, np.int32)
-        self.rows[:] = len(longest) + (np.arange(len(self.rows)) & (len(shorter) - 1))
-        self.rows[longest] = np.arange(len(longest))
-        parts = [self._logs(longest[i:i + 2048], ORDER, tables, places) for i in range(0, len(longest), 2048)]
-        parts += [self._logs(shorter[i:i + 2048], ORDER - 1, tables, places) for i in range(0, len(shorter), 2048)]
-        self.logs = np.concatenate(parts).astype(np.float32)
-
-    @staticmethod
-    def _logs(contexts: np.ndarray, order: int, tables: list, places: list) -> np.ndarray:
+            self.places.append(place)
+
+    @property
+    def logs(self) -> np.ndarray:
+        """Log10 probabilities of all symbols in the longest of the short contexts seen."""
+        seen = np.flatnonzero(self.places[ORDER] >= 0)
+        return np.concatenate([np.zeros((0, 256)), *(self.below(seen[i:i + DENSE], None) for i in range(0, len(seen), DENSE))])
+
+    def below(self, contexts: np.ndarray, longer: np.ndarray | None) -> np.ndarray:
+        """Log10 probabilities of all symbols after contexts; ``longer`` has the counts of contexts one byte longer."""
         left = np.ones((len(contexts), 1))
         excluded = np.zeros((len(contexts), 256), bool)
         out = np.zeros((len(contexts), 256))
-        for k in range(order, -1, -1):
-            place = places[k][contexts & ((1 << CLASS_BITS * k) - 1)]
-            counts = np.where((place >= 0)[:, None], tables[k][np.maximum(place, 0)] if len(tables[k]) else 0, 0) * ~excluded
+        for k in range(ORDER + (longer is not None), -1, -1):
+            if k > ORDER:
+                counts = longer
+            else:
+                place = self.places[k][contexts & ((1 << 8 * k) - 1)]
+                counts = np.where((place >= 0)[:, None], self.tables[k][np.maximum(place, 0)] if len(self.tables[k]) else 0, 0) * ~excluded
             n, q = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
             total = np.maximum(n + q, 1)
             out += left * counts / total
@@ -151,32 +145,41 @@ class Trie:
         out += left * free / np.maximum(free.sum(axis=1, keepdims=True), 1)
         return np.log10(np.maximum(out, 1e-300))
 
-    def rows_of(self, code: np.ndarray) -> np.ndarray:
-        """Rows of the distributions that stand below the contexts of deep codes."""
-        context = np.zeros(len(code), np.int64)
-        for j in range(ORDER, 0, -1):
-            context = context << CLASS_BITS | CLASSES[code >> 8 * j & 0xFF]
-        return self.rows[context]
-
     def deep_logs(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log10 probabilities for sorted deep codes with their training counts; all symbols of a context are here."""
-        if not len(code):
-            return np.zeros(0)
+        """Log10 probabilities for deep codes with their training counts.
+
+        They are sorted by the last three bytes of the context, then by code; all symbols of these are here.
+        """
+        out = np.zeros(len(code))
+        middle = code >> 8 & 0xFFFFFF
+        start = np.flatnonzero(np.append(True, middle[1:] != middle[:-1])) if len(code) else np.zeros(0, np.int64)
+        ends = np.append(start, len(code))
+        for i in range(0, len(start), DENSE):
+            part = slice(ends[i], ends[min(i + DENSE, len(start))])
+            sizes = np.diff(ends[i:i + DENSE + 1])
+            out[part] = self._deep_part(code[part], n[part], middle[start[i:i + DENSE]], np.repeat(np.arange(len(sizes)), sizes))
+        return out
+
+    def _deep_part(self, code: np.ndarray, n: np.ndarray, middle: np.ndarray, row: np.ndarray) -> np.ndarray:
         context, symbol, seen = code >> 8, code & 0xFF, n > 0
+        longer = np.bincount(row * 256 + symbol, n, minlength=256 * len(middle)).reshape(len(middle), 256)
+        logs = self.below(middle, longer)
         start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(code))))
         total, kinds = np.add.reduceat(n, start)[group], np.add.reduceat(seen.astype(np.int64), start)[group]
-        row = self.rows_of(code)
-        out = self.logs[row, symbol].astype(np.float64)
+        out = logs[row, symbol]
         escaped = ~seen & (kinds > 0)
         # What the distribution below leaves for symbols that the context has not seen.
         wanted, rest = np.unique(group[escaped]), np.ones(len(start))
-        for i in range(0, len(wanted), 2048):
-            part = wanted[i:i + 2048]
-            left = 10.0 ** self.logs[row[start[part]]].astype(np.float64)
-            inside = np.flatnonzero(np.isin(group, part) & seen)
-            left[np.searchsorted(part, group[inside]), symbol[inside]] = 0
+        at, inside = np.full(len(start), -1), np.flatnonzero(seen)
+        for i in range(0, len(wanted), DENSE):
+            part = wanted[i:i + DENSE]
+            at[part] = np.arange(len(part))
+            left = 10.0 ** logs[row[start[part]]]
+            own = inside[at[group[inside]] >= 0]
+            left[at[group[own]], symbol[own]] = 0
             rest[part] = left.sum(axis=1)
+            at[part] = -1
         out[escaped] += np.log10(kinds[escaped] / (total[escaped] + kinds[escaped]) / rest[group[escaped]])
         out[seen] = np.log10(n[seen] / (total[seen] + kinds[seen]))
         return out
@@ -231,7 +234,7 @@ def _pieces(limit: int, of, place: int):
 
 
 def _valued(shared):
-    """Log probabilities of deep codes; rows are sorted, all symbols of a context come together."""
+    """Log probabilities of deep codes; rows are sorted, all codes of the last three bytes of a context come together."""
 
     def made(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(shared.value.deep_logs(*rows))], ["code", "value"])
@@ -241,8 +244,8 @@ def _valued(shared):
         for batch in batches:
             held = np.hstack([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)])])
             if held.shape[1]:
-                context = held[0] >> 8
-                cut = int(np.searchsorted(context, context[-1]))
+                middle = held[0] >> 8 & 0xFFFFFF
+                cut = int(np.searchsorted(middle, middle[-1]))
                 yield made(held[:, :cut])
                 held = held[:, cut:]
         yield made(held)
@@ -323,7 +326,8 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     ))
     deep = materialized(docs.mapInArrow(_pieces(chunk_bytes, _deep_of, DEEP_PLACE), cut))
     totals = deep.groupBy("code").agg(F.sum("n").alias("n"))
-    valued = totals.repartition(F.shiftright("code", 8)).sortWithinPartitions("code").mapInArrow(
+    middle = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFFFF))
+    valued = totals.repartition(middle).sortWithinPartitions(middle, "code").mapInArrow(
         _valued(trie), "code long, value double"
     )
     ends = learning.count()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bytebpe, decontaminate, language, maintext, maxscore, ppm, repeats, secrets, setjoin, sharding
+from faultline.llm import bytebpe, decontaminate, language, maintext, maxscore, ppm, quality, repeats, secrets, setjoin, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": repeats.op1_suffix_repeats,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.op8_language_id,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
     "op10_partenum": setjoin.op10_partenum,
+    "op11_additive_pairs": quality.op11_additive_pairs,
 }
 SQL: dict[str, str] = {"op3_maxscore": maxscore.OP3_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bytebpe, decontaminate, language, maintext, maxscore, ppm, quality, repeats, secrets, setjoin, sharding
+from faultline.llm import bytebpe, decontaminate, language, maintext, maxscore, ppm, quality, repair, repeats, secrets, setjoin, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": repeats.op1_suffix_repeats,
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
     "op10_partenum": setjoin.op10_partenum,
     "op11_additive_pairs": quality.op11_additive_pairs,
+    "op12_audit_repair": repair.op12_audit_repair,
 }
-SQL: dict[str, str] = {"op3_maxscore": maxscore.OP3_SQL}
+SQL: dict[str, str] = {"op3_maxscore": maxscore.OP3_SQL, "op12_audit_repair": repair.OP12_SQL}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bytebpe, decontaminate, language, maintext, maxscore, ppm, quality, repair, repeats, secrets, setjoin, sharding
+from faultline.llm import bytebpe, collocations, decontaminate, language, maintext, maxscore, ppm, quality, repair
+from faultline.llm import repeats, secrets, setjoin, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": repeats.op1_suffix_repeats,
@@ -21,5 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_partenum": setjoin.op10_partenum,
     "op11_additive_pairs": quality.op11_additive_pairs,
     "op12_audit_repair": repair.op12_audit_repair,
+    "op13_setm_phrases": collocations.op13_setm_phrases,
+}
+SQL: dict[str, str] = {
+    "op3_maxscore": maxscore.OP3_SQL,
+    "op12_audit_repair": repair.OP12_SQL,
+    "op13_setm_phrases": collocations.OP13_SQL,
 }
-SQL: dict[str, str] = {"op3_maxscore": maxscore.OP3_SQL, "op12_audit_repair": repair.OP12_SQL}

@@ -2,16 +2,14 @@
 
 Texts are split into pre-tokens by the public pattern, vectorised over character classes. Neighbouring whole
 texts form chunks of bounded size; a chunk keeps its pre-tokens as positions in the list of its distinct
-words. Those words are shuffled by word: each distinct word of the corpus is encoded once, next to all its
-occurrences, and the ids go back to the chunks, where the positions put the token sequences together again.
-A word travels once per chunk instead of once per occurrence, so a word that holds a third of all tokens is
-no hot key. Decoding looks every id up in the table of token bytes, which has a row per vocabulary entry.
-
-Chunks are cut twice from the same input (for words and for positions), so the input has to be a table or
-files, which give the same rows in the same order when read again; a mismatch of words ends the job.
+words. Chunks are written once, as a table of positions and of words packed by hash bucket. The words are shuffled by
+bucket: each distinct word is encoded once, next to all chunks that hold it, and the ids go back to the
+chunks, where the positions put the token sequences together again. A word travels once per chunk instead of once
+per occurrence, so a word that holds a third of all tokens is no hot key. Decoding looks every id up in the
+table of token bytes, which has a row per vocabulary entry.
 
 Cases: null and empty texts have no tokens; repeated rows and null ids are encoded row by row; a text larger
-than a chunk is a chunk of its own.
+than a chunk is a chunk of its own; further columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,18 +19,21 @@ import heapq
 import pickle
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm import textkit
+from faultline.sources.storage import materialized
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Encoded words that a task remembers; beyond that it starts anew, at the cost of encoding a word again.
+REMEMBERED = 1 << 20
 OTHER, LETTERS, NUMBERS, SPACES = range(4)
 
 
@@ -91,61 +92,78 @@ def pretoken_starts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(start[:n])]
 
 
-def take_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The bytes of each span as a binary column."""
-    sizes = ends - starts
-    offsets = np.append(0, np.cumsum(sizes))
-    data = take_bytes(values, starts, ends)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+def token_words(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of all pre-tokens as a column; a token ends where the next begins, so the bytes are not copied."""
+    offsets = np.append(starts, len(values)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int):
-    """(ids, bytes, token starts, token hashes, tokens per text) of runs of whole texts."""
-    ids, parts, starts, hashes, counts, size = [], [], [], [], [], 0
+    """(ids, bytes, token starts, tokens per text) of runs of whole texts."""
+    ids, parts, starts, counts, size = [], [], [], [], 0
     for batch in batches:
-        for row, values, offsets in textkit.slices(batch.column(1)):
+        for row, values, offsets in textkit.slices(batch.column(0)):
             first = pretoken_starts(values, offsets)
-            ends = np.append(first[1:], len(values))
-            ids.append(batch.column(0).slice(row, len(offsets) - 1))
+            ids.append(batch.column(1).slice(row, len(offsets) - 1))
             parts.append(values)
             starts.append(first + size)
-            hashes.append(textkit.hash_spans(values, first, ends))
             counts.append(np.diff(np.searchsorted(first, offsets)))
             size += len(values)
             if size >= limit:
-                yield pa.chunked_array(ids), *(np.concatenate(x) for x in (parts, starts, hashes, counts))
-                ids, parts, starts, hashes, counts, size = [], [], [], [], [], 0
+                yield pa.chunked_array(ids), *(np.concatenate(x) for x in (parts, starts, counts))
+                ids, parts, starts, counts, size = [], [], [], [], 0
     if ids:
-        yield pa.chunked_array(ids), *(np.concatenate(x) for x in (parts, starts, hashes, counts))
+        yield pa.chunked_array(ids), *(np.concatenate(x) for x in (parts, starts, counts))
+
+
+def packed_list(words: pa.Array) -> bytes:
+    """A list of byte strings: their lengths, then their bytes, compressed."""
+    values, offsets = textkit.buffers(words)
+    return pa.compress(np.diff(offsets).astype("<u4").tobytes() + values.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_list(data: bytes, n: int, size: int) -> pa.Array:
+    raw = pa.decompress(data, 4 * n + size, "zstd", asbytes=True)
+    offsets = np.append(0, np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 * n:])])
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> tuple[Iterator[pa.RecordBatch], int]:
-    """The batches, and a base for chunk numbers from the partition number in their third column."""
-    first = next((b for b in batches if b.num_rows), None)
-    return (chain([first], batches), first.column(2)[0].as_py() << 32) if first else (iter(()), 0)
+PIECES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
+PIECE_KIND = "chunk long, bucket int, n long, size long, data binary"
+#: Bucket number of the row that holds the positions of a chunk.
+HEAD = -1
 
 
-def _cut(limit: int, words_only: bool, names: list[str]):
+def _piece(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, PIECES, strict=True)], schema=PIECES)
+
+
+def _cut(limit: int, buckets: int):
+    """Rows of each chunk: its positions, and its distinct words packed by bucket, numbered bucket by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches, base = numbered(batches)
-        for number, (ids, values, starts, hashes, counts) in enumerate(chunks(batches, limit)):
-            known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            if words_only:
-                ends = np.append(starts[1:], len(values))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(known), base + number)), pa.array(np.arange(len(known), dtype=np.int32)),
-                    take_spans(values, starts[first], ends[first]),
-                ], names)
-                continue
+        base = TaskContext.get().partitionId() << 32
+        for number, (ids, values, starts, counts) in enumerate(chunks(batches, limit)):
+            coded = token_words(values, starts).dictionary_encode()
+            known = coded.dictionary
+            joined, bounds = textkit.buffers(known)
+            dealt = textkit.hash_spans(joined, bounds[:-1], bounds[1:]) % np.uint64(buckets)
+            order = np.argsort(dealt, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            inverse = place[coded.indices.to_numpy(zero_copy_only=False)]
             # The bytes of the positions are grouped by significance, which packs better.
             stream = inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             head = {
                 "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
                 "doc_ids": ids.to_pylist(), "counts": counts,
             }
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([base + number]), pa.array([-1], pa.int32()), pa.array([pickle.dumps(head)], pa.binary())], names
-            )
+            yield _piece(base + number, HEAD, 1, 0, pickle.dumps(head))
+            edges = np.searchsorted(dealt[order], np.arange(buckets + 1, dtype=np.uint64))
+            for bucket in np.flatnonzero(edges[1:] > edges[:-1]):
+                words = known.take(pa.array(order[edges[bucket]:edges[bucket + 1]]))
+                _, spans = textkit.buffers(words)
+                yield _piece(base + number, int(bucket), len(words), int(spans[-1]), packed_list(words))
 
     return run
 
@@ -188,25 +206,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _encode_words(shared):
+def _encode_words(shared, remembered: int = REMEMBERED):
+    """Packed words of a bucket to packed ids; a word is encoded once, next to all chunks that hold it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, last, packed = Merger(shared.value), None, b""
+        merger, known, bucket = Merger(shared.value), {}, None
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, packed = word, np.array(merger.encode(word), "<u4").tobytes()
-                out.append(packed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "place", "ids"])
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket or len(known) > remembered:
+                    known, bucket = {}, row["bucket"]
+                words = unpacked_list(row["data"], row["n"], row["size"]).to_pylist()
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(merger.encode(word), "<u4").tobytes()
+                ids = pa.array([known[word] for word in words], pa.large_binary())
+                size = int(textkit.buffers(ids)[1][-1])
+                yield _piece(row["chunk"], row["bucket"], row["n"], size, packed_list(ids))
 
     return run
 
 
 def _assemble(id_type: pa.DataType):
     def sequences(head: dict, parts: list[pa.Array]) -> pa.RecordBatch:
-        words = pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+        words = pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
         if len(words) != head["known"]:
-            raise RuntimeError("the words of a chunk do not fit its positions: the input changed between two reads")
+            raise RuntimeError("the words of a chunk do not fit its positions")
         data, bounds = textkit.buffers(words)
         ids, bounds = np.frombuffer(data.tobytes(), "<u4"), bounds // 4
         total = head["tokens"]
@@ -225,32 +249,33 @@ def _assemble(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts = None, []
         for batch in batches:
-            places = batch.column("place").to_numpy(zero_copy_only=False)
-            at = 0
-            for i in [*np.flatnonzero(places < 0), len(places)]:
-                if i > at:
-                    parts.append(batch.column("ids").slice(at, i - at))
-                at = i + 1
-                if i < len(places):
-                    if head:
-                        yield sequences(head, parts)
-                    head, parts = pickle.loads(batch.column("ids")[int(i)].as_py()), []
+            for row in batch.to_pylist():
+                if row["bucket"] != HEAD:
+                    parts.append(unpacked_list(row["data"], row["n"], row["size"]))
+                    continue
+                if head:
+                    yield sequences(head, parts)
+                head, parts = pickle.loads(row["data"]), []
         if head:
             yield sequences(head, parts)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row of ``docs`` (doc_id, text); ids as little-endian 32-bit integers."""
-    docs = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
+def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row of ``docs`` (doc_id, text); ids as little-endian 32-bit integers.
+
+    Words are dealt to ``buckets``, by default as many as the session has shuffle partitions.
+    """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    words = docs.mapInArrow(_cut(chunk_bytes, True, ["chunk", "place", "word"]), "chunk long, place int, word binary")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(shared), "chunk long, place int, ids binary")
-    heads = docs.mapInArrow(_cut(chunk_bytes, False, ["chunk", "place", "ids"]), "chunk long, place int, ids binary")
-    pieces = coded.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk", "place")
-    return pieces.mapInArrow(_assemble(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens long, ids binary")
+    shared = spark.sparkContext.broadcast(read_ranks(path))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = materialized(docs.select("text", "doc_id").mapInArrow(_cut(chunk_bytes, buckets), PIECE_KIND))
+    words = pieces.where(F.col("bucket") != HEAD).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    coded = words.mapInArrow(_encode_words(shared), PIECE_KIND)
+    whole = coded.unionByName(pieces.where(F.col("bucket") == HEAD)).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return whole.mapInArrow(_assemble(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -32,7 +32,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm import textkit
-from faultline.llm.bytebpe import numbered
 from faultline.sources.storage import materialized
 
 CHUNK_BYTES = 4 << 20
@@ -193,7 +192,7 @@ def train(docs: DataFrame) -> Trie:
 
 def _chunked(batches: Iterator[pa.RecordBatch], limit: int):
     """Chunk number and (rows, bytes, offsets) of its slices, about ``limit`` bytes together."""
-    batches, base = numbered(batches)
+    batches, base = textkit.numbered(batches)
     held, size, number = [], 0, base
     for batch in batches:
         for row, values, offsets in textkit.slices(batch.column(1)):

@@ -43,13 +43,23 @@ def test_ids_and_bytes_against_the_library(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
     d.write.mode("overwrite").parquet(path := spark.conf.get("spark.checkpoint.dir") + "/bpe-input")
     d = spark.read.parquet(path)
-    out = bytebpe.decode(bytebpe.encode(d, PATH, 2000), PATH).collect()
+    out = bytebpe.decode(bytebpe.encode(d, PATH, 2000, 5), PATH).collect()
     enc = coder()
     want = sorted((r[0] or -1, enc.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in rows)
     assert sorted((r.doc_id or -1, np.frombuffer(r["ids"], "<u4").tolist(), bytes(r.decoded)) for r in out) == want
     assert all(r.n_tokens * 4 == len(r["ids"]) for r in out)
 
 
+def test_long_text_and_forgotten_words(spark, monkeypatch):
+    monkeypatch.setattr(bytebpe._encode_words, "__defaults__", (3,))
+    rows = [(1, "word after word, " * 80_000), (2, "some other words"), (3, "é" * 300_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = bytebpe.decode(bytebpe.encode(d, PATH, 5000, 2), PATH).collect()
+    enc = coder()
+    assert {r.doc_id: np.frombuffer(r["ids"], "<u4").tolist() for r in out} == {i: enc.encode_ordinary(t) for i, t in rows}
+    assert {r.doc_id: bytes(r.decoded) for r in out} == {i: t.encode() for i, t in rows}
+
+
 def test_empty_table(spark):
     assert bytebpe.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -24,16 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Write the table to the shared folder and read it back, to compute it once.
 
-    For results used several times in one plan; lost executors reread the files.
+    For results used several times in one plan; lost executors reread the files. The path goes
+    to ``scratch``, for :func:`discard` once the last reader is done.
     """
     path = f"{shared_folder(df.sparkSession)}/faultline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete the tables that :func:`materialized` noted; nothing may read them any more."""
+    while scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_predictions(df: DataFrame, path: str, run_date: str, fmt: str = "parquet") -> None:
     """Append one scoring run, partitioned by run date; ``csv`` or ``parquet``."""
     writer = df.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date")

@@ -30,7 +30,7 @@ def _is_settled(edges: DataFrame) -> bool:
     return counts.where("up > 1 or up = 1 and least = 0").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest node that can be reached.
 
     Minima are aggregated before they are shuffled and the joins are open to skew splitting, so a node of very
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select("a", "b").distinct()
     for _ in range(MAX_ROUNDS):
-        edges = materialized(_starred(_starred(edges, True), False))
+        edges = materialized(_starred(_starred(edges, True), False), scratch)
         if _is_settled(edges):
             break
     else:
@@ -48,14 +48,14 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+def extended(roots: DataFrame, links: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Components (node, root) after further links (a, b): only the roots that the links join are searched again."""
     if links.isEmpty():
         return roots
     for side in ("a", "b"):
         own = roots.select(F.col("node").alias(side), F.col("root").alias("top"))
         links = links.join(own, side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
-    joined = materialized(components(links))
+    joined = materialized(components(links, scratch), scratch)
     moved = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
     old = roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return old.unionByName(joined.join(roots, "node", "left_anti"))

@@ -9,8 +9,10 @@ k + 1 + spare partitions, partitions that are empty in both sets can be left out
 ``spare`` of them; a set with more also emits the signatures of the next of several divisions, so the
 guarantee holds without the empty partitions on which unrelated sets would meet.
 
-Equal sets are one node. The best connected node of a signature is its pivot. Nodes are compared with the best of
-their pivots, then with other pivots whose component differs, not with each other. Nodes that the links found so far leave outside the component of their
+Equal sets are one node. The best connected node of a signature is its pivot. A node carries a sketch, one byte for each
+of many partitions; sets whose sketches differ in more bytes than similar sets differ in elements are ruled out, so
+only the sets of likely pairs are read and sent. Nodes are compared with the best of
+their possible pivots, then with other pivots whose component differs, not with each other. Nodes that the links found so far leave outside the component of their
 pivot are then compared with all nodes of that pivot in blocks of bounded size, so no link between different
 components is lost, no pair of rows is made, and no group has to fit into a task. Links inside a component
 that is already connected need no test. All tests are on the sets themselves.
@@ -22,6 +24,7 @@ words than n has the whole sequence as its one element. Elements and sets are co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import textkit
 from faultline.llm.components import components, extended
-from faultline.sources.storage import materialized
+from faultline.sources.storage import discard, materialized
 
 SHINGLE = 4
 PERCENT = 85
@@ -50,22 +53,57 @@ def band(size: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def partitions(number: int, percent: int) -> tuple[int, int]:
-    """Partitions and spare ones for pairs whose smaller set lies in this band."""
+def sizes(number: int, percent: int) -> tuple[int, int]:
+    """Smallest and largest set of a band."""
     start = 1
     for _ in range(number):
         start = start * 100 // percent + 1
-    largest = start * 100 // percent
+    return start, start * 100 // percent
+
+
+def allowed(total, percent: int):
+    """Elements in which two similar sets of ``total`` elements together may differ; numbers or arrays."""
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
+@lru_cache(maxsize=None)
+def differing(number: int, percent: int) -> int:
+    """The same for all pairs whose smaller set lies in this band."""
+    _, largest = sizes(number, percent)
     most = largest + largest * 100 // percent
-    share = 100 + percent
-    differing = max(s - 2 * -(-percent * s // share) for s in range(max(2, most - 8), most + 1))
-    if differing == 0:
+    return max(allowed(s, percent) for s in range(max(2, most - 8), most + 1))
+
+
+@lru_cache(maxsize=None)
+def partitions(number: int, percent: int) -> tuple[int, int]:
+    """Partitions and spare ones for pairs whose smaller set lies in this band.
+
+    Spare are as many as the smallest set of the band leaves empty as a rule: two deviations above the expected number.
+    """
+    differ = differing(number, percent)
+    if differ == 0:
         return 1, 0
-    spare = 1 + differing // 50
-    total = differing + 1 + spare
+    smallest, spare = sizes(number, percent)[0], 1
+    for _ in range(20):
+        total = differ + 1 + spare
+        empty = total * math.exp(-smallest / total)
+        spare = max(1, math.ceil(empty + 2 * math.sqrt(empty)))
+    total = differ + 1 + spare
     return total + total % 2, spare + total % 2
 
 
+def sketch(elements: np.ndarray, number: int, percent: int) -> bytes:
+    """One byte for each of twice as many partitions as similar sets of the band may differ in.
+
+    An element that is in only one of two sets changes one byte at most, so similar sets differ in no more bytes
+    than elements; unlike sets differ in nearly all bytes.
+    """
+    keyed = textkit.mix(elements ^ np.uint64(0xA0761D6478BD642F))
+    part = (keyed >> np.uint64(20)) % np.uint64(2 * differing(number, percent) + 8)
+    sums = np.bincount(part.astype(np.int64), (keyed & np.uint64(0xFF)).astype(float), 2 * differing(number, percent) + 8)
+    return (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+
+
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of one set (distinct 64-bit elements)."""
     out = []
@@ -167,6 +205,141 @@ def _whole_sets(shingle: int):
     return run
 
 
+def _keyed(shingle: int, percent: int, kept: list[str]):
+    """Rows with the key and the sketches of the set of their text: one for its own band, one for the band below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, elements in sets_of(batch.column(kept.index("text")), shingle):
+                if not len(elements):
+                    rows.append((0, None, None, None, None))
+                    continue
+                own = band(len(elements), percent)
+                below = sketch(elements, own - 1, percent) if own else None
+                rows.append((len(elements), set_key(elements), own, sketch(elements, own, percent), below))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(kept.index(c)) for c in ("doc_id", "text_hash")], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "band", "own", "below"],
+            )
+
+    return run
+
+
+def _unlike(a: tuple[int, int, bytes, bytes | None], b: tuple[int, int, bytes, bytes | None], percent: int) -> bool:
+    """Whether two nodes (size, band, own and lower sketch) are proven not to be similar."""
+    if abs(a[1] - b[1]) > 1:
+        return True
+    if a[1] != b[1]:
+        x, y = (a[2], b[3]) if a[1] < b[1] else (a[3], b[2])
+    else:
+        x, y = a[2], b[2]
+    unequal = np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))
+    return bool(unequal > allowed(a[0] + b[0], percent))
+
+
+SKETCH = ("n", "band", "own", "below")
+
+
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (list(zip(*[batch.column(f"{side}{c}").to_pylist() for c in SKETCH], strict=True)) for side in ("", "pivot_"))
+            stay = pa.array([not _unlike(a, b, percent) for a, b in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(stay) for c in ("pivot", "node")], ["pivot", "node"])
+
+    return run
+
+
+def candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those (pivot, node) pairs that sizes and sketches do not rule out; no similar pair is lost."""
+    pivots = nodes.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in SKETCH])
+    met = pairs.where("node <> pivot").join(nodes.select("node", *SKETCH), "node").join(pivots, "pivot")
+    met = met.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
+    return met.mapInArrow(_possible(percent), "pivot long, node long")
+
+
+def _set_tests(percent: int):
+    """Task over rows sorted by pivot: its set comes first, then those of the nodes that it is compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            made = []
+            elements = batch.column("elements")
+            for i, (key, role, node) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("pivot", "role", "node")], strict=True)):
+                here = elements[i].values.to_numpy(zero_copy_only=False)
+                if role == 0:
+                    pivot, own = key, here
+                elif key == pivot:
+                    both = len(np.intersect1d(own, here, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(here) - both):
+                        made.append((key, node))
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (pivot, node) pairs, as (a, b), whose sets are similar. A set travels once to each of its pivots; a pivot
+    of many nodes is compared with them in blocks."""
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    spread = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    members = pairs.join(blocks, "pivot").select("pivot", spread, F.lit(1).alias("role"), "node")
+    heads = blocks.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("pivot").alias("node"))
+    rows = members.unionByName(heads).join(sets, "node").select("pivot", "block", "role", "node", "elements")
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role").mapInArrow(_set_tests(percent), "a long, b long")
+
+
+def _block_candidates(percent: int):
+    """Rows of a block pair that sketches do not rule out with some row of the other side."""
+    names = ["pivot", "i", "j", "role", "node"]
+
+    def partners(outer: list, inner: list) -> list[tuple]:
+        by_band: dict[int, list[int]] = {}
+        for k, (_, theirs) in enumerate(inner):
+            by_band.setdefault(theirs[1], []).append(k)
+        stacked = {}
+        for number, at in by_band.items():
+            own, below = ([np.frombuffer(inner[k][1][c], np.uint8) for k in at] if number or c == 2 else None for c in (2, 3))
+            ids, sizes_of = (np.array([inner[k][i][c] for k in at]) for i, c in ((0, 4), (1, 0)))
+            stacked[number] = (np.array(at), ids, sizes_of, np.stack(own), None if below is None else np.stack(below))
+        out, used = [], set()
+        for row, (n, number, own, below) in outer:
+            some = False
+            for other, mine, column in ((number, own, 3), (number + 1, own, 4), (number - 1, below, 3)):
+                if other in stacked:
+                    at, ids, sizes_of, *tables = stacked[other]
+                    unequal = np.count_nonzero(tables[column - 3] != np.frombuffer(mine, np.uint8), axis=1)
+                    near = at[(unequal <= allowed(sizes_of + n, percent)) & (ids != row[4])]
+                    used.update(near.tolist())
+                    some = some or len(near) > 0
+            if some:
+                out.append(row)
+        return out + [inner[k][0] for k in sorted(used)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, outer, inner = None, [], []
+
+        def flushed() -> pa.RecordBatch:
+            made = partners(outer, inner) if outer and inner else []
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names)
+
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in names], strict=True)
+            sketches = zip(*[batch.column(c).to_pylist() for c in SKETCH], strict=True)
+            for row, own in zip(rows, sketches, strict=True):
+                if row[:3] != group:
+                    yield flushed()
+                    group, outer, inner = row[:3], [], []
+                (inner if row[3] else outer).append((row, own))
+        yield flushed()
+
+    return run
+
+
 def _block_links(percent: int):
     """Links between the outer nodes and all nodes of each block pair; only those that connect something new."""
 
@@ -214,54 +387,47 @@ def _block_links(percent: int):
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (pivot, node) pairs, as (a, b), whose sets are similar; sizes are compared before the sets are read."""
-    both = F.size(F.array_intersect("elements", "pivot_elements"))
-    pivot_sets = sets.select(F.col("node").alias("pivot"), F.col("elements").alias("pivot_elements"), F.col("n").alias("pivot_n"))
-    return (
-        pairs.where("node <> pivot")
-        .join(sets.select("node", "n"), "node").join(pivot_sets.select("pivot", "pivot_n"), "pivot")
-        .where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).select("pivot", "node")
-        .join(sets, "node").join(pivot_sets, "pivot")
-        .where(100 * both >= percent * (F.col("n") + F.col("pivot_n") - both))
-        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    )
-
-
 def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Components (node, root) of the set keys that are linked; nodes without a link are absent.
 
-    docs: text, text_hash; keyed: text_hash, set_key of every row.
+    docs: text, text_hash; keyed: text_hash, set_key, n_shingles and sketches of every row.
     """
+    spark, scratch = docs.sparkSession, []
     sigs = docs.select("text").mapInArrow(_emit(shingle, percent), "sig long, node long")
     met = materialized(
         sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(
             textkit.repeated_runs(["sig", "node"]), "sig long, node long"
-        )
+        ), scratch,
     )
-    sizes = met.groupBy("sig").agg(F.count("*").alias("n"))
-    degree = materialized(met.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("degree")))
+    counts = met.groupBy("sig").agg(F.count("*").alias("n"))
+    degree = materialized(met.join(counts, "sig").groupBy("node").agg(F.sum("n").alias("degree")), scratch)
     pivots = met.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
-    groups = materialized(met.join(pivots, "sig").select("pivot", "node").distinct())
-    wanted = keyed.join(groups.select(F.col("node").alias("set_key")).distinct(), "set_key", "left_semi")
-    wanted = wanted.groupBy("set_key").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
-    # Copies of a text lie in many tasks, each of which returns its set: one row per node may stay.
-    sets = materialized(
-        docs.join(wanted, "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>")
-        .dropDuplicates(["node"]).withColumn("n", F.size("elements"))
+    groups = materialized(met.join(pivots, "sig").select("pivot", "node").distinct(), scratch)
+    any_of = [F.any_value(c).alias(c) for c in ("band", "own", "below")]
+    nodes = materialized(
+        keyed.withColumnRenamed("set_key", "node").join(groups.select("node").distinct(), "node", "left_semi")
+        .groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.any_value("n_shingles").alias("n"), *any_of), scratch,
     )
-    # Every node first meets only the best of its pivots; most groups are one component after that.
-    best = groups.join(degree.select(F.col("node").alias("pivot"), "degree"), "pivot").groupBy("node").agg(
+    possible = materialized(candidates(groups, nodes, percent), scratch)
+
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        """The sets of the wanted nodes. Copies of a text lie in many tasks, each of which returns its set: one row per node may stay."""
+        texts = nodes.join(wanted.distinct(), "node", "left_semi").select("text_hash").distinct()
+        found = docs.join(texts, "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>")
+        return materialized(found.dropDuplicates(["node"]), scratch)
+
+    sets = whole_sets(possible.select(F.explode(F.array("pivot", "node")).alias("node")))
+    # Every node first meets only the best of its possible pivots; most groups are one component after that.
+    best = possible.join(degree.select(F.col("node").alias("pivot"), "degree"), "pivot").groupBy("node").agg(
         F.max(F.struct("degree", "pivot"))["pivot"].alias("pivot")
     )
-    first = materialized(linked(best, sets, percent))
-    roots = materialized(components(first))
-    apart = groups.join(roots, "node", "left").join(
+    best = materialized(best.select("pivot", "node"), scratch)
+    roots = materialized(components(materialized(linked(best, sets, percent), scratch), scratch), scratch)
+    apart = possible.join(roots, "node", "left").join(
         roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left"
     ).where(F.coalesce("root", "node") != F.coalesce("pivot_root", "pivot"))
-    apart = apart.select("node", "pivot").join(best, ["node", "pivot"], "left_anti")
-    second = materialized(linked(apart, sets, percent))
-    roots = materialized(extended(roots, second))
+    apart = materialized(apart.select("pivot", "node").join(best, ["pivot", "node"], "left_anti"), scratch)
+    roots = materialized(extended(roots, materialized(linked(apart, sets, percent), scratch), scratch), scratch)
     own = groups.join(roots, "node", "left").select("pivot", "node", F.coalesce("root", "node").alias("root"))
     pivot_root = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     own = own.join(pivot_root, "pivot", "left").withColumn("outer", F.col("root") != F.coalesce("pivot_root", "pivot"))
@@ -279,13 +445,21 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
         "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer_blocks") - 1)).alias("i"), spread("inner_blocks").alias("j"),
         F.lit(1).alias("role"), "node",
     )
-    rest = (
-        outer.unionByName(inner).join(sets.select("node", "elements"), "node")
-        .select("pivot", "i", "j", "role", "node", "elements")
-        .repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "role", "node")
-        .mapInArrow(_block_links(percent), "a long, b long")
+    block, order = ["pivot", "i", "j"], ["pivot", "i", "j", "role", "node"]
+    left = materialized(
+        outer.unionByName(inner).join(nodes.select("node", *SKETCH), "node").select(*order, *SKETCH)
+        .repartition(*block).sortWithinPartitions(*order)
+        .mapInArrow(_block_candidates(percent), "pivot long, i long, j long, role int, node long"), scratch,
     )
-    return extended(roots, materialized(rest))
+    if not left.isEmpty():
+        rest = (
+            left.join(whole_sets(left.select("node")), "node").select(*order, "elements")
+            .repartition(*block).sortWithinPartitions(*order).mapInArrow(_block_links(percent), "a long, b long")
+        )
+        roots = extended(roots, materialized(rest, scratch), scratch)
+    roots = materialized(roots)
+    discard(spark, scratch)
+    return roots
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -294,8 +468,9 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     root names the component by one of its set keys, also where ids are null or used by several components.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    keyed = materialized(with_set_key(docs, shingle).select("doc_id", "text_hash", "n_shingles", "set_key"))
-    roots = materialized(set_links(docs, keyed.where("set_key is not null"), shingle, percent))
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, set_key long, band int, own binary, below binary"
+    keyed = materialized(docs.mapInArrow(_keyed(shingle, percent, docs.columns), kind))
+    roots = set_links(docs, keyed.where("set_key is not null"), shingle, percent)
     own = keyed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     own = own.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))

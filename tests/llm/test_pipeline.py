@@ -30,7 +30,7 @@ def test_stages_on_odd_rows(spark, small):
         assert out.count() <= docs.count()
     kept = sorted((r.doc_id for r in stage(spark, "near_duplicates", docs, small).collect()), key=repr)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = {(d, c) for d, _, c in groups(rows)}
+    want = {(d, c) for d, _, c in groups(rows, corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE)}
     no_words = [d for d, t in rows if not (t or "").split()]
     assert kept == sorted([d for d, c in want if d == c and d not in no_words] + no_words, key=repr)
     assert stage(spark, "secrets", docs, small).count() == docs.count()
@@ -49,7 +49,7 @@ def test_pipeline_against_plain_stages(spark, small):
     kept = {r.doc_id: r.text for r in stage(spark, "language", docs, small).collect()}
     assert len(kept) >= 0.97 * docs.count()
     docs = docs.where(docs.doc_id.isin(list(kept)))
-    want = {d for d, _, c in groups(list(kept.items())) if d == c}
+    want = {d for d, _, c in groups(list(kept.items()), corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE) if d == c}
     docs = stage(spark, "near_duplicates", docs, small)
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert set(kept) == want

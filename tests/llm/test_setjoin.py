@@ -8,12 +8,12 @@ from faultline.llm import setjoin
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(docs, percent=85):
+def brute(docs, percent=85, shingle=4):
     """(doc_id, n, component) by comparing all pairs."""
     sets = []
     for _, text in docs:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets.append({tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i:i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set())
     group = list(range(len(docs)))
 
     def find(i):
@@ -82,3 +82,39 @@ def test_query_over_the_whole_table(spark, small):
     got = setjoin.op10_partenum(spark, small).collect()
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, got), key=repr) == brute(docs)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_rule_out_no_similar_sets(percent):
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    ruled_out = 0
+    for size in [1, 2, 4, 5, 8, 9, 10, 13, 36, 45, 90, 200, 450, 3000]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            gone = rng.integers(0, len(a) // 5 + 1)
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, rng.integers(0, len(a) // 9 + 2)).astype(np.uint64)]))
+            c = np.unique(np.concatenate([a[:len(a) // 3], rng.integers(0, 2**63, size).astype(np.uint64)]))
+
+            def node(e):
+                own = setjoin.band(len(e), percent)
+                return len(e), own, setjoin.sketch(e, own, percent), setjoin.sketch(e, own - 1, percent) if own else None
+
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert not setjoin._unlike(node(a), node(b), percent) and not setjoin._unlike(node(b), node(a), percent)
+            ruled_out += size >= 36 and setjoin._unlike(node(a), node(c), percent)
+    assert ruled_out > 160
+
+
+def test_other_limits_and_copies_of_a_common_passage(spark, monkeypatch):
+    """Unlike sets that share a long passage fall to the sketches; groups of near copies stay whole."""
+    monkeypatch.setattr(setjoin, "BLOCK", 9)
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 200))) for _ in range(120)]
+    texts += near_copies(9, 50, 90, 12) + near_copies(10, 50, 300, 30) + [f"{t} tail" for t in texts[:30]]
+    docs = list(enumerate(texts))
+    got = setjoin.grouped(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(docs, 80, 5)

@@ -2,12 +2,15 @@
 
 Texts are split into pre-tokens by the public pattern, vectorised over character classes. Neighbouring whole
 texts form chunks of bounded size; a chunk keeps its pre-tokens as positions in the list of its distinct
-words. Chunks are written once, as a table of positions and of words packed by hash bucket. The words are shuffled by
+words. The words of a chunk are packed by hash bucket and shuffled by
 bucket: each distinct word is encoded once, next to all chunks that hold it, and the ids go back to the
 chunks, where the positions put the token sequences together again. A word travels once per chunk instead of once
 per occurrence, so a word that holds a third of all tokens is no hot key. Decoding looks every id up in the
 table of token bytes, which has a row per vocabulary entry.
 
+Chunks are cut twice from the same input (for words and for positions), so the input has to be a table or files,
+which give the same rows in the same order when read again; every row carries a checksum of its chunk's words, and a mismatch ends the job.
+
 Cases: null and empty texts have no tokens; repeated rows and null ids are encoded row by row; a text larger
 than a chunk is a chunk of its own; further columns play no part; an empty table gives an empty result.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import pickle
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,16 +28,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm import textkit
-from faultline.sources.storage import materialized
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Encoded words that a task remembers; beyond that it starts anew, at the cost of encoding a word again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 OTHER, LETTERS, NUMBERS, SPACES = range(4)
 
 
@@ -128,8 +130,10 @@ def unpacked_list(data: bytes, n: int, size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 * n:])])
 
 
-PIECES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
-PIECE_KIND = "chunk long, bucket int, n long, size long, data binary"
+PIECES = pa.schema([
+    ("chunk", pa.int64()), ("bucket", pa.int32()), ("check", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("data", pa.binary()),
+])
+PIECE_KIND = "chunk long, bucket int, check long, n long, size long, data binary"
 #: Bucket number of the row that holds the positions of a chunk.
 HEAD = -1
 
@@ -138,32 +142,35 @@ def _piece(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, PIECES, strict=True)], schema=PIECES)
 
 
-def _cut(limit: int, buckets: int):
-    """Rows of each chunk: its positions, and its distinct words packed by bucket, numbered bucket by bucket."""
+def _cut(limit: int, buckets: int, positions: bool):
+    """Rows of each chunk: its positions, or its distinct words packed by bucket and numbered bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
+        batches, base = textkit.numbered(batches)
         for number, (ids, values, starts, counts) in enumerate(chunks(batches, limit)):
             coded = token_words(values, starts).dictionary_encode()
             known = coded.dictionary
             joined, bounds = textkit.buffers(known)
+            check = zlib.crc32(joined.tobytes())
             dealt = textkit.hash_spans(joined, bounds[:-1], bounds[1:]) % np.uint64(buckets)
             order = np.argsort(dealt, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            inverse = place[coded.indices.to_numpy(zero_copy_only=False)]
-            # The bytes of the positions are grouped by significance, which packs better.
-            stream = inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-            head = {
-                "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
-                "doc_ids": ids.to_pylist(), "counts": counts,
-            }
-            yield _piece(base + number, HEAD, 1, 0, pickle.dumps(head))
+            if positions:
+                place = np.empty(len(order), np.uint32)
+                place[order] = np.arange(len(order), dtype=np.uint32)
+                inverse = place[coded.indices.to_numpy(zero_copy_only=False)]
+                # The bytes of the positions are grouped by significance, which packs better.
+                stream = inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                head = {
+                    "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
+                    "doc_ids": ids.to_pylist(), "counts": counts,
+                }
+                yield _piece(base + number, HEAD, check, 1, 0, pickle.dumps(head))
+                continue
             edges = np.searchsorted(dealt[order], np.arange(buckets + 1, dtype=np.uint64))
             for bucket in np.flatnonzero(edges[1:] > edges[:-1]):
                 words = known.take(pa.array(order[edges[bucket]:edges[bucket + 1]]))
                 _, spans = textkit.buffers(words)
-                yield _piece(base + number, int(bucket), len(words), int(spans[-1]), packed_list(words))
+                yield _piece(base + number, int(bucket), check, len(words), int(spans[-1]), packed_list(words))
 
     return run
 
@@ -221,7 +228,7 @@ def _encode_words(shared, remembered: int = REMEMBERED):
                         known[word] = np.array(merger.encode(word), "<u4").tobytes()
                 ids = pa.array([known[word] for word in words], pa.large_binary())
                 size = int(textkit.buffers(ids)[1][-1])
-                yield _piece(row["chunk"], row["bucket"], row["n"], size, packed_list(ids))
+                yield _piece(row["chunk"], row["bucket"], row["check"], row["n"], size, packed_list(ids))
 
     return run
 
@@ -230,7 +237,7 @@ def _assemble(id_type: pa.DataType):
     def sequences(head: dict, parts: list[pa.Array]) -> pa.RecordBatch:
         words = pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
         if len(words) != head["known"]:
-            raise RuntimeError("the words of a chunk do not fit its positions")
+            raise RuntimeError("the words of a chunk do not fit its positions: the input changed between two reads")
         data, bounds = textkit.buffers(words)
         ids, bounds = np.frombuffer(data.tobytes(), "<u4"), bounds // 4
         total = head["tokens"]
@@ -247,15 +254,17 @@ def _assemble(id_type: pa.DataType):
         return pa.RecordBatch.from_arrays([pa.array(head["doc_ids"], id_type), pa.array(np.diff(cut)), packed], ["doc_id", "n_tokens", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, parts = None, []
+        head, check, parts = None, 0, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != HEAD:
+                    if row["check"] != check:
+                        raise RuntimeError("the words of a chunk do not fit its positions: the input changed between two reads")
                     parts.append(unpacked_list(row["data"], row["n"], row["size"]))
                     continue
                 if head:
                     yield sequences(head, parts)
-                head, parts = pickle.loads(row["data"]), []
+                head, check, parts = pickle.loads(row["data"]), row["check"], []
         if head:
             yield sequences(head, parts)
 
@@ -271,10 +280,11 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, buckets:
     kind = docs.schema["doc_id"].dataType
     shared = spark.sparkContext.broadcast(read_ranks(path))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialized(docs.select("text", "doc_id").mapInArrow(_cut(chunk_bytes, buckets), PIECE_KIND))
-    words = pieces.where(F.col("bucket") != HEAD).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    docs = docs.select("text", "doc_id", F.spark_partition_id().alias("part"))
+    words = docs.mapInArrow(_cut(chunk_bytes, buckets, False), PIECE_KIND).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    heads = docs.mapInArrow(_cut(chunk_bytes, buckets, True), PIECE_KIND)
     coded = words.mapInArrow(_encode_words(shared), PIECE_KIND)
-    whole = coded.unionByName(pieces.where(F.col("bucket") == HEAD)).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    whole = coded.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     return whole.mapInArrow(_assemble(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens long, ids binary")
 
 

@@ -5,8 +5,10 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from faultline.llm import bytebpe, textkit
 
@@ -53,13 +55,20 @@ def test_ids_and_bytes_against_the_library(spark):
 def test_long_text_and_forgotten_words(spark, monkeypatch):
     monkeypatch.setattr(bytebpe._encode_words, "__defaults__", (3,))
     rows = [(1, "word after word, " * 80_000), (2, "some other words"), (3, "é" * 300_000)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    out = bytebpe.decode(bytebpe.encode(d, PATH, 5000, 2), PATH).collect()
+    path = spark.conf.get("spark.checkpoint.dir") + "/bpe-long"
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(path)
+    out = bytebpe.decode(bytebpe.encode(spark.read.parquet(path), PATH, 5000, 2), PATH).collect()
     enc = coder()
     assert {r.doc_id: np.frombuffer(r["ids"], "<u4").tolist() for r in out} == {i: enc.encode_ordinary(t) for i, t in rows}
     assert {r.doc_id: bytes(r.decoded) for r in out} == {i: t.encode() for i, t in rows}
 
 
+def test_input_that_changes_between_two_reads_ends_the_job(spark):
+    d = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(F.lit("word "), F.uuid()).alias("text"))
+    with pytest.raises(Exception, match="changed between two reads"):
+        bytebpe.encode(d, PATH).collect()
+
+
 def test_empty_table(spark):
     assert bytebpe.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -11,7 +11,8 @@ from ..functions.days import DAY_US, floor_days, micros
 from ..functions.text import fixed
 from ..sources.storage import materialized
 from .features import KEYS
-from .ordered import HOT_ROWS, state_before
+from .moments import FIELDS, mean, merged, merged_before, moments, none, spread
+from .ordered import HOT_ROWS, UNBOUNDED, split_cells
 
 Z_LIMIT = 2.0
 # Days of the window before a past failure, similarity and list lengths.
@@ -21,17 +22,6 @@ TOP_SIMILAR = 5
 TOP_CAUSES = 5
 TOP_ADVISED = 3
 FAILURE = [*KEYS, "ts"]  # failures of an asset at one instant share their analysis
-EXACT = "decimal(18,6)"  # measures are summed as decimals, so differences of totals are exact
-
-
-def _spread(n: Column, s: Column, q: Column) -> Column:
-    """Sample standard deviation from count, sum and sum of squares (exact decimals)."""
-    d = "double"
-    narrow = s.try_cast("decimal(18,6)")
-    exact = n.try_cast("decimal(10,0)") * q.try_cast("decimal(26,12)") - narrow * narrow
-    loose = n.cast(d) * q.cast(d) - s.cast(d) * s.cast(d)
-    top = F.greatest(F.coalesce(exact.cast(d), loose), F.lit(0.0))
-    return F.when(n > 1, F.sqrt(top / (n.cast(d) * (n.cast(d) - 1.0))))
 
 
 def window_statistics(
@@ -40,65 +30,112 @@ def window_statistics(
     """For every failure instant t of an asset: statistics of each feature in [t - w, t) and before t - w.
 
     Columns ``asset_id, ts, n_window, n_baseline, s`` with ``s`` an array of
-    ``feature, window_mean, window_sd, first, last, base_mean, base_sd``. The rows are first
-    reduced to one per asset and instant. Values are taken with six decimals and must lie
-    within 1e12. Both ranges are read off running totals at t and at
-    t - w, so the cost is linear however many failures a window holds, and a hot asset is cut
-    into cells.
+    ``feature, window_mean, window_sd, first, last, base_mean, base_sd``. Null values are left out of means and spreads.
+
+    Time is cut into blocks of the length of the window, so a window is the end of one block and the beginning of
+    the next. Both are running moments inside a block, read at t - w backwards and at t forwards, and are
+    merged; the baseline is the running moments of the asset at t - w. So the cost is linear however many failures a
+    window holds, and values of any scale keep their relative precision. A hot asset is cut into cells of time,
+    whose moments are merged in front of the running ones.
     """
+    width = window_days * DAY_US
     here = micros("ts")
-    x = [F.col(c).cast(EXACT) for c in features]
     names = [f"x{i}" for i in range(len(features))]
-    row = F.struct(here.alias("at"), F.col("event_id").alias("id"), *[
-        F.col(c).cast("double").alias(n) for c, n in zip(features, names)
+    values = [F.col(c).cast("double").alias(n) for c, n in zip(features, names)]
+    row = F.struct(here.alias("at"), F.col("event_id").alias("id"), *names)
+    # every failure twice: with its values at t, and as a question at t - w
+    events = history.select(*FAILURE, "event_id", *values).select(*FAILURE, *names, row.alias("row"))
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    event = F.struct(F.lit(False).alias("probe"), here.alias("pos"), *names, "row")
+    ask = F.struct(F.lit(True).alias("probe"), (here - width).alias("pos"), *[
+        F.lit(None).cast(kinds[c]).alias(c) for c in (*names, "row")
     ])
-    instants = history.groupBy(*FAILURE).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(v).cast("decimal(28,6)").alias(n) for v, n in zip(x, names)],
-        *[F.sum(v * v).cast("decimal(36,12)").alias(f"{n}q") for v, n in zip(x, names)],
-        F.min(row).alias("head"),
-        F.max(row).alias("tail"),
+    points = events.select(*FAILURE, F.explode(F.array(event, ask)).alias("e")).select(*FAILURE, "e.*")
+    points = points.withColumn("block", F.floor(F.col("pos") / F.lit(width)).cast("long"))
+    cut, cells = split_cells(points, KEYS, ["pos"], hot_rows)
+
+    inside = Window.partitionBy(*KEYS, "block", *cells)
+    frames = {
+        "head": inside.orderBy("pos").rangeBetween(UNBOUNDED, -1),
+        "rest": inside.orderBy(F.col("pos").desc()).rangeBetween(UNBOUNDED, 0),
+        "base": Window.partitionBy(*KEYS, *cells).orderBy("pos").rangeBetween(UNBOUNDED, -1),
+    }
+    count = F.count_if(~F.col("probe"))
+    state = cut.select(
+        "*",
+        *[moments(F.col(n), frame).alias(f"{k}_{n}") for k, frame in frames.items() for n in names],
+        *[count.over(frame).alias(f"{k}_n") for k, frame in frames.items()],
+        *[f("row").over(frames[k]).alias(f"{k}_{f.__name__}") for k in ("head", "rest") for f in (F.min, F.max)],
     )
-    sums = ["n", *names, *[f"{n}q" for n in names]]
-    measures = [*sums, "head", "tail"]
-    kinds = {f.name: f.dataType for f in instants.schema.fields}
-    # every instant twice: with its measures at t, and as a question at t - w
-    event = F.struct(F.lit(False).alias("probe"), here.alias("pos"), *measures)
-    ask = F.struct(
-        F.lit(True).alias("probe"), (here - window_days * DAY_US).alias("pos"),
-        *[F.lit(None).cast(kinds[c]).alias(c) for c in measures],
+    if cells:
+        state = _with_cells(state, cut.where("_hot"), cells, names)
+
+    # one row per instant: what its failures read at t and its questions at t - w, as plain numbers
+    probe, taken = F.col("probe"), {}
+    for k, side in (("head", ~probe), ("rest", probe), ("base", probe)):
+        taken |= {f"{k}_n": F.when(side, F.col(f"{k}_n"))}
+        taken |= {f"{k}_{n}_{c}": F.when(side, F.col(f"{k}_{n}")[c]) for n in names for c in FIELDS}
+        if k != "base":
+            taken |= {f"{k}_{n}_{f}": F.when(side, F.col(f"{k}_{f}")[n]) for n in names for f in ("min", "max")}
+    both = state.select(*FAILURE, *[c.alias(n) for n, c in taken.items()]).groupBy(*FAILURE).agg(
+        *[F.max(n).alias(n) for n in taken]
     )
-    points = instants.select(*FAILURE, F.explode(F.array(event, ask)).alias("e")).select(*FAILURE, "e.*")
-    state = state_before(points, KEYS, "pos", sums, last="tail", first="head", hot_rows=hot_rows)
-    totals, probe = [f"{c}_before" for c in sums], F.col("probe")
-    both = state.groupBy(*FAILURE).agg(
-        *[F.max(F.when(~probe, F.col(c))).alias(f"a_{c}") for c in totals],
-        *[F.max(F.when(probe, F.col(c))).alias(f"b_{c}") for c in totals],
-        F.max(F.when(~probe, F.col("tail_before"))).alias("last"),
-        F.max(F.when(probe, F.col("head_from"))).alias("first"),
+
+    def part(k: str, n: str) -> Column:
+        return F.struct(*[F.col(f"{k}_{n}_{c}").alias(c) for c in FIELDS])
+
+    # the end of the first block lies before the beginning of the second
+    def picked(n: str, f: str, k: str, other: str) -> Column:
+        return F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_{n}_{f}")).otherwise(F.col(f"{other}_{n}_{f}"))
+
+    put_together = both.select(
+        *FAILURE, (F.col("rest_n") + F.col("head_n")).alias("n_window"), F.col("base_n").alias("n_baseline"),
+        *[merged(part("rest", n), part("head", n)).alias(f"window_{n}") for n in names],
+        *[part("base", n).alias(f"base_{n}") for n in names],
+        *[picked(n, "min", "rest", "head").alias(f"first_{n}") for n in names],
+        *[picked(n, "max", "head", "rest").alias(f"last_{n}") for n in names],
     )
-    n_all, n_base = F.col("a_n_before"), F.col("b_n_before")
-    n = n_all - n_base
 
-    def one(i: int, c: str) -> Column:
-        s0, q0 = F.col(f"b_x{i}_before"), F.col(f"b_x{i}q_before")
-        s, q = F.col(f"a_x{i}_before") - s0, F.col(f"a_x{i}q_before") - q0
+    def one(n: str, c: str) -> Column:
+        window, base = F.col(f"window_{n}"), F.col(f"base_{n}")
         return F.struct(
-            F.lit(c).alias("feature"),
-            F.when(n > 0, s.cast("double") / n).alias("window_mean"),
-            _spread(n, s, q).alias("window_sd"),
-            F.when(n > 0, F.col(f"first.x{i}")).alias("first"),
-            F.when(n > 0, F.col(f"last.x{i}")).alias("last"),
-            F.when(n_base > 0, s0.cast("double") / n_base).alias("base_mean"),
-            _spread(n_base, s0, q0).alias("base_sd"),
+            F.lit(c).alias("feature"), mean(window).alias("window_mean"), spread(window).alias("window_sd"),
+            F.col(f"first_{n}").alias("first"), F.col(f"last_{n}").alias("last"),
+            mean(base).alias("base_mean"), spread(base).alias("base_sd"),
         )
 
-    return both.select(
-        *FAILURE, n.alias("n_window"), n_base.alias("n_baseline"),
-        F.array(*[one(i, c) for i, c in enumerate(features)]).alias("s"),
+    return put_together.select(
+        *FAILURE, "n_window", "n_baseline", F.array(*[one(n, c) for n, c in zip(names, features)]).alias("s")
     )
 
 
+def _with_cells(state: DataFrame, hot: DataFrame, cells: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Running moments of the cells of hot assets continued over the other cells of the block or asset."""
+    measures = [*[moments(F.col(n)).alias(n) for n in names], F.count_if(~F.col("probe")).alias("_rows")]
+    ends = [F.min("row").alias("min"), F.max("row").alias("max")]
+    for kind, keys, backwards in (("head", [*KEYS, "block"], False), ("rest", [*KEYS, "block"], True), ("base", KEYS, False)):
+        extra = ends if kind != "base" else []
+        parts = materialized(hot.groupBy(*keys, *cells).agg(*measures, *extra))
+        carried = merged_before(parts, keys, cells, names, backwards)
+        order = [F.desc(c) if backwards else F.asc(c) for c in cells]
+        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, -1)
+        sums = parts.select(
+            *keys, *cells, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+            *([F.min("min").over(earlier).alias("_min"), F.max("max").over(earlier).alias("_max")] if extra else []),
+        )
+        # a cell that holds no row of a key has no entry there
+        table = carried.join(sums, [*keys, *cells])
+        joined = state.join(table, [*keys, *cells], "left")
+        changed = {f"{kind}_n": F.col(f"{kind}_n") + F.coalesce("_rows_before", F.lit(0))}
+        for n in names:
+            changed[f"{kind}_{n}"] = merged(F.coalesce(F.col(f"{n}_before"), none()), F.col(f"{kind}_{n}"))
+        if extra:
+            changed[f"{kind}_min"] = F.least(f"{kind}_min", "_min")
+            changed[f"{kind}_max"] = F.greatest(f"{kind}_max", "_max")
+        state = joined.withColumns(changed).select(*state.columns)
+    return state
+
+
 def per_failure(history: DataFrame, analysed: DataFrame) -> DataFrame:
     """Rows per asset and instant put on the single failures of the log."""
     return history.select(*FAILURE, "event_id").join(analysed, FAILURE)

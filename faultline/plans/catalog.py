@@ -745,6 +745,21 @@ def w12_window_statistics(spark, d):
     return rounded(rows, "window_mean", "window_sd", "first", "last", "base_mean", "base_sd")
 
 
+@query
+def w12_scaled_values(spark, d):
+    """The measured value in units of very different size: statistics in the first unit, and the same anomalies."""
+    factors = {"small": 1e-7, "plain": 1.0, "large": 1e9}
+    h = cause_history(spark, d).select("asset_id", "ts", "event_id", *[(F.col("value") * f).alias(c) for c, f in factors.items()])
+    stats = storage.materialized(rootcause.window_statistics(h, list(factors)))
+    rows = rootcause.per_failure(h, stats).select("event_id", "n_window", "n_baseline", F.inline("s"))
+    hits = rootcause.per_failure(h, rootcause.anomaly_rows(rootcause.detect_anomalies(stats)))
+    factor = F.element_at(F.create_map(*[F.lit(v) for pair in factors.items() for v in pair]), F.col("feature"))
+    return rows.join(hits.select("event_id", "feature", "z_score", "severity"), ["event_id", "feature"], "left").select(
+        "event_id", "feature", "n_window", "n_baseline", r6(F.col("window_mean") / factor).alias("window_mean"),
+        r6(F.col("base_sd") / factor).alias("base_sd"), r6("z_score").alias("z_score"), "severity",
+    )
+
+
 @query
 def c1_c2_anomalies(spark, d):
     h = cause_history(spark, d)

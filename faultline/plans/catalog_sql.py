@@ -159,8 +159,7 @@ TIMES = "times AS (SELECT DISTINCT l_quantity * CAST(7.3 AS DOUBLE) AS t FROM li
 WEEK = 7 * DAY
 
 
-def cause_ctes(width: int = WEEK, name: str = "") -> str:
-    names = ("value", "tbf", "cumulative_failures")
+def cause_ctes(width: int = WEEK, name: str = "", names: tuple[str, ...] = ("value", "tbf", "cumulative_failures")) -> str:
     w = f"OVER (PARTITION BY asset_id ORDER BY us RANGE BETWEEN {width} PRECEDING AND 1 PRECEDING)"
     b = f"OVER (PARTITION BY asset_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {width + 1} PRECEDING)"
     each = " UNION ALL ".join(
@@ -385,6 +384,11 @@ SELECT event_id, {r6('exp(-pow((t + 30) / 215.4, 1.02)) / (exp(-pow(t / 215.4, 1
 UNION ALL SELECT 'weibull', {r6('top * i / CAST(99 AS DOUBLE)')}, {r6('exp(-pow(top * i / CAST(99 AS DOUBLE) / 215.4, 1.02))')} FROM (SELECT CAST(max(tbf) AS DOUBLE) AS top FROM gaps), range(0, 100) r(i)""",
     "w12_window_statistics": f"WITH {CAUSES} SELECT event_id, n_window, n_baseline, feature, "
     + ", ".join(f"{r6(c)} AS {c}" for c in ("window_mean", "window_sd", "first", "last", "base_mean", "base_sd")) + " FROM stats",
+    "w12_scaled_values": f"WITH {HIST.replace('SELECT asset_id, event_id, us, value,', 'SELECT asset_id, event_id, us, value * 1e-7 AS small, value AS plain, value * 1e9 AS large,')}, "
+    f"{cause_ctes(names=('small', 'plain', 'large'))} SELECT s.event_id, s.feature, s.n_window, s.n_baseline, {r6('s.window_mean / f.factor')} AS window_mean, "
+    f"{r6('s.base_sd / f.factor')} AS base_sd, {r6('z.z_score')} AS z_score, z.severity FROM stats s "
+    "JOIN (VALUES ('small', CAST(1e-7 AS DOUBLE)), ('plain', 1), ('large', 1e9)) f(feature, factor) ON f.feature = s.feature "
+    "LEFT JOIN anom z ON z.event_id = s.event_id AND z.feature = s.feature",
     "c1_c2_anomalies": f"WITH {CAUSES} SELECT event_id, feature, {r6('z_score')} AS z_score, severity, {r6('window_mean')} AS window_mean, {r6('baseline_mean')} AS baseline_mean, "
     f"{r6('deviation_pct')} AS deviation_pct, impact, trend, {r6('volatility')} AS volatility FROM anom",
     "c3_similar_failures": f"""WITH {CAUSES}, {similar()} SELECT event_id, past_us AS date_us, {r6('similarity_score')} AS similarity_score, shared AS n_common, common,

@@ -29,11 +29,17 @@ def table_of(df, key="event_id"):
 
 
 def close(a, b):
-    assert len(a) == len(b)
-    for x, y in zip(a, b):
-        assert x.keys() == y.keys()
-        for k in x:
-            assert x[k] == y[k] or x[k] == pytest.approx(y[k], rel=1e-9, abs=1e-9), k
+    """Equal up to rounding, at any depth of lists and structs."""
+    if isinstance(a, list):
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            close(x, y)
+    elif isinstance(a, dict):
+        assert a.keys() == b.keys()
+        for k in a:
+            close(a[k], b[k])
+    else:
+        assert a == b or a == pytest.approx(b, rel=1e-9, abs=1e-9)
 
 
 @pytest.mark.parametrize("size", [13, 50])

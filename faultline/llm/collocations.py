@@ -8,9 +8,9 @@ the relation is merge-joined with itself at neighbouring places, which gives the
 first k and last k words are frequent; each chunk counts them, and the counts are grouped by phrase over all chunks;
 the occurrences are semi-joined with the frequent groups before the next extension.
 
-Grouping is one shuffle: a chunk sends a phrase once, with its count. Sorted rows pass a group on as soon as it has
-reached the least count and hold fewer rows than that count before, so neither a hot phrase nor a hot language gathers
-in memory; a phrase has one row per chunk at most. Phrases are told apart by ids given to the frequent groups, never by hashes.
+Grouping is one shuffle: a chunk sends a phrase once, with its count. A pass over the sorted rows sends a group's rows
+on as soon as it has reached the least count and holds fewer rows than that count before, so neither a hot phrase nor a
+hot language gathers in memory; a phrase has one row per chunk at most, and goes back packed with others of its chunk. Phrases are told apart by ids given to the frequent groups, never by hashes.
 A phrase keeps the frequencies of its beginnings and ends, which are frequent too, so all cuts are scored without
 another look at the texts. All scores use exact decimals.
 
@@ -35,6 +35,8 @@ UNKNOWN = "und"
 #: Bytes of text in a chunk, and phrases that a task sends at once.
 CHUNK = 8 << 20
 ROWS = 1 << 16
+#: Rows of frequent groups that a task packs at once.
+HELD = 1 << 18
 #: Words of a phrase, least frequency, share of a longer phrase that drops a shorter one (percent), phrases per language.
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 
@@ -114,10 +116,12 @@ def word_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterat
         yield chunk(lang)
 
 
-def frequent_groups(keys: list[str], least: int):
-    """Task over rows sorted by ``keys`` with a count ``n``: the rows of groups whose counts reach ``least``, with an ``id``.
+def frequent_groups(keys: list[str], least: int, held_rows: int = HELD):
+    """Task over rows (chunk, code, keys, n) sorted by ``keys``: the groups whose counts ``n`` reach ``least``.
 
-    At most ``least`` - 1 rows are held, those of the last group as long as it has not reached the count.
+    A frequent group gets an id and is one row (id, keys, n). Its rows go on as lists of codes and ids per
+    chunk, packed whenever ``held_rows`` have come together. Before the last group of a batch has reached the count, only its fewer than
+    ``least`` rows are held.
     """
 
     def changes(rows: pa.Table) -> np.ndarray:
@@ -131,32 +135,71 @@ def frequent_groups(keys: list[str], least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 36
-        held, reached_key, reached_id = None, None, 0
+        held, open_group, waiting, kinds = None, None, [], None
+
+        def names() -> list[str]:
+            return ["chunk", "id", *keys, "n", "codes", "ids"]
+
+        def groups(columns: list[pa.Array], ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            nothing = pa.nulls(len(ids), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), *columns, pa.array(n, pa.int64()), nothing, nothing], names()
+            )
+
+        def lists() -> pa.RecordBatch:
+            chunk, code, ids = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            order = np.argsort(chunk, kind="stable")
+            chunk, code, ids = chunk[order], code[order].astype(np.int32), ids[order]
+            begin = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+            end = np.append(begin[1:], len(chunk))
+            bounds = list(zip(begin, end, strict=True))
+            return pa.RecordBatch.from_arrays([
+                pa.array(chunk[begin]), pa.nulls(len(begin), pa.int64()), *[pa.nulls(len(begin), kind) for kind in kinds], pa.array(end - begin),
+                pa.array([packed(code[x:y]) for x, y in bounds], pa.binary()), pa.array([packed(ids[x:y]) for x, y in bounds], pa.binary()),
+            ], names())
+
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
             held = None
             if not rows.num_rows:
                 continue
-            new = changes(rows)
-            key_at = lambda i: tuple(rows.column(k)[i].as_py() for k in keys)
-            goes_on = reached_key is not None and key_at(0) == reached_key
-            group = np.cumsum(new) - 1
-            begins = np.flatnonzero(new)
+            kinds = [rows.schema.field(k).type for k in keys]
+            begins = np.flatnonzero(changes(rows))
+            of_group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, rows.num_rows)))
             sums = np.add.reduceat(rows.column("n").to_numpy(), begins)
+            heads = [rows.column(k).combine_chunks().take(pa.array(begins)) for k in keys]
+            ids = np.zeros(len(begins), np.int64)
             enough = sums >= least
-            enough[0] |= goes_on
-            ids = next_id + np.cumsum(enough) - 1 - int(goes_on)
+            goes_on = open_group is not None and tuple(h[0].as_py() for h in heads) == open_group[0]
+            if open_group is not None and not goes_on:
+                yield groups([pa.array([v], kind) for v, kind in zip(open_group[0], kinds, strict=True)], np.array([open_group[1]]), np.array([open_group[2]]))
+            if goes_on:
+                enough[0], sums[0] = True, sums[0] + open_group[2]
+            new = enough.copy()
+            new[0] &= not goes_on
+            ids[new] = next_id + np.arange(new.sum())
+            next_id += int(new.sum())
             if goes_on:
-                ids[0] = reached_id
-            next_id += int(enough.sum()) - int(goes_on)
+                ids[0] = open_group[1]
+            # the last group may go on in the next batch: its sum, or its rows, wait
             if enough[-1]:
-                reached_key, reached_id = key_at(rows.num_rows - 1), int(ids[-1])
+                open_group = (tuple(h[-1].as_py() for h in heads), int(ids[-1]), int(sums[-1]))
             else:
-                held, reached_key = rows.slice(int(begins[-1])), None
-            keep = enough[group]
-            out = rows.filter(pa.array(keep)).append_column("id", pa.array(ids[group[keep]], pa.int64()))
-            yield from out.to_batches()
+                held, open_group = rows.slice(int(begins[-1])), None
+            done = enough.copy()
+            done[-1] = False
+            if done.any():
+                yield groups([h.filter(pa.array(done)) for h in heads], ids[done], sums[done])
+            keep = enough[of_group]
+            waiting.append((rows.column("chunk").to_numpy()[keep], rows.column("code").to_numpy()[keep], ids[of_group[keep]]))
+            if sum(len(w[0]) for w in waiting) >= held_rows:
+                yield lists()
+        if open_group is not None:
+            yield groups([pa.array([v], kind) for v, kind in zip(open_group[0], kinds, strict=True)], np.array([open_group[1]]), np.array([open_group[2]]))
+        if any(len(w[0]) for w in waiting):
+            yield lists()
 
     return run
 
@@ -174,7 +217,9 @@ def _relation(chunk: int, places: np.ndarray, codes: np.ndarray, ids: np.ndarray
 
 def _semi_join(chunk: int, places: np.ndarray, codes: np.ndarray, size: int, kept: pa.Table) -> pa.Table:
     """Occurrences whose code is kept, numbered anew in the order of the ids."""
-    at, ids = kept.column("code").to_numpy(), kept.column("id").to_numpy()
+    lists = kept.to_pylist()
+    at = np.concatenate([unpacked(r["codes"], r["n"], np.int32) for r in lists])
+    ids = np.concatenate([unpacked(r["ids"], r["n"], np.int64) for r in lists])
     order = np.argsort(ids)
     number = np.full(size, -1, np.int64)
     number[at[order]] = np.arange(len(at))
@@ -227,16 +272,18 @@ def _frequent_phrases(relation: pa.Table, kept: pa.Table) -> pa.Table:
     return _semi_join(row["chunk"], places, number, len(first), kept)
 
 
-def _kept(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Frequent groups among counted rows, still one row per chunk, written as a table."""
-    kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "id long"])
-    return materialized(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frequent_groups(keys, least), kind))
+def _kept(rows: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame]:
+    """(frequent groups: id, keys, f; their rows as lists per chunk) of counted rows, written as a table."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    found = materialized(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        frequent_groups(keys, least), f"chunk long, id long, {kinds}, n long, codes binary, ids binary"
+    ))
+    return found.where("id IS NOT NULL").select("id", *keys, F.col("n").alias("f")), found.where("id IS NULL").select("chunk", "n", "codes", "ids")
 
 
 def _joined(relation: DataFrame, kept: DataFrame, task) -> DataFrame:
     """The relation with only the occurrences of frequent groups, chunk by chunk."""
-    both = relation.groupBy("chunk").cogroup(kept.select("chunk", "code", "id").groupBy("chunk"))
-    return materialized(both.applyInArrow(task, RELATION_KIND))
+    return materialized(relation.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(task, RELATION_KIND))
 
 
 def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
@@ -251,9 +298,8 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tup
     counted = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select(
         "chunk", "code", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n")
     )
-    kept = _kept(counted, ["lang", "word"], least)
-    f = F.sum("n").alias("f")
-    levels = [materialized(kept.groupBy("id", "lang", "word").agg(f).select(
+    groups, kept = _kept(counted, ["lang", "word"], least)
+    levels = [materialized(groups.select(
         "id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
         F.array("f").alias("heads"), F.array("f").alias("tails"),
     ))]
@@ -262,11 +308,10 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tup
     for k in range(2, longest + 1):
         extended = relation.mapInArrow(_extended, EXTENDED_KIND)
         if k < longest:
-            kept = _kept(extended, ["a", "b"], least)
-            groups = kept.groupBy("id", "a", "b").agg(f)
+            groups, kept = _kept(extended, ["a", "b"], least)
             relation = _joined(relation, kept, _frequent_phrases)
         else:
-            groups = extended.groupBy("a", "b").agg(f).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
+            groups = extended.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
         first = levels[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("first_words"), F.col("heads").alias("h"))
         last = levels[-1].select(F.col("id").alias("b"), "last", F.col("tails").alias("t"))
         levels.append(materialized(groups.join(first, "a").join(last, "b").select(

@@ -86,25 +86,32 @@ def test_small_chunks_and_batches_give_the_same(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_groups_that_cross_batches_pass_once_and_keep_their_id(spark):
-    def one(names, counts):
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["k", "n"])
-
-    def batches(parts):
-        task = collocations.frequent_groups(["k"], 5)
-
-        def run(_):
-            out = [r for b in task(iter(parts)) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r["k"] for r in out]), pa.array([r["n"] for r in out], pa.int64()), pa.array([r["id"] for r in out], pa.int64())], ["k", "n", "id"])
-
-        return [tuple(r) for r in spark.range(1).repartition(1).mapInArrow(run, "k string, n long, id long").collect()]
-
-    out = batches([one(["a", "a", "b"], [1, 2, 4]), one([], []), one(["b", "c"], [1, 9]), one(["c"], [1]), one(["c", "d", "e"], [1, 4, 5])])
-    assert [(k, n) for k, n, _ in out] == [("b", 4), ("b", 1), ("c", 9), ("c", 1), ("c", 1), ("e", 5)]
-    ids = defaultdict(set)
-    for k, _, i in out:
-        ids[k].add(i)
-    assert all(len(v) == 1 for v in ids.values()) and len(set().union(*ids.values())) == 3
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_groups_that_cross_batches_pass_once_and_keep_their_id(spark, held):
+    parts = [("aab", [1, 2, 4]), ("", []), ("bc", [1, 9]), ("c", [1]), ("cde", [1, 4, 5]), ("ef", [2, 1])]
+
+    def run(_):
+        numbers = iter(range(100))
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array([i % 2 for i, _ in enumerate(k)], pa.int64()), pa.array([next(numbers) for _ in k], pa.int32()), pa.array(list(k), pa.string()), pa.array(n, pa.int64())],
+                ["chunk", "code", "k", "n"],
+            ) for k, n in parts
+        ]
+        for batch in collocations.frequent_groups(["k"], 5, held)(iter(batches)):
+            out = []
+            for r in batch.to_pylist():
+                if r["id"] is not None:
+                    out.append((r["k"], r["id"], r["n"], -1, -1))
+                    continue
+                codes, ids = (collocations.unpacked(r[c], r["n"], kind) for c, kind in (("codes", "i4"), ("ids", "i8")))
+                out += [(None, int(i), 0, r["chunk"], int(c)) for c, i in zip(codes, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate([pa.string(), *[pa.int64()] * 4])], ["k", "id", "n", "chunk", "code"])
+
+    out = spark.range(1).repartition(1).mapInArrow(run, "k string, id long, n long, chunk long, code long").collect()
+    names = {r["id"]: r["k"] for r in out if r["k"]}
+    assert {r["k"]: r["n"] for r in out if r["k"]} == {"b": 5, "c": 11, "e": 7} and len(names) == 3
+    assert sorted((names[r["id"]], r["code"]) for r in out if not r["k"]) == [("b", 2), ("b", 3), ("c", 4), ("c", 5), ("c", 6), ("e", 8), ("e", 9)]
 
 
 def test_places_leave_one_out_between_pieces():

@@ -39,6 +39,8 @@ from faultline.sources.storage import discard, materialized
 SHINGLE = 4
 PERCENT = 85
 DIVISIONS = 8
+#: Signatures that a task sends at once.
+ROWS = 1 << 17
 #: Sets of one block in the comparison of nodes outside their pivot's component.
 BLOCK = 500
 
@@ -169,9 +171,16 @@ def with_set_key(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") ->
 
 
 def _emit(shingle: int, percent: int):
+    """Rows (sig, node) of the distinct sets of a batch, in runs of about ROWS signatures."""
+
+    def rows(sigs: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(textkit.signed(np.concatenate(sigs))), pa.array(np.repeat(np.array(keys), [len(s) for s in sigs]))], ["sig", "node"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, keys, sigs, counts = set(), [], [], []
+            seen, keys, sigs, size = set(), [], [], 0
             for _, elements in sets_of(batch.column(0), shingle):
                 key = set_key(elements) if len(elements) else None
                 if key is None or key in seen:
@@ -179,11 +188,12 @@ def _emit(shingle: int, percent: int):
                 seen.add(key)
                 sigs.append(signatures(elements, percent))
                 keys.append(key)
-                counts.append(len(sigs[-1]))
+                size += len(sigs[-1])
+                if size >= ROWS:
+                    yield rows(sigs, keys)
+                    keys, sigs, size = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(textkit.signed(np.concatenate(sigs))), pa.array(np.repeat(np.array(keys), counts))], ["sig", "node"]
-                )
+                yield rows(sigs, keys)
 
     return run
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,6 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
-from pyspark.sql import functions as F
 
 from faultline.llm import bytebpe, textkit
 
@@ -64,9 +64,13 @@ def test_long_text_and_forgotten_words(spark, monkeypatch):
 
 
 def test_input_that_changes_between_two_reads_ends_the_job(spark):
-    d = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(F.lit("word "), F.uuid()).alias("text"))
+    def texts(batches):
+        for batch in batches:
+            words = [str(time.time_ns()) for _ in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words)], ["doc_id", "text"])
+
     with pytest.raises(Exception, match="changed between two reads"):
-        bytebpe.encode(d, PATH).collect()
+        bytebpe.encode(spark.range(1).mapInArrow(texts, "doc_id long, text string"), PATH).collect()
 
 
 def test_empty_table(spark):

@@ -21,6 +21,7 @@ MIN_SIMILARITY = 0.3
 TOP_SIMILAR = 5
 TOP_CAUSES = 5
 TOP_ADVISED = 3
+WORD_BITS = 62
 FAILURE = [*KEYS, "ts"]  # failures of an asset at one instant share their analysis
 
 
@@ -193,6 +194,61 @@ def _signature(anomalies: str = "anomalies") -> Column:
     return F.array_sort(F.transform(anomalies, lambda a: a["feature"]))
 
 
+def _mask(names: Column | str, order: Sequence[str]) -> Column:
+    """A set of names as words of ``WORD_BITS`` bits; bit i stands for the i-th name of ``order``."""
+    place = F.create_map(*[F.lit(v) for i, n in enumerate(order) for v in (n, i)])
+    known = F.filter(F.transform(names, lambda n: F.get(F.array(place[n]), F.lit(0))), lambda i: i.isNotNull())
+    size = -(-len(order) // WORD_BITS)
+
+    def word(w: int) -> Column:
+        own = F.filter(known, lambda i: F.floor(i / F.lit(WORD_BITS)) == w)
+        one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i % WORD_BITS)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(one(i)))
+
+    return F.array(*[word(w) for w in range(size)])
+
+
+def _has(mask: Column, place: Column) -> Column:
+    word = F.get(mask, F.floor(place / F.lit(WORD_BITS)).cast("int"))
+    return F.call_function("shiftright", word, place % WORD_BITS).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _common(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def _bits(mask: Column) -> Column:
+    return F.aggregate(mask, F.lit(0), lambda acc, w: acc + F.bit_count(w))
+
+
+def similar_sets(now: DataFrame, past: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """Pairs of sets of an asset where the past one holds at least ``least`` of the current one.
+
+    ``now``: asset_id, now_mask, n_now (its size); ``past``: asset_id, past_mask; each set once. Adds ``common_mask`` and ``shared``.
+
+    A past set that holds m of the n features of a current set holds one of any n - m + 1 of them. Those are chosen by
+    rarity among the past sets of the asset, and only they are joined; a pair that meets on several counts where it meets
+    on the rarest. Masks decide what the pair shares.
+    """
+    bits = lambda mask: F.filter(
+        F.sequence(F.lit(0), F.size(mask) * WORD_BITS - 1), lambda i: _has(F.col(mask), i)
+    )
+    index = past.select(*KEYS, "past_mask", F.explode(bits("past_mask")).alias("place"))
+    counts = index.groupBy(*KEYS, "place").agg(F.count(F.lit(1)).alias("n"))
+    rarest = counts.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("n", "place"))).alias("_rarest"))
+    held = F.filter(F.transform("_rarest", lambda r: r["place"]), lambda i: _has(F.col("now_mask"), i))
+    wanted = F.ceil(F.col("n_now") * F.lit(least) - 1e-9).cast("int")
+    prefix = F.slice("_held", 1, F.greatest(F.size("_held") - F.greatest(wanted, F.lit(1)) + 1, F.lit(0)))
+    asked = now.join(rarest, KEYS).withColumn("_held", held).withColumn("_prefix", prefix).select(
+        *now.columns, "_prefix", F.explode("_prefix").alias("place")
+    )
+    met = asked.join(index, [*KEYS, "place"])
+    rarest_met = F.get(F.filter("_prefix", lambda i: _has(F.col("past_mask"), i)), F.lit(0))
+    pairs = met.where(rarest_met == F.col("place")).withColumn("common_mask", _common("now_mask", "past_mask"))
+    pairs = pairs.withColumn("shared", _bits(F.col("common_mask"))).where(F.col("shared") / F.col("n_now") >= least)
+    return pairs.select(*now.columns, "past_mask", "common_mask", "shared")
+
+
 def similar_failures(current: DataFrame, past: DataFrame) -> DataFrame:
     """Add ``similar``: up to five earlier failures of the asset with the most shared anomalies.
 
@@ -201,37 +257,42 @@ def similar_failures(current: DataFrame, past: DataFrame) -> DataFrame:
     scores the earliest failures win. Failures are first reduced to the distinct sets of
     anomalous features of the asset, each with its five earliest dates; per current set
     the five earliest dates of each score level then suffice for any later failure, at
-    most 5 x features entries, so the rows of an asset are never paired with each other.
+    most 5 x features entries, so the rows of an asset are never paired with each other, and
+    sets only where they share a rare feature (:func:`similar_sets`).
     """
-    now = current.withColumn("_set", _signature())
-    before = past.select(*FAILURE, _signature().alias("past_set")).where(F.size("past_set") > 0)
-    order = Window.partitionBy(*KEYS, "past_set").orderBy("ts")
-    dates = before.select("*", F.row_number().over(order).alias("_n")).where(
-        F.col("_n") <= TOP_SIMILAR
-    )
-    dates = dates.groupBy(*KEYS, "past_set").agg(F.collect_list("ts").alias("dates"))
-    sets = now.where(F.size("_set") > 0).select(*KEYS, F.col("_set").alias("now_set")).distinct()
-    common = F.array_intersect("now_set", "past_set")
-    pairs = sets.join(dates, KEYS).where(F.arrays_overlap("now_set", "past_set")).select(
-        *KEYS, "now_set", common.alias("common"), F.size(common).alias("shared"), F.explode("dates").alias("date")
-    ).where(F.col("shared") / F.size("now_set") >= MIN_SIMILARITY)
+    found = past.select(*FAILURE, _signature().alias("past_set")).where(F.size("past_set") > 0)
+    # the names of the features that were ever anomalous: at most as many as there are features
+    order = sorted(r["f"] for r in found.select(F.explode("past_set").alias("f")).distinct().collect())
+    if not order:
+        kind = f"date {past.schema['ts'].dataType.simpleString()}, similarity_score double, common_anomalies array<string>, days_ago long"
+        return current.withColumn("similar", F.array().cast(f"array<struct<{kind.replace(' ', ':')}>>".replace(",:", ",")))
+    now = current.withColumn("n_now", F.size("anomalies")).withColumn("now_mask", _mask(_signature(), order))
+    before = found.select(*FAILURE, _mask("past_set", order).alias("past_mask"))
+    by_date = Window.partitionBy(*KEYS, "past_mask").orderBy("ts")
+    dates = before.select("*", F.row_number().over(by_date).alias("_n")).where(F.col("_n") <= TOP_SIMILAR)
+    dates = materialized(dates.groupBy(*KEYS, "past_mask").agg(F.sort_array(F.collect_list("ts")).alias("dates")))
+    sets = now.where(F.col("n_now") > 0).select(*KEYS, "now_mask", "n_now").distinct()
+    pairs = similar_sets(sets, dates.select(*KEYS, "past_mask")).join(dates, [*KEYS, "past_mask"])
     # two past sets may share the same features with the current one: rank by level
-    level = Window.partitionBy(*KEYS, "now_set", "shared").orderBy("date", "common")
-    kept = pairs.select("*", F.row_number().over(level).alias("_n")).where(F.col("_n") <= TOP_SIMILAR)
-    entry = F.struct(
-        (-F.col("shared") / F.size("now_set")).alias("order_key"), F.col("date"), F.col("common")
-    )
-    lists = kept.groupBy(*KEYS, F.col("now_set").alias("_set")).agg(
-        F.array_sort(F.collect_list(entry)).alias("_candidates")
-    )
+    dated = pairs.select(*KEYS, "now_mask", "n_now", "common_mask", "shared", F.explode("dates").alias("date"))
+    level = Window.partitionBy(*KEYS, "now_mask", "n_now", "shared").orderBy("date", "common_mask")
+    kept = dated.select("*", F.row_number().over(level).alias("_n")).where(F.col("_n") <= TOP_SIMILAR)
+    entry = F.struct((-F.col("shared") / F.col("n_now")).alias("order_key"), "date", "common_mask")
+    own = [*KEYS, "now_mask", "n_now"]
+    lists = kept.groupBy(*own).agg(F.array_sort(F.collect_list(entry)).alias("_candidates"))
     earlier = F.filter("_candidates", lambda c: c["date"] < F.col("ts"))
-    similar = F.transform(F.slice(F.coalesce(earlier, F.array()), 1, TOP_SIMILAR), lambda c: F.struct(
-        c["date"].alias("date"),
-        (-c["order_key"]).alias("similarity_score"),
-        c["common"].alias("common_anomalies"),
-        floor_days(F.col("ts"), c["date"]).alias("days_ago"),
-    ))
-    return now.join(lists, [*KEYS, "_set"], "left").select(*current.columns, similar.alias("similar"))
+    names = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("name")) for i, n in enumerate(order)])
+
+    def shown(c: Column) -> Column:
+        common = F.transform(F.filter(names, lambda n: _has(c["common_mask"], n["place"])), lambda n: n["name"])
+        return F.struct(
+            c["date"].alias("date"), (-c["order_key"]).alias("similarity_score"),
+            common.alias("common_anomalies"),
+            floor_days(F.col("ts"), c["date"]).alias("days_ago"),
+        )
+
+    similar = F.transform(F.slice(F.coalesce(earlier, F.array()), 1, TOP_SIMILAR), shown)
+    return now.join(lists, own, "left").select(*current.columns, similar.alias("similar"))
 
 
 def _words(feature: Column) -> Column:

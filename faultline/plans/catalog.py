@@ -776,6 +776,23 @@ def c3_similar_failures(spark, d):
     )
 
 
+@query
+def c3_similar_failures_wide(spark, d):
+    """Similar failures over seven features, so that the sets of an asset differ."""
+    value, tbf = F.col("value"), F.col("tbf")
+    h = cause_history(spark, d).select(
+        "asset_id", "ts", "event_id", "value", "tbf", "cumulative_failures", (value * value).alias("square"),
+        (value / (tbf + 1)).alias("rate"), F.hour("ts").cast("double").alias("hour"), (value * F.hour("ts")).alias("late"),
+    )
+    names = ["value", "tbf", "cumulative_failures", "square", "rate", "hour", "late"]
+    now = storage.materialized(rootcause.detect_anomalies(rootcause.window_statistics(h, names)))
+    rows = rootcause.per_failure(h, rootcause.similar_failures(now, now)).select("event_id", F.inline("similar"))
+    return rows.select(
+        "event_id", F.unix_micros("date").alias("date_us"), r6("similarity_score").alias("similarity_score"),
+        F.array_join("common_anomalies", ",").alias("common"), "days_ago",
+    )
+
+
 @query
 def c4_c6_causes(spark, d):
     rows = rootcause.rank_causes(found(spark, d)).select("event_id", F.posexplode("causes"))

@@ -180,6 +180,8 @@ anom{name} AS (SELECT asset_id, event_id, us, feature, z_score, n_window,
 
 HIST = f"{LOG_B}, {series('log_b')}, hist AS (SELECT asset_id, event_id, us, value, coalesce(tbf, 0) AS tbf, cumulative_failures FROM series)"
 CAUSES = f"{HIST}, {cause_ctes()}"
+HOUR = "CAST(hour(make_timestamp(us)) AS DOUBLE)"
+WIDE = f"value * value AS square, value / (coalesce(tbf, 0) + 1) AS rate, {HOUR} AS hour, value * {HOUR} AS late"
 
 
 def similar(past: str = "anom") -> str:
@@ -393,6 +395,9 @@ UNION ALL SELECT 'weibull', {r6('top * i / CAST(99 AS DOUBLE)')}, {r6('exp(-pow(
     f"{r6('deviation_pct')} AS deviation_pct, impact, trend, {r6('volatility')} AS volatility FROM anom",
     "c3_similar_failures": f"""WITH {CAUSES}, {similar()} SELECT event_id, past_us AS date_us, {r6('similarity_score')} AS similarity_score, shared AS n_common, common,
   {days('us', 'past_us')} AS days_ago FROM sim""",
+    "c3_similar_failures_wide": f"""WITH {HIST.replace('AS tbf, cumulative_failures FROM', 'AS tbf, cumulative_failures, ' + WIDE + ' FROM')},
+{cause_ctes(names=("value", "tbf", "cumulative_failures", "square", "rate", "hour", "late"))}, {similar()}
+SELECT event_id, past_us AS date_us, {r6('similarity_score')} AS similarity_score, common, {days('us', 'past_us')} AS days_ago FROM sim""",
     "c4_c6_causes": f"""WITH {CAUSES}, {similar()}, {RANKED} SELECT event_id, pos, feature AS cause_feature, {r6('probability_score')} AS probability_score, confidence,
   times AS historical_recurrence, severity, {WORDS} || ': ' || lower(impact) || ' de ' || printf('%.1f', abs(deviation_pct)) || '% em relação ao baseline'
   || CASE trend WHEN 'estável' THEN '' ELSE ' (tendência ' || trend || ')' END AS description FROM causes""",

@@ -849,6 +849,26 @@ def j1_match_outcomes(spark, d):
     return history(spark, d).select("prediction_id", "outcome", us("occurred_at"))
 
 
+def logged_predictions(spark, d):
+    """Predictions with a place in the log; about half of the outcomes are registered before a given one."""
+    seq = F.pmod(F.col("prediction_id") * 104729, F.lit(1_000_003))
+    return star_schema.prediction_history(spark, d).withColumn("logged_seq", seq)
+
+
+@query
+def j1_logged_order(spark, d):
+    out = feedback.match_logged_outcomes(logged_predictions(spark, d), star_schema.outcomes(spark, d))
+    return out.select("prediction_id", "outcome", us("occurred_at"))
+
+
+@query
+def j1_logged_order_cut(spark, d):
+    """Outcomes matched per region instead of customer: long ranges, and assets and blocks cut into cells."""
+    by_region = lambda df: df.withColumn("asset_id", F.pmod(F.col("asset_id").cast("long"), F.lit(3)).cast("string"))
+    out = feedback.match_logged_outcomes(by_region(logged_predictions(spark, d)), by_region(star_schema.outcomes(spark, d)), hot_rows=500)
+    return out.select("prediction_id", "outcome", us("occurred_at"))
+
+
 @query
 def j1_match_outcomes_cut(spark, d):
     """Outcomes matched per region instead of customer: many per asset and day, cut further."""

@@ -465,5 +465,13 @@ spans AS (SELECT asset_id, predicted_at, horizon, arg_min(failed, seq) AS outcom
   (SELECT DISTINCT asset_id, predicted_at, horizon FROM pred) p JOIN outc USING (asset_id)
   WHERE outc.occurred_at >= p.predicted_at AND outc.occurred_at < p.predicted_at + (p.horizon + 1) * INTERVAL 1 DAY GROUP BY ALL)
 SELECT prediction_id, outcome, epoch_us(occurred_at) AS occurred_at_us FROM pred LEFT JOIN spans USING (asset_id, predicted_at, horizon)"""
+for _name, _asset in (("j1_logged_order", "o_custkey"), ("j1_logged_order_cut", "o_custkey % 3")):
+    SQL[_name] = f"""WITH pred AS (SELECT o_orderkey * 100 + h AS prediction_id, {_asset} AS asset_id, o_orderdate AS predicted_at, h AS horizon,
+  ((o_orderkey * 100 + h) * 104729) % 1000003 AS logged FROM orders, (VALUES (15), (30)) t(h)),
+outc AS (SELECT {_asset} AS asset_id, o_orderdate + INTERVAL 30 HOURS AS occurred_at,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS failed, (o_orderkey * 7919) % 1000003 AS seq FROM orders WHERE o_orderkey % 4 <> 0),
+spans AS (SELECT prediction_id, arg_min(failed, seq) AS outcome, arg_min(occurred_at, seq) AS occurred_at FROM pred p JOIN outc USING (asset_id)
+  WHERE outc.occurred_at >= p.predicted_at AND outc.occurred_at < p.predicted_at + (p.horizon + 1) * INTERVAL 1 DAY AND seq > logged GROUP BY ALL)
+SELECT prediction_id, outcome, epoch_us(occurred_at) AS occurred_at_us FROM pred LEFT JOIN spans USING (prediction_id)"""
 SQL["st1_outcome_feed"] = SQL["j1_match_outcomes"]
 SQL["st1_stream_join"] = SQL["j1_match_outcomes"] + " WHERE outcome IS NOT NULL"

@@ -8,7 +8,7 @@ from .. import constants as K
 from ..functions.days import micros
 from ..functions.risk import action_for, interval_bounds, interval_text, risk_class
 from ..functions.text import normalized_text
-from ..operators import attribution, cleaning, features, feedback, metrics, quantiles, rootcause
+from ..operators import attribution, cleaning, features, feedback, isotonic, metrics, quantiles, rootcause
 from ..operators import sampling, scoring, survival, targets, training, validation
 from ..operators.stacking import base_probabilities, with_probability
 from ..sources import delimited, model_store, star_schema, storage, work_orders as orders_source
@@ -1024,6 +1024,26 @@ def m2_boosting_isotonic(spark, d):
     return with_probability(out["GradientBoosting"]["model"], t.where("split = 'test'")).select("event_id", "y", "p")
 
 
+def score_counts(spark, d) -> DataFrame:
+    """Weight and positives of every distinct score of the two scored models."""
+    return star_schema.scored_orders(spark, d).groupBy("model", F.col("p").alias("s")).agg(
+        F.count(F.lit(1)).alias("w"), F.sum("y").alias("p")
+    )
+
+
+@query
+def m4_isotonic(spark, d):
+    out = isotonic.isotonic_blocks(score_counts(spark, d), ["model"])
+    return rounded(out, "first", "last", "weight", "value")
+
+
+@query
+def m4_isotonic_cut(spark, d):
+    """The same from many small ranges of scores, merged three at a time."""
+    out = isotonic.isotonic_blocks(score_counts(spark, d), ["model"], size=40, merged=3)
+    return rounded(out, "first", "last", "weight", "value")
+
+
 @query
 def m6_grid_search(spark, d):
     model, best = training.grid_search(training_table(spark, d), MODEL_FEATURES, trees=[5], depths=[3, 5], min_rows=[1], folds=3)

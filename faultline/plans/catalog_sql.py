@@ -473,5 +473,13 @@ outc AS (SELECT {_asset} AS asset_id, o_orderdate + INTERVAL 30 HOURS AS occurre
 spans AS (SELECT prediction_id, arg_min(failed, seq) AS outcome, arg_min(occurred_at, seq) AS occurred_at FROM pred p JOIN outc USING (asset_id)
   WHERE outc.occurred_at >= p.predicted_at AND outc.occurred_at < p.predicted_at + (p.horizon + 1) * INTERVAL 1 DAY AND seq > logged GROUP BY ALL)
 SELECT prediction_id, outcome, epoch_us(occurred_at) AS occurred_at_us FROM pred LEFT JOIN spans USING (prediction_id)"""
+# the fitted value of a score is the largest, over the starts before it, of the smallest mean up to an end after it
+SQL["m4_isotonic"] = SQL["m4_isotonic_cut"] = f"""WITH {SCORED}, c AS (SELECT model, p AS s, count(*) AS w, sum(y) AS p FROM scored GROUP BY ALL),
+n AS (SELECT *, row_number() OVER o AS i, CAST(sum(w) OVER o AS DOUBLE) AS cw, CAST(sum(p) OVER o AS DOUBLE) AS cp FROM c WINDOW o AS (PARTITION BY model ORDER BY s)),
+j AS (SELECT a.model, a.i AS j, b.i AS k, (b.cp - a.cp + a.p) / (b.cw - a.cw + a.w) AS mean FROM n a JOIN n b ON a.model = b.model AND a.i <= b.i),
+l AS (SELECT model, j, k AS i, min(mean) OVER (PARTITION BY model, j ORDER BY k DESC) AS low FROM j),
+f AS (SELECT model, i, round(max(low), 12) AS value FROM l GROUP BY model, i)
+SELECT model, {r6('min(s)')} AS first, {r6('max(s)')} AS last, {r6('CAST(sum(w) AS DOUBLE)')} AS weight, {r6('value')} AS value
+FROM f JOIN n USING (model, i) GROUP BY model, f.value"""
 SQL["st1_outcome_feed"] = SQL["j1_match_outcomes"]
 SQL["st1_stream_join"] = SQL["j1_match_outcomes"] + " WHERE outcome IS NOT NULL"

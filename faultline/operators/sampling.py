@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import random
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.storage import materialized
 from .ordered import blocks_around, ranked, split_cells
 
-NEIGHBOURS, ORDERS, BLOCK = 5, 3, 100_000
+NEIGHBOURS, BLOCK = 5, 100_000
+#: Pivots of the neighbour search at most, and places of one cell of a ring.
+PIVOTS, RING = 128, 1000
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -17,40 +20,65 @@ def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def near_neighbours(
-    points: DataFrame, k: int = NEIGHBOURS, orders: int = ORDERS, seed: int = 42
-) -> DataFrame:
-    """``_key, _x`` -> the same plus ``near``, the k closest of the rows met in the orders.
+def _along(rows: DataFrame, keys: list[str], by: str, k: int) -> DataFrame:
+    """``rows`` (with a vector ``_x``) plus ``_met``: the vectors of the k rows before and after along ``by``, and ``_at``: the rank."""
+    split, cells = split_cells(rows, keys, [by], BLOCK)
+    at = ranked(split, keys, cells, [by, "_x"], "_at")
+    home, every = blocks_around(F.col("_at"), BLOCK, k, k)
+    around = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(-k, k)
+    out = at.withColumn("_home", home).withColumn("_block", F.explode(every)).withColumn("_met", F.collect_list("_x").over(around))
+    return out.where("_block = _home").select(*rows.columns, "_at", "_met")
+
+
+def near_neighbours(points: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS) -> DataFrame:
+    """``_key, _x`` -> the same plus ``near``: the k closest other rows (``d``, ``key``, ``x``), ties to the smaller key. Exact.
 
-    The rows are put in order along ``orders`` random directions and each row meets the k
-    rows on either side of it in every order; the k closest by Euclidean distance are kept.
-    The search is approximate: a true neighbour that is not next to the row along any of the
-    directions is not met. Its cost is fixed per row, also where many rows lie close together.
+    Rows of one place are first reduced to their k + 1 smallest keys. The places are dealt to the nearest of a few pivots and
+    ordered by their distance to it. The k places on either side in that order give an upper bound of the k-th distance. By the
+    triangle inequality a closer place of another pivot lies in a ring around that pivot no wider than the bound on either
+    side; rings are cut into cells of equal size, and only the cells that the ring touches are visited.
     """
-    size = points.select(F.size("_x").alias("n")).first()["n"]
-    rng = random.Random(seed)
-    met = None
-    for _ in range(orders):
-        direction = F.array(*[F.lit(rng.gauss(0.0, 1.0)) for _ in range(size)])
-        along = F.aggregate(F.zip_with("_x", direction, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
-        placed = points.select("_key", "_x", along.alias("_p"), F.lit(0).alias("_one"))
-        # the rows count as one key, cut into cells along the direction
-        split, cells = split_cells(placed, ["_one"], ["_p"], BLOCK)
-        at = ranked(split, ["_one"], cells, ["_p", "_key"], "_at")
-        home, every = blocks_around(F.col("_at"), BLOCK, k, k)
-        rows = at.select("_key", "_x", "_at", home.alias("_home"), F.explode(every).alias("_block"))
-        around = Window.partitionBy("_block").orderBy("_at").rowsBetween(-k, k)
-        side = rows.select(
-            "_key", "_x", "_home", "_block",
-            F.collect_list(F.struct(F.col("_key").alias("key"), F.col("_x").alias("x"))).over(around).alias("_met"),
-        ).where("_block = _home").select("_key", "_x", "_met")
-        met = side if met is None else met.unionByName(side)
-    joined = met.groupBy("_key").agg(F.first("_x").alias("_x"), F.flatten(F.collect_list("_met")).alias("_met"))
-    others = F.filter(F.array_distinct("_met"), lambda m: m["key"] != F.col("_key"))
-    sized = F.array_sort(F.transform(others, lambda m: F.struct(
-        _distance(m["x"], F.col("_x")).alias("d"), m["key"].alias("key"), m["x"].alias("x")
-    )))
-    return joined.select("_key", "_x", F.slice(sized, 1, k).alias("near"))
+    order = Window.partitionBy("_x").orderBy("_key")
+    few = points.select("_key", "_x", F.row_number().over(order).alias("_n")).where(F.col("_n") <= k + 1)
+    places = materialized(few.groupBy("_x").agg(F.sort_array(F.collect_list("_key")).alias("_keys")))
+    total = places.count()
+    wanted = max(1, min(pivots, total // (10 * k)))
+    chosen = [r["_x"] for r in places.select("_x").orderBy(F.xxhash64("_x"), "_x").limit(wanted).collect()]
+    if not chosen:
+        near = f"array<struct<d:double,key:{points.schema['_key'].dataType.simpleString()},x:array<double>>>"
+        return points.select("_key", "_x", F.array().cast(near).alias("near"))
+    literal = F.array(*[F.struct(F.lit(i).alias("p"), F.array(*[F.lit(v) for v in x]).alias("x")) for i, x in enumerate(chosen)])
+    distances = F.transform(literal, lambda c: F.struct(F.sqrt(_distance(F.col("_x"), c["x"])).alias("r"), c["p"].alias("p")))
+    dealt = places.withColumn("_near", F.array_min(distances)).select("_x", "_keys", F.col("_near.p").alias("_p"), F.col("_near.r").alias("_r"))
+    met = _along(dealt, ["_p"], "_r", k)
+    others = F.filter("_met", lambda x: x != F.col("_x"))
+    sized = F.array_sort(F.transform(others, lambda x: F.sqrt(_distance(x, F.col("_x")))))
+    bound = F.coalesce(F.get(sized, F.lit(k - 1)), F.lit(math.inf)) * (1 + 1e-9) + 1e-12
+    rows = materialized(met.select(
+        "_x", "_keys", "_p", "_r", F.floor((F.col("_at") - 1) / F.lit(RING)).cast("long").alias("_cell"), bound.alias("_bound")
+    ))
+    # one row per RING places
+    cells = rows.groupBy("_p", "_cell").agg(F.min("_r").alias("_low"), F.max("_r").alias("_high"))
+    asked = rows.select(F.col("_x").alias("_from"), "_bound", F.explode(F.transform(literal, lambda c: F.struct(
+        c["p"].alias("p"), F.sqrt(_distance(F.col("_x"), c["x"])).alias("r")
+    ))).alias("c")).select("_from", "_bound", F.col("c.p").alias("_p"), F.col("c.r").alias("_to"))
+    touched = asked.join(cells, "_p").where(
+        (F.col("_low") <= F.col("_to") + F.col("_bound")) & (F.col("_high") >= F.col("_to") - F.col("_bound"))
+    ).select("_from", "_bound", "_to", "_p", "_cell")
+    pairs = touched.join(rows.select("_x", "_keys", "_p", "_r", "_cell"), ["_p", "_cell"]).where(
+        (F.abs(F.col("_r") - F.col("_to")) <= F.col("_bound")) & (F.col("_x") != F.col("_from"))
+    ).withColumn("_d", F.sqrt(_distance(F.col("_x"), F.col("_from")))).where(F.col("_d") <= F.col("_bound"))
+    each = pairs.select("_from", "_d", "_x", F.explode(F.slice("_keys", 1, k)).alias("_other"))
+    closest = Window.partitionBy("_from").orderBy("_d", "_other")
+    kept = each.select("*", F.row_number().over(closest).alias("_n")).where(F.col("_n") <= k)
+    entry = F.struct(F.col("_d").alias("d"), F.col("_other").alias("key"), F.col("_x").alias("x"))
+    lists = kept.groupBy(F.col("_from").alias("_x")).agg(F.collect_list(entry).alias("_others"))
+    joined = points.join(places, "_x").join(lists, "_x", "left")
+    same = F.transform(F.filter("_keys", lambda o: o != F.col("_key")), lambda o: F.struct(
+        F.lit(0.0).alias("d"), o.alias("key"), F.col("_x").alias("x")
+    ))
+    every = F.concat(same, F.coalesce("_others", F.filter(same, lambda o: F.lit(False))))
+    return joined.select("_key", "_x", F.slice(F.array_sort(every), 1, k).alias("near"))
 
 
 def smote(
@@ -70,7 +98,7 @@ def smote(
     small = min(counts, key=counts.get)
     missing, n_small = sum(counts.values()) - 2 * counts[small], counts[small]
     points = df.where(F.col(y) == F.lit(small)).select(F.col(key).alias("_key"), F.array(*values).alias("_x"))
-    near = near_neighbours(points, k, seed=seed)
+    near = near_neighbours(points, k)
     cell = F.shiftright(F.xxhash64(F.lit(seed), F.col("_key")), 48)
     turn = ranked(near.withColumns({"_one": F.lit(0), "_cell": cell}), ["_one"], ["_cell"], ["_cell", "_key"], "_turn")
     copies = F.lit(missing // n_small) + (F.col("_turn") <= missing % n_small).cast("int")

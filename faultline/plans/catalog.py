@@ -536,6 +536,17 @@ def t4_undersample(spark, d):
     return out.groupBy("fails_within_30d").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_distinct"))
 
 
+@query
+def t5_neighbours(spark, d):
+    """The five nearest customers of every customer by balance, nation and a class."""
+    points = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("_key"),
+        F.array(F.round(F.col("c_acctbal") / 100, 1), F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 3).cast("double")).alias("_x"),
+    )
+    rows = sampling.near_neighbours(points).select("_key", F.posexplode("near").alias("pos", "near"))
+    return rows.select(F.col("_key").alias("customer"), (F.col("pos") + 1).alias("place"), F.col("near.key").alias("neighbour"), r6("near.d").alias("distance"))
+
+
 @query
 def t5_smote(spark, d):
     table_ = features.asset_features(log_a(spark, d)).select("event_id", "tbf", "tbf_mean_3", "asset_age_days")

@@ -481,5 +481,9 @@ l AS (SELECT model, j, k AS i, min(mean) OVER (PARTITION BY model, j ORDER BY k
 f AS (SELECT model, i, round(max(low), 12) AS value FROM l GROUP BY model, i)
 SELECT model, {r6('min(s)')} AS first, {r6('max(s)')} AS last, {r6('CAST(sum(w) AS DOUBLE)')} AS weight, {r6('value')} AS value
 FROM f JOIN n USING (model, i) GROUP BY model, f.value"""
+SQL["t5_neighbours"] = f"""WITH x AS (SELECT c_custkey AS k, round(c_acctbal / 100, 1) AS a, CAST(c_nationkey AS DOUBLE) AS b, CAST(c_custkey % 3 AS DOUBLE) AS c FROM customer),
+d AS (SELECT p.k, q.k AS o, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) AS d FROM x p JOIN x q ON p.k <> q.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, o) AS n FROM d)
+SELECT k AS customer, CAST(n AS INTEGER) AS place, o AS neighbour, {r6('d')} AS distance FROM r WHERE n <= 5"""
 SQL["st1_outcome_feed"] = SQL["j1_match_outcomes"]
 SQL["st1_stream_join"] = SQL["j1_match_outcomes"] + " WHERE outcome IS NOT NULL"

@@ -132,3 +132,15 @@ ACTION_RULES = (
     ("vibracao", "Verificar alinhamento, balanceamento e fixação"),
     ("corrosao", "Inspecionar materiais e proteção anticorrosiva"),
 )
+
+# Fields of the JSON documents of the prediction history, and their names here.
+HISTORY_FIELDS = {
+    "ativo_unico": "asset_id",
+    "data_predicao": "predicted_at",
+    "horizonte": "horizon",
+    "probabilidade": "probability",
+    "classe_predita": "risk",
+    "modelo_versao": "model_version",
+    "resultado_real": "outcome",
+    "data_resultado": "occurred_at",
+}

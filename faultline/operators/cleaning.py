@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..sources.storage import materialized
 from .ordered import HOT_ROWS, UNBOUNDED, block_window, ordered_blocks, ranked, same_keys_join, split_cells
 from .quantiles import exact_quantiles, grouped_median
 
@@ -133,6 +135,41 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 1000) -
     return df.select(*out, *dummies)
 
 
+def category_ranks(df: DataFrame, column: str) -> DataFrame:
+    """``column``, ``_rank``: the distinct values, numbered from 0 in sort order, however many there are.
+
+    The values are dealt to ranges; a range numbers its own and adds the sizes of the ranges before it.
+    """
+    values = df.where(F.col(column).isNotNull()).select(column).distinct()
+    dealt = materialized(values.repartitionByRange(column).select(column, F.spark_partition_id().alias("_part")))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))  # a row per range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return dealt.withColumn("_inside", inside).join(F.broadcast(starts), "_part").select(
+        column, (F.col("_start") + F.col("_inside")).alias("_rank")
+    )
+
+
+def one_hot_sparse(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """:func:`one_hot` for any number of categories: adds ``<out>_index`` and the sparse vector ``<out>``.
+
+    The vector has a place for every category but the first in sort order; a null, or the first category, has no
+    place: its index is null and its vector is all zero. No list of categories is held anywhere.
+    """
+    name = out or f"{column}_hot"
+    ranks = materialized(category_ranks(df, column))
+    size = ranks.count()
+    index = F.when(F.col("_rank") > 0, F.col("_rank") - 1)
+    placed = df.join(ranks, column, "left").select(*df.columns, index.alias(f"{name}_index"))
+    # the encoder's last place is the one that has no column
+    last = max(size - 1, 1)
+    numbered = placed.withColumn("_place", F.coalesce(f"{name}_index", F.lit(last)).cast("double"))
+    encoder = OneHotEncoder(inputCol="_place", outputCol=name, dropLast=True)
+    model = encoder.fit(df.sparkSession.range(1).select(F.lit(float(last)).alias("_place")))
+    return model.transform(numbered).drop("_place")
+
+
 def label_encode(df: DataFrame, column: str, order: str, out: str | None = None) -> DataFrame:
     """Codes 0, 1, ... by first appearance in the numeric column ``order``; null is -1."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_at"))

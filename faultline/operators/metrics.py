@@ -56,10 +56,10 @@ def ranking_metrics(
 ) -> DataFrame:
     """``auc_roc`` (Mann-Whitney, ties half) and ``auc_pr`` (average precision, step sum).
 
-    Both null when a group has one class. Works on counts per distinct score with running
+    Both null when a group has one class; rows without a score have no rank and are left out. Works on counts per distinct score with running
     totals from the highest score down, cut into cells where a group has very many scores.
     """
-    counts = df.groupBy(*by, (-F.col(p)).alias("_pos")).agg(
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, (-F.col(p)).alias("_pos")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
     table = state_before(counts, list(by), "_pos", ["pos", "neg"], hot_rows=hot_rows, inclusive=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
@@ -127,6 +128,16 @@ def io3_csv_encoding_fallback(spark, d):
     return delimited.read_csv(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "text")
 
 
+@query
+def io3_mixed_encodings(spark, d):
+    """One folder with files of both encodings; each is read in its own."""
+    path = scratch(spark, "mixed")
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Região é "), "c_mktsegment").alias("text"))
+    for i, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        rows.where(F.col("c_custkey") % 2 == i).write.mode("append").option("header", True).option("encoding", encoding).csv(path)
+    return delimited.read_csv(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "text")
+
+
 @query
 def io4_mapped_table(spark, d):
     path = scratch(spark, "tasks")
@@ -172,6 +183,16 @@ def io8_prediction_history(spark, d):
     )
 
 
+@query
+def io8_json_history(spark, d):
+    """Predictions and outcomes written as JSON documents and read again."""
+    path = scratch(spark, "json")
+    storage.write_json_history(history(spark, d), path)
+    return storage.read_json_history(spark, path).select(
+        "asset_id", us("predicted_at"), "horizon", "probability", "risk", "model_version", "outcome", us("occurred_at")
+    )
+
+
 @query
 def io9_report_counts(spark, d):
     return scoring.risk_counts(demo_scores(spark, d))
@@ -276,6 +297,15 @@ def p7_one_hot(spark, d):
     return cleaning.one_hot(rows.select("o_orderkey", some), ["prio"])
 
 
+@query
+def p7_one_hot_sparse(spark, d):
+    """Every customer name as a category; whole texts, no cap."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).alias("who"))
+    hot = cleaning.one_hot_sparse(cleaning.one_hot_sparse(rows, "who"), "c_mktsegment", "segment")
+    filled = F.size(F.filter(vector_to_array("segment"), lambda v: v == 1.0))
+    return hot.select("c_custkey", "who_hot_index", "segment_index", filled.alias("segment_ones"))
+
+
 @query
 def p8_label_encoding(spark, d):
     rows = table(spark, d, "orders").select(
@@ -623,6 +653,13 @@ def a8_a9_ranking_metrics_cut(spark, d):
     return rounded(out, "auc_roc", "auc_pr")
 
 
+@query
+def a8_null_scores(spark, d):
+    """Scores with gaps: a row without a score has no rank."""
+    rows = star_schema.scored_orders(spark, d).withColumn("p", F.when(F.col("event_id") % 7 != 0, F.col("p")))
+    return rounded(metrics.ranking_metrics(rows, by=["model", "split"]), "auc_roc", "auc_pr")
+
+
 @query
 def a10_cost_metrics(spark, d):
     counts = metrics.classification_metrics(metrics.at_threshold(scored(spark, d)), by=["model"])
@@ -1088,6 +1125,24 @@ def m9_io6_io7_batch_scoring(spark, d):
     return scoring.wide_scores(scores, [30])
 
 
+@query
+def m9_missing_features(spark, d):
+    """All horizons, with a missing feature in every eleventh newest row: those assets fail, the others are scored."""
+    horizons = [3, 7, 15, 30]
+    df = targets.horizon_targets(features.asset_features(log_a(spark, d)), horizons)
+    t = targets.temporal_split(storage.materialized(df.select("asset_id", "ts", "event_id", *MODEL_FEATURES, *[f"fails_within_{h}d" for h in horizons])))
+    logistic = {"LogisticRegression": training.candidates()["LogisticRegression"]}
+    results = training.train_horizons(t, MODEL_FEATURES, horizons, logistic)
+    models = {h: {"model": r["model"], "features": MODEL_FEATURES, "threshold": r["threshold"], "model_name": r["model_name"]} for h, r in results.items()}
+    gappy_rows = t.withColumn("tbf_mean_3", F.when(F.col("event_id") % 11 != 0, F.col("tbf_mean_3")))
+    scores = scoring.score_assets(gappy_rows, models)
+    p, failed = F.col("probability"), F.col("risk") == K.FAILED_SCORE
+    return scores.groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("assets"), F.count_if(failed).alias("failed"), F.count_if(failed & p.isNull()).alias("without_score"),
+        F.count_if(~failed & p.between(0, 1) & (F.col("lower") <= p) & (p <= F.col("upper"))).alias("scored"),
+    )
+
+
 @query
 def x2_sampled_attribution(spark, d):
     t = training_table(spark, d)

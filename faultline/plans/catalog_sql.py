@@ -485,5 +485,16 @@ SQL["t5_neighbours"] = f"""WITH x AS (SELECT c_custkey AS k, round(c_acctbal / 1
 d AS (SELECT p.k, q.k AS o, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) AS d FROM x p JOIN x q ON p.k <> q.k),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, o) AS n FROM d)
 SELECT k AS customer, CAST(n AS INTEGER) AS place, o AS neighbour, {r6('d')} AS distance FROM r WHERE n <= 5"""
+SQL["io3_mixed_encodings"] = SQL["io3_csv_encoding_fallback"]
+SQL["io8_json_history"] = f"""WITH {HISTORY} SELECT asset_id, epoch_us(predicted_at) AS predicted_at_us, horizon, p AS probability, risk, 'v1' AS model_version,
+  outcome, epoch_us(occurred_at) AS occurred_at_us FROM hist"""
+SQL["p7_one_hot_sparse"] = """WITH r AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS who FROM customer),
+w AS (SELECT who, row_number() OVER (ORDER BY who) - 2 AS i FROM (SELECT DISTINCT who FROM r WHERE who IS NOT NULL)),
+s AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 2 AS i FROM (SELECT DISTINCT c_mktsegment FROM r))
+SELECT c_custkey, CASE WHEN w.i >= 0 THEN w.i END AS who_hot_index, CASE WHEN s.i >= 0 THEN s.i END AS segment_index,
+  CASE WHEN s.i >= 0 THEN 1 ELSE 0 END AS segment_ones FROM r LEFT JOIN w USING (who) LEFT JOIN s USING (c_mktsegment)"""
+SQL["a8_null_scores"] = SQL["a8_a9_ranking_metrics"].replace("FROM scored GROUP BY ALL", "FROM scored WHERE event_id % 7 <> 0 GROUP BY ALL")
+SQL["m9_missing_features"] = f"""WITH {LOG_A}, {LATEST}, n AS (SELECT count(*) AS assets, count(*) FILTER (event_id % 11 = 0) AS failed FROM latest)
+SELECT h AS horizon, assets, failed, failed AS without_score, assets - failed AS scored FROM n, (VALUES (3), (7), (15), (30)) t(h)"""
 SQL["st1_outcome_feed"] = SQL["j1_match_outcomes"]
 SQL["st1_stream_join"] = SQL["j1_match_outcomes"] + " WHERE outcome IS NOT NULL"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,10 +12,28 @@ from ..functions.text import header_name, renamed
 
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """UTF-8 if every line decodes, else Latin-1 (which accepts any byte)."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-    encoding = "ISO-8859-1" if bad.count() else "UTF-8"
-    return spark.read.options(**{"header": True, **options}).option("encoding", encoding).csv(path)
+    """Files whose every line decodes as UTF-8 are read so, the others as Latin-1 (which accepts any byte).
+
+    The encoding is chosen per file; only the names of the Latin-1 files come to the driver. Files of one folder have the same columns, in any order, or lack some.
+    """
+    lines = spark.read.text(path)
+    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("f")).distinct()
+    latin = {_plain(r["f"]) for r in bad.collect()}
+    files = [_plain(f) for f in lines.inputFiles()]
+    reader = spark.read.options(**{"header": True, **options})
+    parts = []
+    for encoding, wanted in (("UTF-8", False), ("ISO-8859-1", True)):
+        some = [f for f in files if (f in latin) == wanted]
+        if some:
+            parts.append(reader.option("encoding", encoding).csv(path if len(some) == len(files) else some))
+    if not parts:
+        return reader.csv(path)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def _plain(file: str) -> str:
+    """A file name without the escapes and repeated slashes in which Spark's spellings of it differ."""
+    return re.sub("^([a-z0-9]+:)/+", r"\1/", unquote(file)) if file.startswith("file:") else unquote(file)
 
 
 def read_mapped(spark: SparkSession, path: str, table: dict, sep: str = ",") -> DataFrame | None:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import constants as K
+
 HISTORY_SCHEMA = (
     "prediction_id long, asset_id string, predicted_at timestamp, horizon int, "
     "probability double, risk string, model_version string"
@@ -64,6 +66,33 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path)
 
 
+def write_json_history(history: DataFrame, path: str) -> None:
+    """Predictions and their outcomes as JSON documents under the names of the source files, one a line."""
+    texts = {"data_predicao", "data_resultado"}
+    fields = [
+        (F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if n in texts else F.col(c)).alias(n)
+        for n, c in K.HISTORY_FIELDS.items() if c in history.columns
+    ]
+    history.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
+def read_json_history(spark: SparkSession, path: str, listed: bool = False) -> DataFrame:
+    """The prediction history of JSON files with one document a line, or with one list of documents each (``listed``).
+
+    Missing fields are null, unknown fields are left out. Dates are ISO text with or without a time, and null if they
+    are anything else. The outcome may be a number or a truth value.
+    """
+    kinds = {"horizonte": "int", "probabilidade": "double"}
+    schema = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in K.HISTORY_FIELDS)
+    rows = spark.read.schema(schema).option("multiLine", listed).json(path)
+    kept = rows.select(*[F.col(n).alias(c) for n, c in K.HISTORY_FIELDS.items()])
+    known = F.lower("outcome")
+    return kept.withColumns({
+        "predicted_at": F.col("predicted_at").try_cast("timestamp"), "occurred_at": F.col("occurred_at").try_cast("timestamp"),
+        "outcome": F.when(known == "true", 1).when(known == "false", 0).otherwise(F.col("outcome").try_cast("double").cast("int")),
+    })
+
+
 def save_bucketed(log: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
     """Store a log as a table bucketed by asset, and read it back.
 

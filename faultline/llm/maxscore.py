@@ -30,16 +30,21 @@ TOP = 10
 SHARD_ROWS = 16_384
 QUERY_ROWS = 512
 BLOCK = 2048
-LIMIT = 2**26
+#: Largest square of a component times the number of components: sums of products and of bounds then fit into 64 bits.
+LIMIT = 2.0**60
 
 
 def whole(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) per component; null if the vector takes no part."""
+    """floor(scale * x) per component; null if the vector takes no part. A vector whose scores could pass 64 bits ends the job."""
     sound = vector.isNotNull() & ~F.exists(
         vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     )
-    scaled = F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double"), F.lit(LIMIT / scale)), F.lit(-LIMIT / scale)) * scale))
-    return F.when(sound, scaled.cast("array<bigint>"))
+    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    largest = F.coalesce(F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double") * scale))), F.lit(0.0))
+    wide = largest * largest * F.size(vector) > LIMIT
+    return F.when(sound & wide, F.raise_error(F.lit("scores of such large components do not fit into 64 bits"))).when(
+        sound, scaled.cast("array<bigint>")
+    )
 
 
 def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:

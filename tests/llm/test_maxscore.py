@@ -1,5 +1,9 @@
+import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from faultline.llm import maxscore
 
 
@@ -27,11 +31,20 @@ def test_against_all_products(spark, monkeypatch):
 
 
 def test_unsound_vectors_take_no_part(spark):
-    from pyspark.sql import functions as F
-
     rows = [(1, [0.5, -0.0001]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {r.vec_id: r.v for r in d.select("vec_id", maxscore.whole(F.col("embedding")).alias("v")).collect()}
     assert got == {1: [512, -1], 2: None, 3: None, 4: None, 5: None, 6: []}
     empty = d.limit(0).select("vec_id", maxscore.whole(F.col("embedding")).alias("vector"))
     assert maxscore.search(empty, empty).count() == 0
+
+
+def test_large_components_are_exact_or_end_the_job(spark):
+    rows = [(100, [70_000.0, -70_000.0, 0.25]), (1, [70_000.0, 0.0, 1.0]), (2, [-65_536.5, 3.0, 0.0]), (3, [1e-9, 0.0, -1e-9])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", maxscore.whole(F.col("embedding")).alias("vector"))
+    vectors = [(r.vec_id, r.vector) for r in d.collect()]
+    assert vectors == [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    got = maxscore.search(d, d.where("vec_id = 100"), 10).collect()
+    assert sorted(map(tuple, got)) == brute(vectors, vectors[:1], 10)
+    with pytest.raises(Exception, match="64 bits"):
+        spark.createDataFrame([([1e12, 0.0],)], "e array<double>").select(maxscore.whole(F.col("e"))).collect()

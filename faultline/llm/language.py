@@ -15,7 +15,6 @@ further columns are kept out of the model and untouched.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,9 +35,8 @@ CENTROIDS = 3
 #: Share of a language's sample that may lie below the upper end of its cut, of another's above the lower end, and
 #: that a cluster has to exceed, with two texts at least, to be a centroid.
 TAIL = 0.01
-LETTER = re.compile(r"[^\W\d_]")
-#: The same for Spark.
-HAS_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+#: A letter is a code point of a category L; in Python ``str.isalpha`` tells them.
+HAS_LETTER = r"\p{L}"
 HASH = np.uint32(0x9E3779B1)
 SPACE = np.full(1, 0x20, np.uint8)
 SPACES = np.arange(256, dtype=np.uint8)
@@ -201,7 +199,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             langs, scores, bad = [UNKNOWN] * size, np.zeros(size), np.ones(size, bool)
             for i in range(size):
                 value = column[i].as_py()
-                if m is None or value is None or not LETTER.search(value):
+                if m is None or value is None or not any(map(str.isalpha, value)):
                     continue
                 vector = gram_counts(value.lower().encode()) * m.weights
                 cosine = m.centroids @ vector / max(float(np.sqrt(vector @ vector)), 1e-9)

@@ -41,6 +41,13 @@ def test_far_texts_are_rejected_and_others_stay(spark):
     assert [r["rejected"] for r in language.predict(far, model).collect()] == [True, False]
 
 
+def test_number_signs_are_no_letters(spark):
+    model = language.fit(corpus(spark).select("text", "lang"))
+    signs = spark.createDataFrame([("½ ²",), ("①",), ("Ⅻ",), ("１２",), ("ª",), ("ʰ x",)], "text string")
+    got = {r["text"]: r["lang_pred"] for r in language.predict(signs, model).collect()}
+    assert all(got[t] == "und" for t in ("½ ²", "①", "Ⅻ", "１２")) and all(got[t] != "und" for t in ("ª", "ʰ x"))
+
+
 def test_no_labelled_rows_and_empty_tables(spark):
     docs = corpus(spark)
     model = language.fit(docs.where("false").select("text", "lang"))

@@ -168,6 +168,7 @@ def lengths(order: list[Node]) -> dict[int, int]:
 
 def features(order: list[Node]) -> np.ndarray:
     size = lengths(order)
+    place = {id(c): j for node in order for j, c in enumerate(node.children)}
     rows = np.zeros((len(order), FEATURES), np.float32)
     for i, node in enumerate(order):
         n = size[id(node)]
@@ -177,7 +178,7 @@ def features(order: list[Node]) -> np.ndarray:
         text = node.text if node.tag == "#" else ""
         rows[i] = (
             math.log1p(n), node.linked / n if n else 0, math.log1p(n / (node.tags + 1)), node.depth, math.log1p(len(siblings)),
-            siblings.index(node) / len(siblings) if len(siblings) < 50 else 0.5,
+            place.get(id(node), 0) / len(siblings),
             math.log1p(size[id(parent)] / len(siblings)) if parent else math.log1p(n),
             len(node.children), node.main, node.own_other, node.other, shape.tag == "p", shape.tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
             shape.tag in ("li", "td", "th", "dt", "option"), node.tag != "#",

@@ -43,3 +43,13 @@ def test_other_layouts_and_odd_pages(spark, small):
     assert by_id[2].text == "" and by_id[None].text == "" and by_id[2].n_chars == 0
     assert maintext.extract(d.limit(0), None).count() == 0
     assert maintext.fit(d.limit(0)) is None
+
+
+def test_sibling_place_means_the_same_for_any_number_of_siblings():
+    """The place of a child among its siblings runs evenly from 0 to 1, at 49 siblings as at 50 and at many."""
+    for n in (2, 49, 50, 3000):
+        page = "<div>" + "".join(f"<p>Block {i}.</p>" for i in range(n)) + "</div>"
+        order = maintext.nodes_of(maintext.parse(page))
+        rows = maintext.features(order)
+        got = [float(r[5]) for node, r in zip(order, rows) if node.tag == "p"]
+        assert len(got) == n and all(abs(g - i / n) < 1e-6 for i, g in enumerate(got))

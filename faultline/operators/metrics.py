@@ -94,23 +94,25 @@ def cost_metrics(counts: DataFrame, costs: dict[str, float] = COSTS) -> DataFram
     })
 
 
-def class_report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """Precision, recall, F1 and support per class, with ``macro`` and ``weighted`` rows."""
-    # one row per (label, prediction) pair from here on
-    pairs = df.groupBy(F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    as_true = pairs.groupBy(F.col("y").alias("class")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n"))).alias("hits")
-    )
-    as_pred = pairs.groupBy(F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
-    each = as_true.join(as_pred, "class", "full").na.fill(0)
+def class_report(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per class, with ``macro`` and ``weighted`` rows; per group of ``by``."""
+    # one row per group and (label, prediction) pair from here on
+    pairs = df.groupBy(*by, F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.explode(F.array(
+        F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("hits"), F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("hits"), F.col("n").alias("predicted")),
+    )).alias("s")
+    each = pairs.select(*by, sides).groupBy(*by, F.col("s.class").alias("class")).agg(
+        *[F.sum(f"s.{c}").alias(c) for c in ("support", "hits", "predicted")]
+    ).where("class IS NOT NULL")
     precision, recall = ratio(F.col("hits"), F.col("predicted")), ratio(F.col("hits"), F.col("support"))
     each = each.select(
-        F.col("class").cast("string").alias("class"), precision.alias("precision"), recall.alias("recall"),
+        *by, F.col("class").cast("string").alias("class"), precision.alias("precision"), recall.alias("recall"),
         ratio(2 * F.col("hits"), F.col("predicted") + F.col("support")).alias("f1"), "support",
     )
     names = ("precision", "recall", "f1")
     weight = F.col("support")
-    sums = each.agg(
+    sums = each.groupBy(*by).agg(
         *[F.avg(n).alias(f"m_{n}") for n in names],
         *[(F.sum(F.col(n) * weight) / F.sum(weight)).alias(f"w_{n}") for n in names],
         F.sum(weight).alias("support"),
@@ -119,7 +121,7 @@ def class_report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
         F.struct(F.lit(label).alias("class"), *[F.col(f"{k}_{n}").alias(n) for n in names], F.col("support"))
         for label, k in (("macro", "m"), ("weighted", "w"))
     ])
-    return each.unionByName(sums.select(F.inline(both)))
+    return each.unionByName(sums.select(*by, F.inline(both)))
 
 
 def compare_models(metrics: DataFrame, sort_by: str = "f1") -> DataFrame:

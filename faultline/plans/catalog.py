@@ -293,7 +293,7 @@ def p6_unrepeated_rows(spark, d):
 @query
 def p7_one_hot(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    some = F.when(F.col("o_orderkey") % 9 != 0, F.substring("o_orderpriority", 1, 1)).alias("prio")
+    some = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("prio")
     return cleaning.one_hot(rows.select("o_orderkey", some), ["prio"])
 
 
@@ -668,8 +668,8 @@ def a10_cost_metrics(spark, d):
 
 @query
 def a11_class_report(spark, d):
-    rows = metrics.at_threshold(scored(spark, d).where("model = 'a'"))
-    return rounded(metrics.class_report(rows), "precision", "recall", "f1")
+    rows = metrics.at_threshold(scored(spark, d))
+    return rounded(metrics.class_report(rows, by=["model"]), "precision", "recall", "f1")
 
 
 @query
@@ -942,7 +942,7 @@ def a15_feedback_summary(spark, d):
 
 @query
 def a16_feedback_metrics(spark, d):
-    return rounded(feedback.feedback_metrics(history(spark, d), 30), *RATES)
+    return rounded(feedback.feedback_metrics(history(spark, d), by=["horizon"]), *RATES)
 
 
 def _replayed(spark, df, path) -> DataFrame:

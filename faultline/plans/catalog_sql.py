@@ -272,7 +272,8 @@ WHERE l_extendedprice BETWEEN a1 - 0.3 * (a3 - a1) AND a3 + 0.3 * (a3 - a1) AND
     "p6_last_of_duplicates": duplicates_sql("DESC"),
     "p6_unrepeated_rows": duplicates_sql("ASC", "copies = 1"),
     "p7_one_hot": "SELECT o_orderkey, " + ", ".join(
-        f"CASE WHEN o_orderkey % 9 <> 0 AND substr(o_orderpriority, 1, 1) = '{i}' THEN 1 ELSE 0 END AS prio_{i}" for i in range(2, 6)
+        f"CASE WHEN o_orderkey % 9 <> 0 AND o_orderpriority = '{v}' THEN 1 ELSE 0 END AS \"prio_{v}\""
+        for v in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     ) + " FROM orders",
     "p8_label_encoding": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS who FROM orders),
 f AS (SELECT who, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM r WHERE who IS NOT NULL GROUP BY who)
@@ -356,13 +357,13 @@ SELECT model, split, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT)
 k AS (SELECT *, fp * CAST(100 AS DOUBLE) AS cost_fp, fn * CAST(1000 AS DOUBLE) AS cost_fn, tp * CAST(50 AS DOUBLE) AS cost_tp, CAST(0 AS DOUBLE) AS revenue_tn FROM c)
 SELECT *, cost_fp + cost_fn + cost_tp AS total_cost, revenue_tn - (cost_fp + cost_fn + cost_tp) AS net_result,
   {r6('CASE WHEN cost_fp + cost_fn + cost_tp > 0 THEN (revenue_tn - (cost_fp + cost_fn + cost_tp)) / (cost_fp + cost_fn + cost_tp) * 100 ELSE 0 END')} AS roi_pct FROM k""",
-    "a11_class_report": f"""WITH {AT_HALF}, c AS (SELECT k, count(*) FILTER (y = k AND pred = k) AS hits, count(*) FILTER (pred = k) AS predicted, count(*) FILTER (y = k) AS support
-  FROM marked, (VALUES (0), (1)) t(k) WHERE model = 'a' GROUP BY k),
-r AS (SELECT k, {div('hits', 'predicted')} AS precision, {div('hits', 'support')} AS recall, {div('2 * hits', 'predicted + support')} AS f1, support FROM c)
-SELECT CAST(k AS VARCHAR) AS "class", {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, support FROM r
-UNION ALL SELECT 'macro', {r6('avg(precision)')}, {r6('avg(recall)')}, {r6('avg(f1)')}, CAST(sum(support) AS BIGINT) FROM r
-UNION ALL SELECT 'weighted', {r6('sum(precision * support) / sum(support)')}, {r6('sum(recall * support) / sum(support)')},
-  {r6('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM r""",
+    "a11_class_report": f"""WITH {AT_HALF}, c AS (SELECT model, k, count(*) FILTER (y = k AND pred = k) AS hits, count(*) FILTER (pred = k) AS predicted, count(*) FILTER (y = k) AS support
+  FROM marked, (VALUES (0), (1)) t(k) GROUP BY model, k),
+r AS (SELECT model, k, {div('hits', 'predicted')} AS precision, {div('hits', 'support')} AS recall, {div('2 * hits', 'predicted + support')} AS f1, support FROM c)
+SELECT model, CAST(k AS VARCHAR) AS "class", {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, support FROM r
+UNION ALL SELECT model, 'macro', {r6('avg(precision)')}, {r6('avg(recall)')}, {r6('avg(f1)')}, CAST(sum(support) AS BIGINT) FROM r GROUP BY model
+UNION ALL SELECT model, 'weighted', {r6('sum(precision * support) / sum(support)')}, {r6('sum(recall * support) / sum(support)')},
+  {r6('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM r GROUP BY model""",
     "a12_model_comparison": f"WITH {AT_HALF}, c AS (SELECT model, {COUNTS} FROM marked GROUP BY model) SELECT model, {', '.join(f'{r6(RATE[k])} AS {k}' for k in ('accuracy', 'f1', 'recall'))} FROM c ORDER BY f1 DESC",
     "a13_threshold_table": f"""WITH {THRESHOLDS}, c AS (SELECT model, threshold, {COUNTS} FROM marked GROUP BY model, threshold)
 SELECT model, {r6('threshold')} AS threshold, tn, fp, fn, tp, {r6(RATE['precision'])} AS precision, {r6(RATE['recall'])} AS recall,
@@ -419,7 +420,7 @@ FROM hist h JOIN (SELECT event_id, max(n_window) AS n_window FROM stats GROUP BY
   LEFT JOIN anom a ON a.event_id = h.event_id LEFT JOIN n_sim s ON s.event_id = h.event_id GROUP BY h.event_id""",
     "j1_match_outcomes": f"WITH {HISTORY} SELECT prediction_id, outcome, epoch_us(occurred_at) AS occurred_at_us FROM hist",
     "a15_feedback_summary": f"WITH {HISTORY} SELECT count(*) AS total_predictions, count(outcome) AS with_feedback, count(*) - count(outcome) AS pending_feedback FROM hist",
-    "a16_feedback_metrics": f"WITH {HISTORY}, c AS (SELECT {COUNTS} FROM ev WHERE horizon = 30) SELECT tn, fp, fn, tp, {RATES} FROM c",
+    "a16_feedback_metrics": f"WITH {HISTORY}, c AS (SELECT horizon, {COUNTS} FROM ev GROUP BY horizon) SELECT horizon, tn, fp, fn, tp, {RATES} FROM c",
     "w11_metrics_over_time": f"""WITH {HISTORY}, c AS (SELECT prediction_id, sum(y * pred) {SPAN} AS tp, sum((1 - y) * pred) {SPAN} AS fp, sum(y * (1 - pred)) {SPAN} AS fn,
   count(*) {SPAN} AS n_samples FROM ev WHERE horizon = 30)
 SELECT prediction_id, {r6(RATE['f1'])} AS f1, {r6(RATE['precision'])} AS precision, {r6(RATE['recall'])} AS recall, 0.0 AS auc, n_samples FROM c WHERE n_samples >= 5""",

@@ -423,7 +423,8 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
     def whole_sets(wanted: DataFrame) -> DataFrame:
         """The sets of the wanted nodes. Copies of a text lie in many tasks, each of which returns its set: one row per node may stay."""
         texts = nodes.join(wanted.distinct(), "node", "left_semi").select("text_hash").distinct()
-        found = docs.join(texts, "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>")
+        # the list of texts grows with the input, so it is never broadcast, whatever its size
+        found = docs.join(texts.hint("merge"), "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>")
         return materialized(found.dropDuplicates(["node"]), scratch)
 
     sets = whole_sets(possible.select(F.explode(F.array("pivot", "node")).alias("node")))
@@ -462,8 +463,11 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
         .mapInArrow(_block_candidates(percent), "pivot long, i long, j long, role int, node long"), scratch,
     )
     if not left.isEmpty():
+        missing = materialized(left.select("node").distinct().join(sets.select("node"), "node", "left_anti"), scratch)
+        if not missing.isEmpty():
+            sets = sets.unionByName(whole_sets(missing))
         rest = (
-            left.join(whole_sets(left.select("node")), "node").select(*order, "elements")
+            left.join(sets, "node").select(*order, "elements")
             .repartition(*block).sortWithinPartitions(*order).mapInArrow(_block_links(percent), "a long, b long")
         )
         roots = extended(roots, materialized(rest, scratch), scratch)

@@ -1150,3 +1150,33 @@ def x2_sampled_attribution(spark, d):
     newest = scoring.latest_rows(t)
     score = attribution.probability_scorer(model)
     return attribution.sampled_attribution(newest, MODEL_FEATURES, score, t, permutations=4).select("event_id", F.inline("phi"))
+
+
+@query
+def x2_coalitions_of_linear_model(spark, d):
+    """On a linear model, with the mean row as background, coalitions give what the coefficients give."""
+    df = features.asset_features(log_a(spark, d)).select("event_id", *[F.col(c).cast("double").alias(c) for c in LINEAR])
+    means = df.agg(*[F.avg(c).alias(c) for c in LINEAR])
+
+    def score(rows: DataFrame, out: str) -> DataFrame:
+        return rows.withColumn(out, sum((F.lit(w) * F.col(c) for c, w in LINEAR.items()), F.lit(0.0)))
+
+    out = attribution.coalition_attribution(df, list(LINEAR), score, means, coalitions=96)
+    return out.select("event_id", F.inline("phi")).withColumn("phi", r6("phi"))
+
+
+@query
+def x2_coalitions_add_up(spark, d):
+    """Contributions to the scores of a trained forest: one per feature, together the score less the mean score."""
+    t = training_table(spark, d)
+    forest = {"RandomForest": training.candidates()["RandomForest"]}
+    model = training.train_candidates(t, MODEL_FEATURES, forest)["RandomForest"]["model"]
+    out = attribution.coalition_attribution(
+        scoring.latest_rows(t), MODEL_FEATURES, attribution.probability_scorer(model), t
+    )
+    total = F.aggregate("phi", F.lit(0.0), lambda a, e: a + e["phi"])
+    return out.select(
+        "event_id", F.size("phi").cast("long").alias("features"),
+        (F.abs(total - (F.col("score") - F.col("base"))) < 1e-9).alias("adds_up"),
+        F.forall("phi", lambda e: F.abs(e["phi"]) <= 1).alias("bounded"),
+    )

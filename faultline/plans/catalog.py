@@ -1102,6 +1102,22 @@ def training_table(spark, d) -> DataFrame:
     return targets.temporal_split(storage.materialized(df))
 
 
+#: Training rows of the star-schema log that the queries fit at most; all other rows are scored.
+FIT_ROWS = 20_000
+
+
+def full_training_table(spark, d) -> tuple[DataFrame, list[str]]:
+    """All features and horizons of the log with its split, and the names of the features."""
+    df = targets.horizon_targets(features.asset_features(log_a(spark, d)))
+    names = features.feature_names()
+    marks = [f"fails_within_{h}d" for h in K.HORIZONS]
+    return targets.temporal_split(storage.materialized(df.select("asset_id", "ts", "event_id", *names, *marks))), names
+
+
+def labelled(table: DataFrame, horizon: int = 30) -> DataFrame:
+    return training.fitted_share(table.withColumn("y", F.col(f"fails_within_{horizon}d").cast("double")), FIT_ROWS)
+
+
 def small_candidates() -> dict:
     pool = training.candidates(trees=10, rounds=4)
     return {n: pool[n] for n in ("RandomForest", "LogisticRegression")}
@@ -1109,16 +1125,34 @@ def small_candidates() -> dict:
 
 @query
 def m1_m5_m8_training(spark, d):
-    results = training.train_horizons(training_table(spark, d), MODEL_FEATURES, [30], small_candidates(), stack=False)
-    return training.results_table(spark, results)
+    """Four candidates and the stack at full settings for every horizon: counts and bounds of each split."""
+    table, names = full_training_table(spark, d)
+    results = training.train_horizons(table, names, K.HORIZONS, fit_rows=FIT_ROWS)
+    best = spark.createDataFrame([(h, r["model_name"]) for h, r in results.items()], "horizon int, best string")
+    long = training.results_table(spark, results)
+    value = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
+    wide = long.groupBy("horizon", "model", "split").agg(*[value(c).alias(c) for c in ("tn", "fp", "fn", "tp", "f1", "auc_roc")])
+    top = wide.where("split = 'val'").groupBy("horizon").agg(F.max("f1").alias("top"))
+    # one row per horizon
+    chosen = wide.where("split = 'val'").join(F.broadcast(best), "horizon").where("model = best").select("horizon", F.col("f1").alias("best_f1"))
+    out = wide.join(F.broadcast(top), "horizon").join(F.broadcast(chosen), "horizon")
+    count = lambda c: c.cast("long")
+    return out.select(
+        "horizon", "model", "split", count(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"),
+        count(F.col("tp") + F.col("fn")).alias("positives"), (F.col("top") == F.col("best_f1")).alias("best_by_f1"),
+        F.coalesce(F.col("auc_roc").between(0, 1), F.lit(True)).alias("bounded"),
+    )
 
 
 @query
 def m2_boosting_isotonic(spark, d):
-    pool = training.candidates(rounds=3)
-    t = training_table(spark, d)
-    out = training.train_candidates(t, MODEL_FEATURES, {"GradientBoosting": pool["GradientBoosting"]}, "isotonic")
-    return with_probability(out["GradientBoosting"]["model"], t.where("split = 'test'")).select("event_id", "y", "p")
+    """Both boosting candidates with isotonic calibration; probabilities of the test rows."""
+    table, names = full_training_table(spark, d)
+    rows = labelled(table)
+    pool = training.candidates()
+    out = training.train_candidates(rows, names, {n: pool[n] for n in ("GradientBoosting", "GradientBoostingDeep")}, "isotonic")
+    scored = base_probabilities(rows.where("split = 'test'"), {n: r["model"] for n, r in out.items()})
+    return scored.select("event_id", "y", *[F.col(f"p_{n}").between(0, 1).alias(f"{n}_bounded") for n in out])
 
 
 def score_counts(spark, d) -> DataFrame:
@@ -1149,18 +1183,22 @@ def m6_grid_search(spark, d):
 
 @query
 def m7_stacking(spark, d):
-    t = training_table(spark, d)
-    results = training.train_candidates(t, MODEL_FEATURES, small_candidates())
-    stack = training.train_stack(t, MODEL_FEATURES, results)
-    return with_probability(stack["model"], t.where("split = 'test'")).select("event_id", "y", "p")
+    """The stack of all candidates at full settings; probabilities of the test rows."""
+    table, names = full_training_table(spark, d)
+    rows = labelled(table)
+    stack = training.train_stack(rows, names, training.train_candidates(rows, names, training.candidates()))
+    out = with_probability(stack["model"], rows.where("split = 'test'"))
+    return out.select("event_id", "y", F.lit(len(stack["model"].bases)).alias("bases"), F.col("p").between(0, 1).alias("bounded"))
 
 
 @query
 def j5_base_probabilities(spark, d):
-    t = training_table(spark, d)
-    results = training.train_candidates(t, MODEL_FEATURES, {"LogisticRegression": training.candidates()["LogisticRegression"]})
-    bases = {"LogisticRegression": results["LogisticRegression"]["model"], "broken": None}
-    return base_probabilities(t.where("split = 'test'"), bases).select("event_id", "p_LogisticRegression", "p_broken")
+    """A column per candidate, and 0.5 for a model that cannot be applied."""
+    table, names = full_training_table(spark, d)
+    rows = labelled(table)
+    results = training.train_candidates(rows, names, training.candidates())
+    scored = base_probabilities(rows.where("split = 'test'"), {n: r["model"] for n, r in results.items()} | {"broken": None})
+    return scored.select("event_id", *[F.col(f"p_{n}").between(0, 1).alias(f"{n}_bounded") for n in results], "p_broken")
 
 
 @query

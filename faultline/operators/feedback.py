@@ -91,35 +91,40 @@ def match_logged_outcomes(
     ``predictions`` also needs ``logged_seq``; an outcome matches if its ``registered_seq`` is larger. Of the matches
     the first registered one counts. A prediction with a null ``logged_seq`` matches nothing.
 
-    Both conditions bound the search, one in time and one in the order of the log. The outcomes of an
-    asset are numbered by time; a level holds them in blocks of 1, 2, 4, ... neighbours. A prediction's range of
+    Both conditions bound the search, one in time and one in the order of the log. The instants at which an asset
+    has outcomes are numbered; a level holds the outcomes of blocks of 1, 2, 4, ... neighbouring instants. A prediction's range of
     numbers is put together from at most two blocks per level, and in each it looks up the first outcome registered
     after it, in the order of the log. So a row per outcome and level, and a few per prediction, replace all pairs.
-    Levels end at the longest range of the asset; hot assets and hot blocks are cut into cells.
+    Levels end at the longest range of the asset, so a log of dates needs no more of them than a range has days; hot
+    assets and hot blocks are cut into cells.
     """
     best = F.struct(
         F.col("registered_seq").alias("seq"), F.col("failed").alias("outcome"), F.col("occurred_at").alias("when")
     )
     known = outcomes.where(F.col("occurred_at").isNotNull() & F.col("registered_seq").isNotNull()).select(
-        "asset_id", micros("occurred_at").alias("pos"), F.lit(1).cast("long").alias("one"), best.alias("best")
+        "asset_id", micros("occurred_at").alias("pos"), best.alias("best")
     )
     span = ["asset_id", "start", "horizon", "logged_seq"]
-    length = (F.col("horizon") + 1) * F.lit(DAY_US)
     asked = predictions.where("logged_seq IS NOT NULL").select("asset_id", micros("predicted_at").alias("start"), "horizon", "logged_seq")
-    ends = F.explode(F.array(F.col("start"), F.col("start") + length)).alias("pos")
-    probes = asked.select(*span, ends).withColumns({"one": F.lit(None).cast("long"), "best": F.lit(None).cast(known.schema["best"].dataType)})
-    # the number of an outcome: outcomes of the asset before it; a range of time is a range of numbers
-    numbered = materialized(
-        state_before(probes.unionByName(known, allowMissingColumns=True), ["asset_id"], "pos", ["one"], hot_rows=hot_rows)
+    asked = asked.withColumn("until", F.col("start") + (F.col("horizon") + 1) * F.lit(DAY_US))
+    # the number of an instant: instants with outcomes of the asset before it; a range of time is a range of numbers
+    ends = asked.select("asset_id", F.explode(F.array("start", "until")).alias("pos"), F.lit(None).cast("long").alias("one"))
+    instants = known.select("asset_id", "pos", F.lit(1).cast("long").alias("one")).unionByName(ends).groupBy("asset_id", "pos").agg(
+        F.max("one").alias("one")
+    )
+    numbered = materialized(state_before(instants, ["asset_id"], "pos", ["one"], hot_rows=hot_rows))
+
+    def at(name: str, number: str) -> DataFrame:
+        return numbered.select("asset_id", F.col("pos").alias(name), F.col("one_before").alias(number))
+
+    ranges = materialized(
+        asked.join(at("start", "low"), ["asset_id", "start"]).join(at("until", "high"), ["asset_id", "until"])
+        .where("low < high").select(*span, "low", "high").distinct()
     )
-    number, is_ask = F.col("one_before"), F.col("start").isNotNull()
-    here = F.when(F.col("pos") == F.col("start"), number)
-    # both ends of a range, next to each other in the order of time of the question
-    ranges = numbered.where(is_ask).groupBy(*span).agg(F.min(here).alias("low"), F.max(number).alias("high")).where("low < high")
     top = ranges.groupBy("asset_id").agg(F.floor(F.log2(F.max(F.col("high") - F.col("low")).cast("double"))).cast("int").alias("top"))
     each_level = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")
     size = lambda level: F.pow(F.lit(2.0), level).cast("long")
-    placed = numbered.where(~is_ask).select("asset_id", "best", number.alias("number")).join(top, "asset_id").select(
+    placed = known.join(at("pos", "number"), ["asset_id", "pos"]).select("asset_id", "best", "number").join(top, "asset_id").select(
         "asset_id", "best", "number", each_level
     )
     blocks = placed.select(
@@ -127,19 +132,16 @@ def match_logged_outcomes(
         F.col("best.seq").cast("long").alias("pos"), "best",
     )
 
-    def pieces(level: Column) -> Column:
-        """The blocks of one level that the range needs: one at either end, if the next level cannot hold it."""
-        low = F.ceil(F.col("low") / size(level)).cast("long")
-        high = F.floor(F.col("high") / size(level)).cast("long")
-        some = low < high
-        return F.array(
-            F.when(some & (low % 2 == 1), F.struct(level.alias("level"), low.alias("block"))),
-            F.when(some & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("block"))),
-        )
-
+    # the blocks of one level that a range needs: one at either end, if the next level cannot hold it; rows instead of
+    # functions over arrays, which are not compiled
     levels = F.sequence(F.lit(0), F.floor(F.log2((F.col("high") - F.col("low")).cast("double"))).cast("int"))
-    parts = ranges.select(*span, F.explode(F.array_compact(F.flatten(F.transform(levels, pieces)))).alias("p")).select(
-        *span, "p.level", "p.block", (F.col("logged_seq") + 1).cast("long").alias("pos"),
+    sides = ranges.select(*span, "low", "high", F.explode(levels).alias("level")).select(
+        *span, "level", F.ceil(F.col("low") / size(F.col("level"))).cast("long").alias("low"),
+        F.floor(F.col("high") / size(F.col("level"))).cast("long").alias("high"),
+    ).where("low < high")
+    either = F.explode(F.array(F.when(F.col("low") % 2 == 1, F.col("low")), F.when(F.col("high") % 2 == 1, F.col("high") - 1)))
+    parts = sides.select(*span, "level", either.alias("block")).where("block IS NOT NULL").select(
+        *span, "level", "block", (F.col("logged_seq") + 1).cast("long").alias("pos"),
         F.lit(None).cast(known.schema["best"].dataType).alias("best"),
     )
     points = parts.unionByName(blocks, allowMissingColumns=True)

@@ -58,3 +58,16 @@ def test_empty_tables(spark):
     p, o = tables(spark, [("A", 1, 7, 1)], [("A", 2, 1, 2)])
     assert [r["outcome"] for r in feedback.match_logged_outcomes(p, o.where("false")).collect()] == [None]
     assert feedback.match_logged_outcomes(p.where("false"), o).count() == 0
+
+
+def test_levels_of_a_log_of_dates(spark, monkeypatch):
+    """Many outcomes of one date are one number: levels follow the dates of a range, not its outcomes."""
+    rng, seen, plainly = random.Random(3), [], feedback.state_before
+    monkeypatch.setattr(feedback, "state_before", lambda df, *a, **k: (seen.append(df), plainly(df, *a, **k))[1])
+    predictions = [("A", 24 * rng.randrange(8), rng.choice([1, 3]), rng.randrange(300)) for _ in range(40)]
+    outcomes = [("A", 24 * rng.randrange(8), rng.randrange(2), r) for r in range(300)]
+    out = feedback.match_logged_outcomes(*tables(spark, predictions, outcomes), with_seq=True, hot_rows=20)
+    assert {r["prediction_id"]: (r["registered_seq"], r["outcome"]) for r in out.collect()} == plain(predictions, outcomes)
+    points = next(df for df in seen if "level" in df.columns)
+    assert points.agg({"level": "max"}).first()[0] <= 2  # four dates at most
+    assert points.where("start IS NULL").count() <= 3 * len(outcomes)

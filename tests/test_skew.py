@@ -160,3 +160,11 @@ def test_no_query_needs_python_workers(spark, small):
     for name in ("w9_feature_table", "c1_c2_anomalies", "j1_match_outcomes", "a8_a9_ranking_metrics", "r1_kaplan_meier"):
         plan = plan_of(catalog.QUERIES[name](spark, small))
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_first_cut_makes_no_cells_of_a_handful(spark):
+    """An evenly spread group a little above the limit is cut into few cells, each below the limit."""
+    df = spark.range(1000).select(F.lit("A").alias("k"), F.col("id").alias("x"))
+    out, cells = ordered.split_cells(df, ["k"], ["x"], 500)
+    sizes = [r["count"] for r in out.groupBy(*cells).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 500 and len(sizes) <= 16

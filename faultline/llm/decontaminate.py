@@ -29,6 +29,8 @@ GRAM = 5
 #: Bytes of benchmark text (and rows) that one broadcast block may hold.
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 100_000
+#: Bytes of texts that the filter hashes and sends at once.
+KEPT_BYTES = 1 << 18
 PAD = np.uint64(0x0123456789ABCDEF)
 
 
@@ -214,23 +216,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     return found.select("doc_id", "n_words", covered.alias("n_hit"), items.alias("items"), (covered > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs`` without a hit; every block of the benchmark filters what the earlier ones left."""
-    at = docs.columns.index("text")
+def _without(shared, at: int):
+    """The rows without a hit. A slice of rows at a time, so that neither the task nor the reader of its rows holds a
+    second whole batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, values, offsets in textkit.slices(batch.column(at), KEPT_BYTES):
+                hashes, first = textkit.words(values, offsets, textkit.ALPHANUMERIC)
+                keep = np.ones(len(first) - 1, bool)
+                keep[np.searchsorted(first, shared.value.hits(hashes, first)[0], "right") - 1] = False
+                yield batch.slice(row, len(keep)).filter(pa.array(keep))
 
-    def without(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for row, values, offsets in textkit.slices(batch.column(at)):
-                    hashes, first = textkit.words(values, offsets, textkit.ALPHANUMERIC)
-                    keep[row + np.searchsorted(first, shared.value.hits(hashes, first)[0], "right") - 1] = False
-                yield batch.filter(pa.array(keep))
+    return run
 
-        return run
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` without a hit; every block of the benchmark filters what the earlier ones left."""
+    at = docs.columns.index("text")
     for block in blocks(benchmark, window, gram):
-        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(block), at), docs.schema)
     return docs
 
 

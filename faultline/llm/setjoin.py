@@ -40,8 +40,10 @@ from faultline.sources.storage import discard, materialized
 SHINGLE = 4
 PERCENT = 85
 DIVISIONS = 8
-#: Signatures that a task sends at once.
+#: Signatures, or elements of whole sets, that a task sends at once.
 ROWS = 1 << 17
+#: Bytes of texts that a task hashes at once; its arrays take many times that.
+SLICE_BYTES = 1 << 18
 #: Sets of one block in the comparison of nodes outside their pivot's component.
 BLOCK = 500
 #: Rows of 64 marks each that a broadcast of marked hashes has at most.
@@ -137,7 +139,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 
 def sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct elements) of every text, in order."""
-    for row, values, offsets in textkit.slices(column):
+    for row, values, offsets in textkit.slices(column, SLICE_BYTES):
         hashes, first = textkit.words(values, offsets, textkit.SPACED)
         full = textkit.grams(hashes, shingle)
         for i in range(len(first) - 1):
@@ -197,18 +199,30 @@ def _emit(shingle: int, percent: int):
 
 
 def _whole_sets(shingle: int):
+    """Rows (node, elements) of the distinct sets of a batch, in runs of about ROWS elements."""
+
+    def rows(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = pa.array(np.append(0, np.cumsum([len(e) for e in sets])), pa.int32())
+        elements = pa.ListArray.from_arrays(offsets, pa.array(textkit.signed(np.concatenate(sets))))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), elements], ["node", "elements"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            rows = []
+            keys, sets, size = [], [], 0
             for _, elements in sets_of(batch.column(0), shingle):
                 key = set_key(elements)
-                if len(elements) and key not in seen:
-                    seen.add(key)
-                    rows.append((key, textkit.signed(elements)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in rows], pa.int64()), pa.array([e for _, e in rows], pa.list_(pa.int64()))], ["node", "elements"]
-            )
+                if not len(elements) or key in seen:
+                    continue
+                seen.add(key)
+                keys.append(key)
+                sets.append(elements)
+                size += len(elements)
+                if size >= ROWS:
+                    yield rows(keys, sets)
+                    keys, sets, size = [], [], 0
+            if keys:
+                yield rows(keys, sets)
 
     return run
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultline.llm import decontaminate
@@ -70,3 +72,16 @@ def test_query_over_the_whole_table(spark, small):
     want = [(i, n, h, len(m), hashlib.sha256(",".join(m).encode()).hexdigest(), h > 0) for i, n, h, m in brute(docs, items)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert any(r.contaminated for r in got)
+
+
+def test_filter_sends_a_batch_in_slices(spark, monkeypatch):
+    """The rows of a large batch leave as several batches: all but those with a window of the benchmark, in order."""
+    item = " ".join(f"i{j}" for j in range(12))
+    texts = [f"{' '.join(f't{i}x{j}' for j in range(40))} {item if i % 7 == 0 else ''}" for i in range(50)] + [None, ""]
+    benchmark = spark.createDataFrame([("a", item)], "item_id string, text string")
+    (block,) = decontaminate.blocks(benchmark, decontaminate.WINDOW, decontaminate.GRAM)
+    monkeypatch.setattr(decontaminate, "KEPT_BYTES", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    out = list(decontaminate._without(type("Shared", (), {"value": block}), 1)(iter([batch])))
+    assert len(out) > 10
+    assert [k for b in out for k in b.column(0).to_pylist()] == [i for i in range(len(texts)) if i >= 50 or i % 7]

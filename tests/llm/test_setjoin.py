@@ -1,9 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from faultline.llm import setjoin
+from faultline.llm import setjoin, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -144,3 +145,18 @@ def test_one_row_of_each_group_stays(spark, monkeypatch, mark_rows):
     assert out.columns == ["doc_id", "text", "lang"]
     assert sorted(r["doc_id"] for r in got if r["lang"] not in ("empty", "alone")) == list(range(40))
     assert sorted(r["lang"] for r in got if r["lang"] in ("empty", "alone", "copy", "near", "null id")) == ["alone", "empty", "empty", "empty"]
+
+
+def test_tasks_send_sets_in_small_runs(monkeypatch):
+    """A batch of many texts leaves as several batches, however many rows it has; texts are hashed in small slices."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, texts[0], None, "a b"])], ["text"])
+    whole = {setjoin.set_key(e): e.view("int64").tolist() for _, e in setjoin.sets_of(batch.column(0), 4) if len(e)}
+    sizes, seen = [], textkit.slices
+    monkeypatch.setattr(setjoin, "ROWS", 100)
+    monkeypatch.setattr(setjoin, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(textkit, "slices", lambda *a: ((sizes.append(len(v)), (r, v, o))[1] for r, v, o in seen(*a)))
+    out = list(setjoin._whole_sets(4)(iter([batch])))
+    assert len(out) > 10 and max(len(b.column(1).flatten()) for b in out) < 200
+    assert {k: e for b in out for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == whole
+    assert max(sizes) <= 2000

@@ -34,6 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from faultline.llm import textkit
 
 CHUNK_BYTES = 4 << 20
+#: Bytes of texts that a task splits into words at once; its arrays take many times that.
+SLICE_BYTES = 1 << 18
 #: Encoded words that a task remembers; beyond that it starts anew, at the cost of encoding a word again.
 REMEMBERED = 1 << 17
 OTHER, LETTERS, NUMBERS, SPACES = range(4)
@@ -42,7 +44,10 @@ OTHER, LETTERS, NUMBERS, SPACES = range(4)
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """Class of every code point under the pattern's character classes."""
-    points = "".join(map(chr, [*range(0xD800), *[0] * 0x800, *range(0xE000, 0x110000)]))
+    numbers = np.arange(0x110000, dtype="<u4")
+    numbers[0xD800:0xE000] = 0
+    # one text of all code points; as a list of characters it took more memory than all else a task holds
+    points = numbers.tobytes().decode("utf-32-le")
     table = np.full(0x110000, OTHER, np.uint8)
     for number, pattern in ((LETTERS, r"\p{L}+"), (NUMBERS, r"\p{N}+"), (SPACES, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, points):
@@ -104,7 +109,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int):
     """(ids, bytes, token starts, tokens per text) of runs of whole texts."""
     ids, parts, starts, counts, size = [], [], [], [], 0
     for batch in batches:
-        for row, values, offsets in textkit.slices(batch.column(0)):
+        for row, values, offsets in textkit.slices(batch.column(0), SLICE_BYTES):
             first = pretoken_starts(values, offsets)
             ids.append(batch.column(1).slice(row, len(offsets) - 1))
             parts.append(values)
@@ -145,32 +150,40 @@ def _piece(*values) -> pa.RecordBatch:
 def _cut(limit: int, buckets: int, positions: bool):
     """Rows of each chunk: its positions, or its distinct words packed by bucket and numbered bucket by bucket."""
 
+    def pieces(number: int, ids: pa.ChunkedArray, values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        coded = token_words(values, starts).dictionary_encode()
+        known = coded.dictionary
+        joined, bounds = textkit.buffers(known)
+        check = zlib.crc32(joined.tobytes())
+        dealt = textkit.hash_spans(joined, bounds[:-1], bounds[1:]) % np.uint64(buckets)
+        order = np.argsort(dealt, kind="stable")
+        if positions:
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            inverse = place[coded.indices.to_numpy(zero_copy_only=False)]
+            # The bytes of the positions are grouped by significance, which packs better.
+            stream = inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            head = {
+                "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
+                "doc_ids": ids.to_pylist(), "counts": counts,
+            }
+            yield _piece(number, HEAD, check, 1, 0, pickle.dumps(head))
+            return
+        del coded
+        edges = np.searchsorted(dealt[order], np.arange(buckets + 1, dtype=np.uint64))
+        for bucket in np.flatnonzero(edges[1:] > edges[:-1]):
+            words = known.take(pa.array(order[edges[bucket]:edges[bucket + 1]]))
+            _, spans = textkit.buffers(words)
+            yield _piece(number, int(bucket), check, len(words), int(spans[-1]), packed_list(words))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches, base = textkit.numbered(batches)
-        for number, (ids, values, starts, counts) in enumerate(chunks(batches, limit)):
-            coded = token_words(values, starts).dictionary_encode()
-            known = coded.dictionary
-            joined, bounds = textkit.buffers(known)
-            check = zlib.crc32(joined.tobytes())
-            dealt = textkit.hash_spans(joined, bounds[:-1], bounds[1:]) % np.uint64(buckets)
-            order = np.argsort(dealt, kind="stable")
-            if positions:
-                place = np.empty(len(order), np.uint32)
-                place[order] = np.arange(len(order), dtype=np.uint32)
-                inverse = place[coded.indices.to_numpy(zero_copy_only=False)]
-                # The bytes of the positions are grouped by significance, which packs better.
-                stream = inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                head = {
-                    "known": len(known), "stream": pa.compress(stream, "zstd", asbytes=True), "tokens": len(inverse),
-                    "doc_ids": ids.to_pylist(), "counts": counts,
-                }
-                yield _piece(base + number, HEAD, check, 1, 0, pickle.dumps(head))
-                continue
-            edges = np.searchsorted(dealt[order], np.arange(buckets + 1, dtype=np.uint64))
-            for bucket in np.flatnonzero(edges[1:] > edges[:-1]):
-                words = known.take(pa.array(order[edges[bucket]:edges[bucket + 1]]))
-                _, spans = textkit.buffers(words)
-                yield _piece(base + number, int(bucket), check, len(words), int(spans[-1]), packed_list(words))
+        found, number = chunks(batches, limit), base
+        while chunk := next(found, None):
+            yield from pieces(number, *chunk)
+            # nothing of a chunk is kept while the next one is read
+            chunk, number = None, number + 1
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -271,31 +284,41 @@ def _assemble(id_type: pa.DataType):
     return run
 
 
-def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row of ``docs`` (doc_id, text); ids as little-endian 32-bit integers.
+ENCODED = ("doc_id", "n_tokens", "ids")
 
-    Words are dealt to ``buckets``, by default as many as the session has shuffle partitions.
-    """
+
+def coded_pieces(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int, buckets: int | None) -> DataFrame:
+    """The encoded words and the positions of every chunk, chunk by chunk, ready for :func:`_assemble`."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType
-    shared = spark.sparkContext.broadcast(read_ranks(path))
+    shared = spark.sparkContext.broadcast(ranks)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("text", "doc_id", F.spark_partition_id().alias("part"))
     words = docs.mapInArrow(_cut(chunk_bytes, buckets, False), PIECE_KIND).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     heads = docs.mapInArrow(_cut(chunk_bytes, buckets, True), PIECE_KIND)
     coded = words.mapInArrow(_encode_words(shared), PIECE_KIND)
-    whole = coded.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return coded.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+
+
+def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row of ``docs`` (doc_id, text); ids as little-endian 32-bit integers.
+
+    Words are dealt to ``buckets``, by default as many as the session has shuffle partitions.
+    """
+    kind = docs.schema["doc_id"].dataType
+    whole = coded_pieces(docs, read_ranks(path), chunk_bytes, buckets)
     return whole.mapInArrow(_assemble(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ``decoded``: the bytes of its ids."""
-    ranks = read_ranks(path)
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of every id."""
     table: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         table[rank] = word
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
-    names = [c for c in encoded.columns if c != "decoded"]
+    return table
+
+
+def _decode(shared, names: list[str]):
+    """Rows with the bytes of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bounds = textkit.buffers(pa.array(shared.value, pa.binary()))
@@ -311,8 +334,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 ))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(out)], [*names, "decoded"])
 
+    return run
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` with ``decoded``: the bytes of its ids."""
+    shared = encoded.sparkSession.sparkContext.broadcast(token_table(read_ranks(path)))
+    names = [c for c in encoded.columns if c != "decoded"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema]
-    return encoded.select(*names).mapInArrow(run, ", ".join([*fields, "decoded binary"]))
+    return encoded.select(*names).mapInArrow(_decode(shared, names), ", ".join([*fields, "decoded binary"]))
 
 
 def take_bytes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -322,10 +352,25 @@ def take_bytes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return values[np.repeat(starts - reach + sizes, sizes) + np.arange(reach[-1] if len(reach) else 0)]
 
 
+def encoded_and_decoded(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+    """The rows of ``decode(encode(docs))``.
+
+    The task that puts the ids together decodes them as well: as two steps, every task kept two Python workers, and Spark
+    uses all workers of an executor in turn from then on, so each of them stays as large as its largest task.
+    """
+    kind, ranks = docs.schema["doc_id"].dataType, read_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast(token_table(ranks))
+    assembled, decoded = _assemble(to_arrow_type(kind)), _decode(shared, list(ENCODED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoded(assembled(batches))
+
+    return coded_pieces(docs, ranks, chunk_bytes, buckets).mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, ids binary, decoded binary")
+
+
 def round_trip(docs: DataFrame) -> DataFrame:
     """Digests of the ids of every document and of the bytes decoded from them."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return decode(encode(docs, path), path).select(
+    return encoded_and_decoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

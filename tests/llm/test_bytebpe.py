@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -87,3 +88,31 @@ def test_query_over_the_whole_table(spark, small):
         assert got[doc_id].n_tokens == len(ids)
         assert got[doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[doc_id].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_classes_take_little_memory():
+    """A list of all code points as characters once took more than 100 MB in every worker."""
+    tracemalloc.start()
+    try:
+        table = bytebpe.classes.__wrapped__()
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+    assert [table[ord(c)] for c in "é1\x85!"] == [bytebpe.LETTERS, bytebpe.NUMBERS, bytebpe.SPACES, bytebpe.OTHER]
+    assert not table[0xD800:0xE000].any()
+
+
+def test_round_trip_decodes_where_it_assembles(spark, capsys):
+    """A task that chains two steps in Python keeps two workers, and these stay."""
+    path = spark.conf.get("spark.checkpoint.dir") + "/bpe-fused"
+    rows = [(i or None, t) for i, t in enumerate(texts()[:400])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(path)
+    d = spark.read.parquet(path)
+    bytebpe.round_trip(d).explain()
+    steps = [line.split("- ")[-1].split("(")[0] for line in capsys.readouterr().out.splitlines()]
+    steps = [s for s in steps if not s.lstrip("*(0123456789) ").startswith(("Project", "ColumnarToRow"))]
+    assert sum("MapInArrow" in s for s in steps) == 4
+    assert not any("MapInArrow" in a and "MapInArrow" in b for a, b in zip(steps, steps[1:]))
+    key = lambda r: (r.doc_id or -1, bytes(r.ids))
+    both = [sorted(out.collect(), key=key) for out in (bytebpe.encoded_and_decoded(d, PATH, 2000, 3), bytebpe.decode(bytebpe.encode(d, PATH), PATH))]
+    assert both[0] == both[1] and len(both[0]) == len(rows)
